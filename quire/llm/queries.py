@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lookalike
+from quire.llm import lookalike, mixing, packing, splitting
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,5 +24,34 @@ def p2_titles(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalise(_t(spark, d, "toc_entries").select("entry_id", "book_id", "title"), "title")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_elements, p2_titles)}
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces(_t(spark, d, "book_content").dropDuplicates(["content_id"]), splitting.limits_of(_t(spark, d, "size_limits")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    cut = splitting.pieces(_t(spark, d, "book_content"), splitting.limits_of(_t(spark, d, "size_limits")))
+    return cut.where("pieces > 1 and piece = 0").select(F.col("row_id").alias("content_id")).distinct()
+
+
+def _capacities(spark: SparkSession, d: str) -> list[int]:
+    return [r["max_size"] for r in _t(spark, d, "size_limits").where("use_for = 'container'").select("max_size").collect()]
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(packing.place(_t(spark, d, "documents"), _capacities(spark, d)))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.place(_t(spark, d, "documents"), _capacities(spark, d)))
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(mixing.sizes(_t(spark, d, "documents")), _t(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(mixing.sizes(_t(spark, d, "documents")), _t(spark, d, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_elements, p2_titles, p5_found, p5_pieces, p7_containers, p7_fill, p8_selection, p8_shares)}
 SQL: dict[str, str] = {}
