@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lookalike, mixing, packing, splitting
+from quire.llm import abuse, lookalike, mixing, packing, splitting
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -53,5 +53,22 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.sizes(_t(spark, d, "documents")), _t(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_elements, p2_titles, p5_found, p5_pieces, p7_containers, p7_fill, p8_selection, p8_shares)}
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = _t(spark, d, "documents")
+    return abuse.score_documents(documents, abuse.train(abuse.rated_sample(documents, _t(spark, d, "labels"))))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_elements, p2_titles, p5_found, p5_pieces, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_scores, p9_rates)}
 SQL: dict[str, str] = {}
