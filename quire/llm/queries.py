@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import abuse, lookalike, mixing, packing, splitting
+from quire.llm import abuse, lookalike, markup, mixing, packing, splitting
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _markup(spark: SparkSession, d: str, text_out: bool) -> DataFrame:
+    parts = [markup.clean(_t(spark, d, src), key, "book_md", text_out=text_out).withColumn("src", F.lit(src)) for src, key in (("book_content", "content_id"), ("save_requests", "request_id"))]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _markup(spark, d, False).select("src", "row_id", F.explode("markup").alias("markup")).distinct()
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    return _markup(spark, d, True)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_looking(_t(spark, d, "toc_entries"), _t(spark, d, "elements"))
 
@@ -70,5 +83,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_elements, p2_titles, p5_found, p5_pieces, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_elements, p2_titles, p5_found, p5_pieces, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_scores, p9_rates)}
 SQL: dict[str, str] = {}
