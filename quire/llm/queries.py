@@ -50,6 +50,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.Noise(_t(spark, d, "elements"), _t(spark, d, "page_results")).found()
 
 
+def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.Noise(_t(spark, d, "elements"), _t(spark, d, "page_results")).paragraphs()
+
+
 def _capacities(spark: SparkSession, d: str) -> list[int]:
     return [r["max_size"] for r in _t(spark, d, "size_limits").where("use_for = 'container'").select("max_size").collect()]
 
@@ -87,5 +91,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_elements, p2_titles, p5_found, p5_pieces, p6_found, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_elements, p2_titles, p5_found, p5_pieces, p6_found, p6_paragraphs, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_scores, p9_rates)}
 SQL: dict[str, str] = {}

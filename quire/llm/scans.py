@@ -383,20 +383,19 @@ def scan_element(text: str, kind: str, top: float | None, bottom: float | None,
             out.append(("misread", None, None, None, None))
         elif _LETTER_DIGIT.search(line) and any(len(_LETTER.findall(m.group(0))) >= 3 for m in _DIGIT_IN_WORD.finditer(line)):
             out.append(("misread", None, None, None, None))
-        else:
-            if _HAN.search(line) and _HAN_WRONG.search(line):
-                flat = re.sub(r"\d+", "#", line.replace("\r", "").replace("\n", ""))
-                seen: set[tuple] = set()
-                for m in _HAN_WRONG.finditer(flat):
-                    i = m.start()
-                    ends = (flat[i - 1] if i else "^", flat[i + 1] if i + 1 < len(flat) else "$")
-                    if (flat[i], ends) not in seen:
-                        seen.add((flat[i], ends))
-                        out.append(("han", f"L{ends[0]}{flat[i]}", f"R{flat[i]}{ends[1]}", str(i), None))
-            words = _WORD.findall(line.lower()) if _LETTER.search(line) else []
-            for i, w in enumerate(words):
-                if w not in good and len(w) > 2:
-                    out.append(("word", w, words[i - 1] if i else None, words[i + 1] if i + 1 < len(words) else None, None))
+        if _HAN.search(line) and _HAN_WRONG.search(line):
+            flat = re.sub(r"\d+", "#", line.replace("\r", "").replace("\n", ""))
+            seen: set[tuple] = set()
+            for m in _HAN_WRONG.finditer(flat):
+                i = m.start()
+                ends = (flat[i - 1] if i else "^", flat[i + 1] if i + 1 < len(flat) else "$")
+                if (flat[i], ends) not in seen:
+                    seen.add((flat[i], ends))
+                    out.append(("han", f"L{ends[0]}{flat[i]}", f"R{flat[i]}{ends[1]}", str(i), None))
+        words = _WORD.findall(line.lower()) if _LETTER.search(line) else []
+        for i, w in enumerate(words):
+            if w not in good and len(w) > 2:
+                out.append(("word", w, words[i - 1] if i else None, words[i + 1] if i + 1 < len(words) else None, None))
     if kind == "number" and (edge or _WHOLE_NUMBER.fullmatch(consistent(text) or "")):
         out.append(("number", "edge" if edge else "inside", None, None, number_value(_WHOLE_NUMBER.fullmatch(consistent(text) or ""))))
     elif kind != "formula" and kind != "table" and kind != "number":
@@ -498,7 +497,7 @@ def divided(events: DataFrame, good: frozenset[str]) -> DataFrame:
 
 
 def running_heads(events: DataFrame) -> DataFrame:
-    """elem_id of elements that are, or begin with, a head repeated at the edge of at least HEAD_PAGES pages of the book.
+    """(elem_id, key) of elements that are (key null), or begin with, a head repeated at the edge of at least HEAD_PAGES pages of the book.
 
     Lines at the edge are counted by key. Keys of too few pages may be damaged
     copies: they meet others of their book by half of their signs, from the
@@ -522,17 +521,17 @@ def running_heads(events: DataFrame) -> DataFrame:
     both = near.join(keys.select("book_id", F.col("key").alias("other"), F.col("pages").alias("more")), ["book_id", "other"]).groupBy("book_id", "key").agg(F.sum("more").alias("more"))
     rescued = weak.join(both, ["book_id", "key"]).where(F.col("pages") + F.col("more") >= HEAD_PAGES).select("book_id", "key")
     strong = keys.where(F.col("pages") >= HEAD_PAGES).select("book_id", "key")
-    found = edge.join(strong.union(rescued), ["book_id", "key"], "left_semi").select("elem_id")
+    found = edge.join(strong.union(rescued), ["book_id", "key"], "left_semi").select("elem_id", F.lit(None).cast("string").alias("key"))
     inside = lines.where("place = 'inside'").select("elem_id", "book_id", "start", F.col("key").alias("text"))
     anchors = strong.union(rescued).where(F.length("key") >= 4).select("book_id", "key", F.substring("key", 1, 5).alias("start"))
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keep = [begins_with(t, k) for t, k in zip(frame["text"], frame["key"])]
-            yield frame.loc[keep, ["elem_id"]]
+            yield frame.loc[keep, ["elem_id", "key"]]
 
-    met = inside.join(anchors, ["book_id", "start"]).select("elem_id", "text", "key").mapInPandas(check, "elem_id bigint")
-    return found.union(met).distinct()
+    met = inside.join(anchors, ["book_id", "start"]).select("elem_id", "text", "key").mapInPandas(check, "elem_id bigint, key string")
+    return found.union(met).groupBy("elem_id").agg(F.max_by("key", F.length("key")).alias("key"))
 
 
 def page_numbers(events: DataFrame) -> DataFrame:
@@ -548,6 +547,53 @@ def page_numbers(events: DataFrame) -> DataFrame:
     return joined.where((F.col("place") == "edge") | F.col("fits")).select("elem_id").distinct()
 
 
+def head_end(text: str, key: str) -> int:
+    """Where the head that a text begins with ends."""
+    best = 0
+    for m in re.finditer(r"\s+", text[:200]):
+        own = head_key(text[: m.start()])
+        if own and abs(len(own) - len(key)) <= 1 and own[:4] == key[:4]:
+            best = m.end()
+        elif len(own) > len(key) + 1:
+            break
+    return best
+
+
+def _correct_han(text: str, wrong: str, true: str) -> str:
+    """A misread ideograph between its two neighbours corrected; ``#`` stands for figures, ``^`` and ``$`` for the ends."""
+    ends = {"#": r"\d", "^": r"^", "$": r"$"}
+    before, after = (ends.get(c, re.escape(c)) for c in (wrong[0], wrong[2]))
+    return re.sub(rf"({before}\s*){re.escape(wrong[1])}(?=\s*{after})", lambda m: m.group(1) + true[1], text)
+
+
+def repair(text: str, fixes: dict[str, str], head: str | None, number: bool, good: frozenset[str]) -> str:
+    """One element's text without furniture, cuts and misread words, its lines joined."""
+    if head:
+        text = text[head_end(text, head) :]
+    if number:
+        for p in (_WHOLE_NUMBER, None):
+            lines = text.split("\n")
+            if len(lines) > 1 and _WHOLE_NUMBER.fullmatch(consistent(lines[-1]) or ""):
+                text = "\n".join(lines[:-1])
+            elif len(lines) > 1 and _WHOLE_NUMBER.fullmatch(consistent(lines[0]) or ""):
+                text = "\n".join(lines[1:])
+        text = _LAST_NUMBER.sub("", _SPACE_NUMBER.sub("", _FIRST_NUMBER.sub("", text, count=1)))
+    text = _CUT.sub(lambda m: m.group(1) + m.group(3) if is_cut(m.group(1), m.group(2), m.group(3), True, good) else m.group(0).replace("\n", ""), text)
+    text = consistent(text) or ""
+    for wrong, true in fixes.items():
+        if len(wrong) == 3 and _HAN.search(wrong):
+            text = _correct_han(text, wrong, true)
+        else:
+            text = re.sub(rf"(?<![{_LETTERS}]){re.escape(wrong)}(?![{_LETTERS}])", lambda m: true.capitalize() if m.group(0)[0].isupper() else true, text, flags=re.I)
+    text = re.sub(r"(?<=[一-鿿，。；：！？、“”])[ \t]*\r?\n[ \t]*(?=[一-鿿，。；：！？、“”])", "", text)
+    return re.sub(r"\s*\r?\n\s*", " ", text).strip(" \u3000")
+
+
+PARAGRAPH_SCHEMA = "book_id string, page_index int, list_pos int, elem_id bigint, type string, paragraph string"
+#: Layout labels that hold running text.
+TEXT_TYPES = ("text", "paragraph_title", "doc_title", "footnote", "reference")
+
+
 class Noise:
     """The result of the passes over one elements table."""
 
@@ -568,10 +614,41 @@ class Noise:
         kinds = [
             (e.where("event = 'cut'").select("elem_id"), "hyphenation"), (divided(e, self.good).select("elem_id"), "hyphenation"),
             (e.where("event = 'misread'").select("elem_id"), "misread"), (self.corrections().select("elem_id"), "misread"),
-            (running_heads(e), "running_head"), (page_numbers(e), "page_number"),
+            (running_heads(e).select("elem_id"), "running_head"), (page_numbers(e), "page_number"),
         ]
         out = None
         for df, kind in kinds:
             part = df.withColumn("kind", F.lit(kind))
             out = part if out is None else out.unionByName(part)
         return out.distinct()
+
+    def paragraphs(self) -> DataFrame:
+        """Rows of :data:`PARAGRAPH_SCHEMA`: repaired text per book in reading order, furniture left out.
+
+        A word divided between two elements joins them into one paragraph, at
+        the place of the first. Repeated rows of one elem_id give one paragraph.
+        """
+        good = self.good
+        e = self.elements.where("text is not null").where(F.col("type").isin(*TEXT_TYPES)).dropDuplicates(["elem_id"]).select("elem_id", "book_id", "page_index", "list_pos", "type", "text")
+        fixes = self.corrections().select("elem_id", F.when(F.col("wrong").rlike("^L"), F.substring("wrong", 2, 3)).otherwise(F.col("wrong")).alias("wrong"), F.when(F.col("wrong").rlike("^L"), F.substring("true", 2, 3)).otherwise(F.col("true")).alias("true"))
+        fixes = fixes.groupBy("elem_id", "wrong").agg(F.max("true").alias("true")).groupBy("elem_id").agg(F.map_from_entries(F.collect_list(F.struct("wrong", "true"))).alias("fixes"))
+        heads = running_heads(self.events).withColumn("head", F.lit(True))
+        numbers = page_numbers(self.events).withColumn("number", F.lit(True))
+        whole = self.events.where("event = 'number' and word = 'edge'").select("elem_id").distinct().withColumn("alone", F.lit(True))
+        rows = e.join(heads, "elem_id", "left").join(numbers, "elem_id", "left").join(whole, "elem_id", "left").join(fixes, "elem_id", "left")
+        rows = rows.where("not (coalesce(head, false) and key is null) and not (coalesce(number, false) and coalesce(alone, false))")
+        rows = rows.select("elem_id", "book_id", "page_index", "list_pos", "type", "text", "key", F.coalesce("number", F.lit(False)).alias("number"), "fixes")
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                frame["paragraph"] = [repair(t, dict(f) if f is not None else {}, k, n, good) for t, k, n, f in zip(frame["text"], frame["key"], frame["number"], frame["fixes"])]
+                yield frame[["book_id", "page_index", "list_pos", "elem_id", "type", "paragraph"]]
+
+        fixed = rows.mapInPandas(run, PARAGRAPH_SCHEMA).where("paragraph <> ''")
+        pairs = divided(self.events, self.good).select("elem_id", "next_id")
+        pairs = pairs.groupBy("next_id").agg(F.min("elem_id").alias("elem_id"))
+        roots = pairs.join(pairs.select(F.col("next_id").alias("elem_id")), "elem_id", "left_anti")
+        rest = fixed.select(F.col("elem_id").alias("next_id"), F.col("paragraph").alias("rest")).join(roots, "next_id")
+        joined = fixed.join(rest.select("elem_id", "rest"), "elem_id", "left").join(rest.select(F.col("next_id").alias("elem_id")), "elem_id", "left_anti")
+        text = F.when(F.col("rest").isNull(), F.col("paragraph")).otherwise(F.concat(F.regexp_replace("paragraph", f"[{MARKS}]\\s*$", ""), F.col("rest")))
+        return joined.select("book_id", "page_index", "list_pos", "elem_id", "type", text.alias("paragraph"))
