@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from quire.plans import dealt
+from quire.plans import dealt, reference
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "page_types_by_rule"
 
 
 def queries() -> dict:
-    return dict(dealt.QUERIES)
+    return dict(reference.QUERIES) | dict(dealt.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(dealt.SQL)
+    return dict(reference.SQL) | dict(dealt.SQL)

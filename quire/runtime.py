@@ -51,12 +51,10 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     A local relation keeps it inside the JVM; ``createDataFrame`` on a list
     would start Python workers to read it again in each job.
     """
-    import pandas as pd
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    del pd
     kind = _parse_datatype_string(schema)
     columns = list(zip(*rows)) if rows else [() for _ in kind.fields]
     arrow = to_arrow_schema(kind)
