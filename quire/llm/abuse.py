@@ -39,13 +39,15 @@ LABELLED = 1500
 TRAIN_CHARS = 4000
 WINDOW, STRIDE = 48, 24
 BUCKETS, DIM, HIDDEN, ATTEND, GRAMS = 4096, 24, 20, 16, 10
-THRESHOLD = 0.5
+THRESHOLD = 0.7
+DECAY = 0.02
 SEED = 7
 
 SCORE_SCHEMA = "doc_id bigint, source string, score double, category string, windows bigint"
 
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a"})
 _HAN = "一-鿿"
+_NUMERAL = re.compile(r"\d+[a-zè]{1,3}|[a-z]{1,2}\d+")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_·*]{1,2}[^\W\d_](?![^\W_])){2,}")
 _HAN_GAP = re.compile(rf"(?<=[{_HAN}])[ ·.\-_|~]{{1,2}}(?=[{_HAN}*])")
 _UNIT = re.compile(rf"[{_HAN}]|\*(?=[{_HAN}，。])|[0-9]+(?![^\W_{_HAN}]|[$@*])|(?:(?![{_HAN}])[^\W_]|[$@*])+|[，。！？；、,.!?;:]")
@@ -67,6 +69,8 @@ def units(text: str | None) -> list[str]:
         before = ""
         if u.isdigit():
             u = "#"
+        elif _NUMERAL.fullmatch(u):
+            u = "#"
         elif not u.isalpha() and len(u) > 1:
             u = u.translate(_LEET)
         out.append(u)
@@ -238,17 +242,19 @@ class Network:
         return loss, g | {"word": gw, "gram": gg}
 
     def fit(self, idx: np.ndarray, y: np.ndarray, weight: np.ndarray, table: tuple, epochs: int, rate: float, rng: np.random.Generator, batch: int = 128) -> list[float]:
-        """Adam; the mean loss of each epoch."""
+        """Adam with decoupled decay; the mean loss of each epoch. The weights kept are a running average of the later steps."""
+        mean: dict[str, np.ndarray] | None = None
+        steps = max(1, epochs * -(-len(y) // batch))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         step, losses = 0, []
-        for epoch in range(epochs):
+        for _ in range(epochs):
             order, total = rng.permutation(len(y)), []
-            lr = rate * (1 - 0.8 * epoch / max(1, epochs))
             for i in range(0, len(y), batch):
                 part = order[i : i + batch]
                 loss, g = self.gradients(idx[part], y[part], weight[part], table)
                 total.append(loss)
+                lr = rate * max(0.03, 1 - step / steps)
                 step += 1
                 norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
                 scale = min(1.0, 2.0 / (norm + 1e-9))
@@ -256,8 +262,12 @@ class Network:
                     x = x * scale
                     m[k] += 0.1 * (x - m[k])
                     v[k] += 0.01 * (x * x - v[k])
-                    self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                    self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6) + lr * DECAY * self.p[k]).astype(np.float32)
+                if step * 3 > steps:
+                    mean = {k: x.copy() for k, x in self.p.items()} if mean is None else {k: x + 0.02 * (self.p[k] - x) for k, x in mean.items()}
             losses.append(float(np.mean(total)))
+        if mean is not None:
+            self.p = mean
         return losses
 
     def score(self, idx: np.ndarray, inputs: dict[str, np.ndarray], batch: int = 1024) -> np.ndarray:
@@ -341,6 +351,7 @@ def training_windows(clean: list[str], rng: random.Random, each: int = 40) -> li
         cut = rng.randrange(0, len(context) + 1)
         out.append((context[:cut] + seq + context[cut:], label))
 
+    bad = {u for lang in WORDS for k in "aiv" for w in WORDS[lang][k] for u in units(w)}
     for (lang, kind), templates in HARMFUL.items():
         for t in templates:
             for _ in range(each):
@@ -350,8 +361,15 @@ def training_windows(clean: list[str], rng: random.Random, each: int = 40) -> li
         for t in templates:
             for _ in range(each):
                 into(phrase(t, lang, rng, False), 0)
+            for _ in range(each // 2):  # a few words that stand alone
+                seq = [u for u in units(phrase(t, lang, rng, False)) if u not in bad and u[-1:] not in bad]
+                at = rng.randrange(0, max(1, len(seq)))
+                out.append((seq[at : at + rng.choice((1, 1, 2, 3, 5))], 0))
     for seq in pool:
-        for i in range(0, max(1, len(seq) - STRIDE), WINDOW):
+        for _ in range(2):  # short texts of a few words are clean too
+            at, size = rng.randrange(0, max(1, len(seq))), rng.choice((1, 2, 3, 5, 8, 12))
+            out.append((seq[at : at + size], 0))
+        for i in range(0, max(1, len(seq) - STRIDE), STRIDE):
             out.append((seq[i : i + WINDOW], 0))
     return out
 
