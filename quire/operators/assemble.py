@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import CJK, clean_field, ends_closed, last_is_toc_line, plain_date, starts_block, toc_lines, trim_all
 from quire.operators.classify import DECORATIVE, IMAGES
 from quire.operators.flags import TITLES
+from quire.operators.ordered import previous, running_sum
 from quire.operators.outline import live
 
 #: The cataloguing block's header and main line, and the number of the book.
@@ -28,51 +28,48 @@ def merge_paragraphs(elements: DataFrame) -> DataFrame:
 
     A piece runs on from the one before it in reading order if it stands on
     another page, neither is of low confidence, the first does not end closed
-    or as a contents line, and the second does not open a block. Books with
-    contents-like lines follow the accumulated text in Python; all others use
-    one window and an aggregation.
+    and the second does not open a block. Such runs are found by the previous
+    piece alone. A run whose accumulated text ends in, or holds, contents lines
+    is divided further, in Python, run by run; all others are aggregated.
     """
     rows = elements.where(live() & (F.col("type") == "text") & F.col("text").isNotNull()).select("book_id", "page_index", F.coalesce("order_index", F.lit(0)).alias("order_index"), "list_pos", "elem_id", "text", F.coalesce("low_confidence", F.lit(False)).alias("weak"))
+    rows = rows.withColumns({"closed": ends_closed(F.col("text")), "opens": starts_block(F.col("text"))})
+    rows = previous(rows, ("page_index", "weak", "closed"), "p_", order=READING)
+    runs_on = (F.col("p_page_index") != F.col("page_index")) & ~F.col("p_weak") & ~F.col("weak") & ~F.col("p_closed") & ~F.col("opens")
+    rows = running_sum(rows.withColumn("head", ~F.coalesce(runs_on, F.lit(False))), F.col("head"), "island", order=READING)
     toc_like = F.col("text").rlike(r"(?m)[/／]\s*\d+\s*$") | F.col("text").rlike(r"^\s*\d+\s*$")
-    marked = rows.groupBy("book_id").agg(F.bool_or(toc_like).alias("slow"))
-    rows = rows.join(marked, "book_id")
-    order = W.partitionBy("book_id").orderBy(*READING)
-    before = lambda c: F.lag(c).over(order)
-    runs_on = (before("page_index") != F.col("page_index")) & ~before("weak") & ~F.col("weak") & ~before("closed") & ~F.col("opens")
-    flagged = rows.where(~F.col("slow")).withColumns({"closed": ends_closed(F.col("text")), "opens": starts_block(F.col("text"))})
-    islands = flagged.withColumn("head", ~F.coalesce(runs_on, F.lit(False))).withColumn("island", F.sum(F.col("head").cast("int")).over(order))
     pieces = F.sort_array(F.collect_list(F.struct(*READING, F.col("text").alias("text"))))
-    joined = islands.groupBy("book_id", "island").agg(pieces.alias("p"))
+    joined = rows.groupBy("book_id", "island").agg(pieces.alias("p"), F.bool_or(toc_like).alias("toc_like"))
+    simple = (F.size("p") == 1) | ~F.col("toc_like")
     seam = lambda acc, x: F.when(F.right(acc, F.lit(1)).rlike(f"[{CJK}]") & F.left(trim_all(x["text"]), F.lit(1)).rlike(f"[{CJK}]"), F.concat(acc, trim_all(x["text"]))).otherwise(F.concat_ws(" ", acc, trim_all(x["text"])))
     text = F.when(F.size("p") == 1, F.col("p")[0]["text"]).otherwise(F.aggregate(F.slice("p", 2, F.size("p")), trim_all(F.col("p")[0]["text"]), seam))
-    fast = joined.select("book_id", F.col("p")[0]["elem_id"].alias("elem_id"), F.size("p").alias("pieces"), text.alias("text"))
-    slow = rows.where("slow").withColumns({"closed": ends_closed(F.col("text")), "opens": starts_block(F.col("text"))}).groupBy("book_id").applyInPandas(_merge_book, "book_id string, elem_id bigint, pieces int, text string")
-    return fast.unionByName(slow)
+    plain = joined.where(simple).select("book_id", F.col("p")[0]["elem_id"].alias("elem_id"), F.size("p").alias("pieces"), text.alias("text"))
+    listed = joined.where(~simple).select("book_id", F.transform("p", lambda x: F.struct(x["elem_id"].alias("elem_id"), x["text"].alias("text"))).alias("p"))
+    return plain.unionByName(listed.mapInPandas(_divide_runs, "book_id string, elem_id bigint, pieces int, text string"))
 
 
-def _merge_book(frame):
-    """One book's merge with the accumulated text looked at."""
+def _divide_runs(frames):
+    """Runs with contents lines, divided where the text so far ends in one or holds two."""
     import re
 
     import pandas as pd
 
     line = re.compile(r"[/／]\s*\d+\s*$")
     cjk = re.compile(r"[一-鿿㐀-䶿\U00020000-\U0002a6df　-〿＀-￯]")
-    frame = frame.sort_values(list(READING), kind="stable")
-    out: list[list] = []
-    page = weak = closed = None
-    for r in frame.itertuples(index=False):
-        text = out[-1][3] if out else ""
-        lines = [x.strip() for x in text.strip().split("\n")]
-        listed = sum(bool(line.search(x)) for x in lines) >= 2 or bool(line.search(next((x for x in reversed(lines) if x), "")))
-        if out and r.page_index != page and not weak and not r.weak and not closed and not r.opens and not listed:
-            a, b = text.strip(), r.text.strip()
-            out[-1][3] = a + b if a and b and cjk.match(a[-1]) and cjk.match(b[0]) else f"{a} {b}".strip()
-            out[-1][2] += 1
-        else:
-            out.append([r.book_id, r.elem_id, 1, r.text])
-        page, weak, closed = r.page_index, r.weak, r.closed
-    return pd.DataFrame(out, columns=["book_id", "elem_id", "pieces", "text"])
+    for frame in frames:
+        out: list[list] = []
+        for book, run in zip(frame["book_id"], frame["p"]):
+            for k, piece in enumerate(run):
+                if k:
+                    a = out[-1][3].strip()
+                    lines = [x.strip() for x in a.split("\n")]
+                    if not (sum(bool(line.search(x)) for x in lines) >= 2 or line.search(next((x for x in reversed(lines) if x), ""))):
+                        b = piece["text"].strip()
+                        out[-1][3] = a + b if a and b and cjk.match(a[-1]) and cjk.match(b[0]) else f"{a} {b}".strip()
+                        out[-1][2] += 1
+                        continue
+                out.append([book, piece["elem_id"], 1, piece["text"]])
+        yield pd.DataFrame(out, columns=["book_id", "elem_id", "pieces", "text"])
 
 
 def markdown_blocks(elements: DataFrame, types: DataFrame, levels: DataFrame) -> DataFrame:
@@ -93,9 +90,9 @@ def markdown_blocks(elements: DataFrame, types: DataFrame, levels: DataFrame) ->
     kept = kept.join(levels.select("elem_id", "level").dropDuplicates(["elem_id"]), "elem_id", "left")
     depth = F.least(F.coalesce("level", F.lit(3)), F.lit(6))
     title = F.col("type").isin(*TITLES)
-    order = W.partitionBy("book_id").orderBy(*READING)
     kept = kept.withColumn("order_index", F.coalesce("order_index", F.lit(0))).where((text != "") | image)
-    chapter = F.sum((title & (depth == 1)).cast("int")).over(order)
+    kept = running_sum(kept, F.coalesce(title & (depth == 1), F.lit(False)).cast("int"), "chapter_no", order=READING)
+    chapter = F.col("chapter_no")
     block = (
         F.when(title, F.concat(F.repeat(F.lit("#"), depth), F.lit(" "), text, F.when(depth == 1, F.concat(F.lit(" {#ch-"), chapter.cast("string"), F.lit("}"))).otherwise("")))
         .when(image, F.concat(F.lit("!["), F.coalesce("image_caption", F.lit("")), F.format_string("](images/p%d_e%d.png)", "page_index", "list_pos")))
@@ -149,3 +146,61 @@ def metadata(books: DataFrame, found: DataFrame) -> DataFrame:
 
 
 __all__ = ["merge_paragraphs", "markdown_blocks", "books_markdown", "lost_pages", "page_texts", "cataloguing", "metadata", "toc_lines", "last_is_toc_line"]
+
+
+def process(elements: DataFrame, pages: DataFrame, settings=None) -> DataFrame:
+    """The post-processing chain in its order: marks, confidence, furniture, merging, captions; each step by its setting.
+
+    Merged pieces are kept with ``dropped`` set; their text stands in the first piece.
+    """
+    from quire.functions.text import normalise_punctuation
+    from quire.operators import flags
+    from quire.sources.files import Settings
+
+    s = settings or Settings()
+    e = elements
+    if s.normalize_punctuation:
+        e = e.withColumn("text", F.when(live(), normalise_punctuation(F.col("text"))).otherwise(F.col("text")))
+    if s.min_confidence > 0:
+        e = flags.confidence_tiers(e, s.noise_confidence, s.low_confidence, s.min_confidence, s.confidence_types)
+    if s.remove_headers:
+        e = flags.remove_furniture(e, pages).drop("page_height")
+    elif s.remove_numbers:
+        e = flags.drop_furniture(flags.with_heights(e, pages), by_label=False).drop("page_height")
+    if s.merge:
+        merged = merge_paragraphs(e).select("elem_id", F.col("text").alias("merged_text"))
+        e = e.join(merged, "elem_id", "left")
+        part = live() & (F.col("type") == "text") & F.col("text").isNotNull()
+        e = e.withColumns({"dropped": F.coalesce("dropped", F.lit(False)) | (part & F.col("merged_text").isNull()), "text": F.when(part & F.col("merged_text").isNotNull(), F.col("merged_text")).otherwise(F.col("text"))}).drop("merged_text")
+    return captions(e)
+
+
+def captions(elements: DataFrame) -> DataFrame:
+    """Images with a box: their text becomes the caption and the text the path of the cut image."""
+    image = live() & F.col("type").isin(*IMAGES) & F.col("bbox").isNotNull() & (F.col("bbox.x2") > F.col("bbox.x1")) & (F.col("bbox.y2") > F.col("bbox.y1"))
+    return elements.withColumns({"image_caption": F.when(image, F.nullif(trim_all(F.col("text")), F.lit(""))).otherwise(F.col("image_caption")), "text": F.when(image, F.format_string("images/p%d_e%d.png", "page_index", "list_pos")).otherwise(F.col("text"))})
+
+
+def covers(types: DataFrame, pages: DataFrame) -> DataFrame:
+    """(book_id, cover_index, cover_path): the first page of type cover, else page 0."""
+    t = types.where("page_type = 'cover'").groupBy("book_id").agg(F.min("page_index").alias("c"))
+    want = pages.select("book_id").distinct().join(t, "book_id", "left").select("book_id", F.coalesce("c", F.lit(0)).alias("cover_index"))
+    paths = pages.groupBy("book_id", F.col("page_index").alias("cover_index")).agg(F.max("page_image_path").alias("cover_path"))
+    return want.join(paths, ["book_id", "cover_index"], "left")
+
+
+def with_page_markers(blocks: DataFrame) -> DataFrame:
+    """Blocks with a page comment before the first block of each page that is not an image page."""
+    marked = blocks.where("kind <> 'page'").select("book_id", "page_index").distinct()
+    rows = marked.select("book_id", "page_index", F.lit(-1 << 30).alias("order_index"), F.lit(-1).alias("list_pos"), F.lit(None).cast("bigint").alias("elem_id"), F.lit("marker").alias("kind"), F.format_string("<!-- page: %d -->", "page_index").alias("block"))
+    return blocks.unionByName(rows)
+
+
+def wrapped_chapters(blocks: DataFrame) -> DataFrame:
+    """(book_id, chapter, content): dialogue paragraphs in their div, each chapter's blocks joined in a chapter div; chapter 0 is what precedes the first."""
+    dialogue = (F.col("kind") == "text") & F.col("block").rlike('^["“「]')
+    body = F.when(dialogue, F.concat(F.lit("::: {.dialogue}\n"), "block", F.lit("\n:::"))).otherwise(F.col("block"))
+    numbered = running_sum(blocks, ((F.col("kind") == "title") & F.col("block").startswith("# ")).cast("int"), "chapter", order=READING)
+    rows = F.sort_array(F.collect_list(F.struct("page_index", "order_index", "list_pos", F.coalesce("elem_id", F.lit(-1).cast("bigint")).alias("e"), body.alias("body"))))
+    text = F.concat_ws("\n\n", F.transform(rows, lambda x: x["body"]))
+    return numbered.groupBy("book_id", "chapter").agg(text.alias("t")).select("book_id", "chapter", F.when(F.col("chapter") > 0, F.concat(F.lit("::: {.chapter}\n"), "t", F.lit("\n:::"))).otherwise(F.col("t")).alias("content"))

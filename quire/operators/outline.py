@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import CHAPTER, CHAPTER_LATIN, SECTION, numbering_depth, trim_all
 from quire.operators.flags import TITLES
+from quire.operators.ordered import running_sum
 
 #: Text heights, against the median, from which a title is of level 1 or 2; front matter.
 H1_RATIO, H2_RATIO, DEFAULT_LEVEL = 2.0, 1.4, 3
@@ -68,8 +68,7 @@ def enforce_order(levels: DataFrame) -> DataFrame:
 
 def chapter_numbers(levels: DataFrame, level: str = "level") -> DataFrame:
     """``chapter`` of each title of level 1, counted from 1 in reading order."""
-    order = W.partitionBy("book_id").orderBy("page_index", "list_pos", "elem_id")
-    return levels.where(F.col(level) == 1).withColumn("chapter", F.row_number().over(order))
+    return running_sum(levels.where(F.col(level) == 1), F.lit(1), "chapter")
 
 
 def level_histogram(levels: DataFrame, level: str = "level") -> DataFrame:

@@ -236,3 +236,99 @@ def recover_json(column: Column) -> Column:
 
     return pandas_udf(run, StringType())(column)
 
+
+
+def page_of_lines(lines: DataFrame) -> DataFrame:
+    """``page_index`` of each line: that of the last page comment at or before it, null before the first."""
+    marker = F.nullif(F.regexp_extract("line", r"^<!-- page: (\d+) -->\s*$", 1), F.lit("")).cast("int")
+    return lines.withColumn("page_index", F.last(marker, ignorenulls=True).over(_order().rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+
+def chapter_contexts(lines: DataFrame, limit: int = 200) -> DataFrame:
+    """(doc, line_no, context) of level-1 headings: the lines after it, without blanks and images, up to ``limit`` characters, the next chapter or div."""
+    stops = F.col("line").rlike(r"^\s*(?:# |:::)")
+    order = _order()
+    marked = lines.withColumn("is_h1", F.col("line").rlike(r"^# \S")).withColumn("island", F.sum(stops.cast("int")).over(order))
+    heads = marked.where("is_h1").select("doc", "line_no", "island")
+    body = marked.where((trim_all(F.col("line")) != "") & ~F.col("line").rlike(r"^\s*!\[") & ~stops).select("doc", "island", F.col("line_no").alias("n"), trim_all(F.col("line")).alias("t"))
+    # lines that begin after the limit was reached add nothing that the cut would keep
+    run = W.partitionBy("doc", "island").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    body = body.withColumn("before", F.coalesce(F.sum(F.length("t")).over(run), F.lit(0))).where(F.col("before") < limit)
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("n", "t"))), lambda x: x["t"])
+    return heads.join(body, ["doc", "island"], "left").groupBy("doc", "line_no").agg(F.left(F.concat_ws("\n", rows), F.lit(limit)).alias("context"))
+
+
+def toc_sections(lines: DataFrame) -> DataFrame:
+    """(doc, line_no, entry) of lines inside a contents section: opened by a level-3 contents heading, closed by a chapter; entries without leaders and page."""
+    opens, closes = F.col("line").rlike(r"^### .*(?:CONTENTS|目录)"), F.col("line").rlike(r"^# ") | F.col("line").startswith("::: {.chapter}")
+    state = F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(_order().rowsBetween(W.unboundedPreceding, W.currentRow))
+    entry = trim_all(F.regexp_replace("line", r"(?:[…\.·]{2,}|[/／])\s*\d.*$", ""))
+    return lines.withColumn("inside", F.coalesce(state, F.lit(False))).where(F.col("inside") & ~opens & is_body(F.col("line"))).select("doc", "line_no", entry.alias("entry"))
+
+
+def line_flags(lines: DataFrame, *families: tuple[str, DataFrame]) -> DataFrame:
+    """Lines with the kinds of issue at them as an array."""
+    out = None
+    for kind, df in families:
+        part = df.select("doc", F.col("start_line" if "start_line" in df.columns else "line_no").alias("line_no"), F.lit(kind).alias("kind"))
+        out = part if out is None else out.unionByName(part)
+    kinds = out.groupBy("doc", "line_no").agg(F.sort_array(F.collect_set("kind")).alias("issues"))
+    return lines.join(kinds, ["doc", "line_no"], "left").select("doc", "line_no", "line", F.coalesce("issues", F.array().cast("array<string>")).alias("issues"))
+
+
+def review_images(low: DataFrame, titles: DataFrame, most: int) -> DataFrame:
+    """(doc, page_index): pages to show, those of weak lines first, then those of titles with an issue; each page once, at most ``most`` for a document."""
+    both = low.select("doc", "page_index", F.lit(0).alias("rank"), "line_no").unionByName(titles.where("issue <> 'normal'").select("doc", "page_index", F.lit(1).alias("rank"), "line_no"))
+    once = both.where("page_index is not null").groupBy("doc", "page_index").agg(F.min(F.struct("rank", "line_no")).alias("at"))
+    return once.withColumn("n", F.row_number().over(W.partitionBy("doc").orderBy("at", "page_index"))).where(F.col("n") <= most).select("doc", "page_index", "n")
+
+
+def review_batches(low: DataFrame, titles: DataFrame, decorations: DataFrame | None = None) -> DataFrame:
+    """(doc, kind, batch, ids): weak lines and titles in fives, decorations in one, and one batch of structure for each document with any issue."""
+    parts = [batches(low, "low_confidence"), batches(titles, "titles")]
+    if decorations is not None:
+        parts.append(decorations.select("doc", F.lit("decorations").alias("kind"), "id", F.lit(0).cast("bigint").alias("batch")))
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.unionByName(p)
+    ids = all_.groupBy("doc", "kind", "batch").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return ids.unionByName(all_.select("doc").distinct().select("doc", F.lit("structure").alias("kind"), F.lit(0).cast("bigint").alias("batch"), F.array().cast("array<string>").alias("ids")))
+
+
+LISTS = ("low_confidence_fixes", "title_fixes", "paragraph_fixes", "chapter_fixes", "toc_fixes", "decoration_fixes")
+
+
+def merge_corrections(answers: DataFrame) -> DataFrame:
+    """(doc, key, value) from (doc, batch, key, value): lists are joined in order of batch, of other keys the last value that is not empty stays."""
+    rows = answers.where("value is not null")
+    lists = rows.where(F.col("key").isin(*LISTS))
+    joined = lists.groupBy("doc", "key").agg(F.to_json(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("batch", F.from_json("value", "array<string>").alias("v")))), lambda x: F.coalesce(x["v"], F.array().cast("array<string>"))))).alias("value"))
+    last = rows.where(~F.col("key").isin(*LISTS) & ~F.col("value").isin("", "{}", "null")).groupBy("doc", "key").agg(F.max_by("value", "batch").alias("value"))
+    return joined.unionByName(last)
+
+
+def metadata_fixes(books: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Books with the six metadata fields replaced where a fix is a text that is not blank."""
+    names = [c for c in ("title", "author", "lang", "date", "publisher", "rights") if c in books.columns and c in fixes.columns]
+    f = fixes.select("book_id", *[F.col(c).alias(f"fix_{c}") for c in names])
+    out = books.join(f, "book_id", "left")
+    return out.withColumns({c: F.coalesce(F.nullif(trim_all(F.col(f"fix_{c}")), F.lit("")), F.col(c)) for c in names}).drop(*[f"fix_{c}" for c in names])
+
+
+def ask(items: list, call, depth: int = 3) -> list[dict]:
+    """Answers for a list of items: ``call`` gives (text, finished). An answer cut off for length is asked again in halves, ``depth`` times at most; the last is read as far as it goes."""
+    import json
+
+    text, finished = call(items)
+    if not finished and depth > 0 and len(items) > 1:
+        middle = len(items) // 2
+        return ask(items[:middle], call, depth - 1) + ask(items[middle:], call, depth - 1)
+    fixed = lenient_json(text)
+    value = json.loads(fixed) if fixed else None
+    return [value] if isinstance(value, dict) else []
+
+
+def wants_second_review(books: DataFrame, enabled: bool, done: bool, text: str = "book_md") -> DataFrame:
+    """Books whose text still has review marks, if a review is enabled and was not run yet."""
+    marked = F.col(text).contains(LOW.strip()) | F.col(text).contains("[需校对]") | F.col(text).contains("[UNCLEAR]")
+    return books.where(marked) if enabled and not done else books.limit(0)

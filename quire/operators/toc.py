@@ -51,3 +51,41 @@ def render(linked: DataFrame) -> DataFrame:
     item = F.when(F.col("title").isin(*CATEGORIES), F.concat(F.lit("- **"), "title", F.lit("**"))).when(F.col("anchor").isNotNull(), F.concat(F.lit("- ["), "title", F.lit("]("), "anchor", F.lit(")"))).otherwise(F.concat(F.lit("- "), "title"))
     rows = F.sort_array(F.collect_list(F.struct("pos", item.alias("item"))))
     return linked.groupBy("book_id").agg(F.concat(F.lit("::: {.toc-list}\n"), F.concat_ws("\n", F.transform(rows, lambda x: x["item"])), F.lit("\n:::")).alias("toc_md"))
+
+
+CHAPTER_LINE = r"^#{1,3}\s+(.+?)\s*\{#(ch-\d+)\}\s*$"
+TOC_HEADING = r"^#{1,6}\s+.*(?:目录|目\s*录|CONTENTS|Contents|contents).*$"
+
+
+def chapter_anchors(lines: DataFrame) -> DataFrame:
+    """(doc, place, name, anchor) of headings of levels 1 to 3 with a chapter anchor."""
+    return lines.where(F.col("line").rlike(CHAPTER_LINE)).select("doc", F.col("line_no").alias("place"), trim_all(F.regexp_extract("line", CHAPTER_LINE, 1)).alias("name"), F.concat(F.lit("#"), F.regexp_extract("line", CHAPTER_LINE, 2)).alias("anchor"))
+
+
+def regions(lines: DataFrame) -> DataFrame:
+    """(doc, first, end): from the first contents heading to the first anchored chapter after it; documents without such a region have no row."""
+    start = lines.where(F.col("line").rlike(TOC_HEADING)).groupBy("doc").agg(F.min("line_no").alias("first"))
+    chapter = lines.where(F.col("line").rlike(CHAPTER_LINE)).select("doc", F.col("line_no").alias("at"))
+    return start.join(chapter, "doc").where("at > first").groupBy("doc", "first").agg(F.min("at").alias("end")).join(lines.where(F.col("line").rlike(CHAPTER_LINE)).select("doc", F.col("line_no").alias("first")), ["doc", "first"], "left_anti")
+
+
+def linkify(lines: DataFrame) -> DataFrame:
+    """Lines with the contents region replaced by a linked list; the same lines where there is no region, no anchor, or a list already.
+
+    A heading of level 1 and the div marks of the region stay. Doing it twice changes nothing.
+    """
+    done = lines.where(F.col("line").contains("::: {.toc-list}")).select("doc").distinct()
+    found = regions(lines).join(done, "doc", "left_anti")
+    inside = lines.join(found, "doc").where("line_no >= first and line_no < end")
+    entries = parse_lines(inside.select("doc", "line_no", "line"))
+    keyed = entries.select(F.col("doc").cast("string").alias("book_id"), (F.col("line_no").cast("bigint") * 1_000_000 + F.col("no")).alias("pos"), "title")
+    anchors = chapter_anchors(lines).select(F.col("doc").cast("string").alias("book_id"), "place", "name", "anchor")
+    lists = render(link(keyed, anchors)).select(F.col("book_id").alias("d"), "toc_md")
+    marks = inside.groupBy("doc", "first", "end").agg(
+        F.max(F.when(F.col("line_no") == F.col("first"), F.when(F.col("line").rlike(r"^# "), F.rtrim("line")))).alias("heading"),
+        F.bool_or(F.col("line").rlike(r"^:::\s*$")).alias("close"), F.bool_or(F.col("line").contains("::: {.chapter}")).alias("open"),
+    )
+    new = marks.join(lists, marks.doc.cast("string") == F.col("d"))
+    text = F.concat_ws("\n\n", "heading", "toc_md", F.when(F.col("close"), ":::"), F.when(F.col("open"), "::: {.chapter}"))
+    kept = lines.join(new.select("doc", "first", "end"), "doc", "left").where("first is null or line_no < first or line_no >= end").select("doc", "line_no", "line")
+    return kept.unionByName(new.select("doc", F.col("first").cast("int").alias("line_no"), text.alias("line")))

@@ -463,3 +463,72 @@ def dashboard(s, d):
 def recovered_json(s, d):
     cut_off = table(s, d, "page_cache").dropDuplicates(["cache_id"]).where("page_json is not null")
     return cut_off.where(F.expr("try_parse_json(page_json)").isNull()).select("cache_id", F.length(review.recover_json(F.col("page_json"))).alias("recovered_chars"))
+
+
+@query(f"WITH {L} SELECT doc, line_no::INT AS line_no, last_value(TRY_CAST(nullif(regexp_extract(line, '^<!-- page: (\\d+) -->\\s*$', 1), '') AS INT) IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page_index FROM l")
+def page_of_lines(s, d):
+    return review.page_of_lines(_lines(s, d)).select("doc", "line_no", "page_index")
+
+
+CHL = r"regexp_matches(line, '^#{1,3}\s+(.+?)\s*\{#(ch-\d+)\}\s*$')"
+
+
+@query(f"WITH {L} SELECT doc, line_no::INT AS place, {trim(chr(39).join(['regexp_extract(line, ', '^#{1,3}\\s+(.+?)\\s*\\{#(ch-\\d+)\\}\\s*$', ', 1)']))} AS name, '#' || regexp_extract(line, '^#{{1,3}}\\s+(.+?)\\s*\\{{#(ch-\\d+)\\}}\\s*$', 2) AS anchor FROM l WHERE {CHL}")
+def chapter_anchors(s, d):
+    return toc.chapter_anchors(_lines(s, d))
+
+
+@query(f"WITH {L}, {LOWS}, {HEADS}, {TI}, i0 AS (SELECT doc, 'low_confidence' AS kind, (row_number() OVER (PARTITION BY doc ORDER BY line_no) - 1) // 5 AS batch FROM lc UNION ALL SELECT doc, 'titles', (row_number() OVER (PARTITION BY doc ORDER BY line_no) - 1) // 5 FROM ti) SELECT doc, kind, batch, count(*)::INT AS items FROM i0 GROUP BY ALL UNION ALL SELECT DISTINCT doc, 'structure', 0, 0 FROM i0")
+def review_batches(s, d):
+    lines = _lines(s, d)
+    return review.review_batches(review.low_confidence_issues(lines), review.title_issues(lines)).select("doc", "kind", "batch", F.size("ids").alias("items"))
+
+
+@query(f"WITH {TYPES}, pp AS (SELECT book_id, page_index, max(page_image_path) AS path FROM page_results GROUP BY ALL), w AS (SELECT DISTINCT book_id FROM pp), cv AS (SELECT w.book_id, coalesce((SELECT min(page_index) FROM types WHERE types.book_id = w.book_id AND page_type = 'cover'), 0) AS cover_index FROM w) SELECT cv.book_id, cover_index, pp.path AS cover_path FROM cv LEFT JOIN pp ON pp.book_id = cv.book_id AND pp.page_index = cv.cover_index")
+def covers(s, d):
+    return assemble.covers(_types(s, d), _pages(s, d))
+
+
+@query()
+def processed_elements(s, d):
+    return assemble.process(_elements(s, d), _pages(s, d)).select("elem_id", "text", "dropped", "low_confidence", "image_caption")
+
+
+@query()
+def wrapped_chapters(s, d):
+    return assemble.wrapped_chapters(_blocks(s, d))
+
+
+@query()
+def marked_blocks(s, d):
+    return assemble.with_page_markers(_blocks(s, d))
+
+
+@query()
+def chapter_contexts(s, d):
+    return review.chapter_contexts(_lines(s, d))
+
+
+@query()
+def toc_sections(s, d):
+    return review.toc_sections(_lines(s, d))
+
+
+@query()
+def linked_lines(s, d):
+    return toc.linkify(_lines(s, d))
+
+
+@query()
+def flagged_lines(s, d):
+    lines = _lines(s, d)
+    return review.line_flags(lines, ("title", review.title_issues(lines)), ("low_confidence", review.low_confidence_issues(lines)), ("paragraph", review.short_line_clusters(lines)))
+
+
+@query()
+def review_images(s, d):
+    lines = review.page_of_lines(_lines(s, d))
+    pages = lines.select("doc", "line_no", "page_index")
+    low = review.low_confidence_issues(lines.drop("page_index")).join(pages, ["doc", "line_no"])
+    titles = review.title_issues(lines.drop("page_index")).join(pages, ["doc", "line_no"])
+    return review.review_images(low, titles, 5)

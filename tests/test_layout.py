@@ -127,3 +127,12 @@ def test_store(spark):
     assert [r.page_index for r in store.pages_to_do(books, log).collect()] == [2]
     assert len(log.select(store.config_key("dpi", "cfg_hash").alias("k")).first().k) == 40
     assert log.limit(0).select(F.count("*")).first()[0] == 0
+
+
+def test_chain_keeps_every_word(spark, make_elements):
+    rows = [dict(page_index=0, text="开头,未完"), dict(page_index=0, type="image", text="图说", list_pos=5), dict(page_index=1, bbox=box(30.0), text="7", list_pos=0), dict(page_index=1, text="接着。", list_pos=1), dict(page_index=1, text="", confidence=0.1, list_pos=2)]
+    got = {r.elem_id: r for r in assemble.process(make_elements(rows), pages(spark)).collect()}
+    assert len(got) == 5 and got[1].text == "开头，未完接着。" and got[4].dropped and got[3].dropped and got[5].dropped and got[2].image_caption == "图说" and got[2].text == "images/p0_e5.png"
+    types = spark.createDataFrame([("b", 1, "cover"), ("b", 3, "cover")], "book_id string, page_index int, page_type string")
+    p = pages(spark).withColumn("page_image_path", F.format_string("p%d.png", "page_index"))
+    assert assemble.covers(types, p).first().cover_path == "p1.png" and assemble.covers(types.limit(0), p).first().cover_path == "p0.png"

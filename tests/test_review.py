@@ -117,3 +117,39 @@ def test_files(spark, tmp_path):
     got = {r.path: (r.page_json, r.error) for r in files.recognise(spark.createDataFrame([("p", bytearray(b"1")), ("q", bytearray(b""))], "path string, content binary"), files.reader("x")).collect()}
     assert got == {"p": ("{}", None), "q": (None, "empty")}
     assert random.Random(1).random() != 2
+
+
+def test_lines_and_pages(spark):
+    df = lines(spark, "a\n<!-- page: 3 -->\nb\n\n# T {#ch-1}\n\n![x](images/y.png)\nfirst\nsecond\n# U {#ch-2}")
+    assert [r.page_index for r in review.page_of_lines(df).orderBy("line_no").collect()] == [None] + [3] * 9
+    assert {r.line_no: r.context for r in review.chapter_contexts(df).collect()} == {4: "first\nsecond", 9: ""}
+    assert [(r.place, r.name, r.anchor) for r in toc.chapter_anchors(df).orderBy("place").collect()] == [(4, "T", "#ch-1"), (9, "U", "#ch-2")]
+
+
+def test_contents_region_is_linked_once(spark):
+    md = "front\n# 目录\n第一卷南山经／2第二卷西山经／16\n:::\n::: {.chapter}\n# 第一卷南山经 {#ch-1}\nbody"
+    df = lines(spark, md)
+    assert [(r.first, r.end) for r in toc.regions(df).collect()] == [(1, 5)]
+    once = toc.linkify(df).orderBy("line_no").collect()
+    text = "\n".join(r.line for r in once)
+    assert text == "front\n# 目录\n\n::: {.toc-list}\n- [第一卷南山经](#ch-1)\n- 第二卷西山经\n:::\n\n:::\n\n::: {.chapter}\n# 第一卷南山经 {#ch-1}\nbody"
+    assert "\n".join(r.line for r in toc.linkify(lines(spark, text)).orderBy("line_no").collect()) == text
+    assert [r.entry for r in review.toc_sections(lines(spark, "### 目录\n条目……12\n次项/3\n# 章")).orderBy("line_no").collect()] == ["条目", "次项"]
+
+
+def test_answers_are_merged_and_applied(spark):
+    rows = [(1, 0, "title_fixes", '["a"]'), (1, 1, "title_fixes", '["b","c"]'), (1, 0, "metadata", '{"title":"x"}'), (1, 1, "metadata", "{}"), (1, 2, "other", None)]
+    got = {r.key: r.value for r in review.merge_corrections(spark.createDataFrame(rows, "doc bigint, batch int, key string, value string")).collect()}
+    assert got == {"title_fixes": '["a","b","c"]', "metadata": '{"title":"x"}'}
+    books = spark.createDataFrame([("b", "T", "A")], "book_id string, title string, author string")
+    fixed = review.metadata_fixes(books, spark.createDataFrame([("b", " N ", " ")], "book_id string, title string, author string")).first()
+    assert (fixed.title, fixed.author) == ("N", "A")
+    calls = []
+
+    def call(items):
+        calls.append(len(items))
+        return json.dumps({"n": items}), len(items) <= 2
+
+    assert [x["n"] for x in review.ask([1, 2, 3, 4, 5], call)] == [[1, 2], [3], [4, 5]] and calls == [5, 2, 3, 1, 2]
+    marked = spark.createDataFrame([(1, ">[low-confidence] x"), (2, "ok")], "i int, book_md string")
+    assert review.wants_second_review(marked, True, False).count() == 1 and review.wants_second_review(marked, True, True).count() == 0
