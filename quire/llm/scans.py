@@ -39,6 +39,8 @@ from quire.runtime import cut
 
 #: Most words the workers are told to be good, buckets of the vectors, their length; rarity: a word is rare against one RATIO times as frequent that occurs at least LEAST times.
 KNOWN, VECTORS, LENGTH, RATIO, LEAST = 20_000, 1024, 16, 8, 5
+#: Most books whose page heights (two columns) are broadcast.
+BROADCAST_BOOKS = 100_000
 #: Edges of a page, as shares of its height; a head stands on at least so many pages.
 TOP, BOTTOM, HEAD_PAGES = 0.06, 0.925, 3
 
@@ -434,7 +436,9 @@ def heights(elements: DataFrame, pages: DataFrame | None) -> DataFrame:
 def scan(elements: DataFrame, pages: DataFrame | None, good: frozenset[str]) -> DataFrame:
     """Events of all elements: rows of :data:`EVENT_SCHEMA`."""
     e = elements.where("text is not null").select("elem_id", "book_id", "page_index", "list_pos", "type", "text", F.col("bbox.y1").alias("y1"), F.col("bbox.y2").alias("y2"))
-    h = heights(elements, pages).withColumnRenamed("book_id", "b")
+    h = cut(heights(elements, pages)).withColumnRenamed("book_id", "b")
+    if h.count() <= BROADCAST_BOOKS:  # known to be small; more books are joined by a shuffle
+        h = F.broadcast(h)
     rows = e.join(h, e.book_id == h.b, "left").select("elem_id", "book_id", "page_index", "list_pos", "type", "text", (F.col("y1") / F.col("height")).alias("top"), (F.col("y2") / F.col("height")).alias("bottom"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
