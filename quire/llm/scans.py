@@ -276,12 +276,14 @@ def links(counts: DataFrame) -> DataFrame:
     return joined.mapInPandas(check, "wrong string, true string, n_wrong bigint, n_true bigint").distinct()
 
 
-def good_words(counts: DataFrame, linked: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """The most frequent words that are linked to no other, and those among them with a hyphen; at most KNOWN."""
-    words = counts.where(f"word is not null and n >= {LEAST} and not word rlike '^[LR]..$'")
-    top = words.orderBy(F.desc("n"), "word").limit(KNOWN).join(linked.select(F.col("wrong").alias("word")).distinct(), "word", "left_anti").select("word").collect()
-    good = frozenset(r["word"] for r in top)
-    return good, frozenset(w for w in good if "-" in w)
+def good_words(counts: DataFrame, linked: DataFrame) -> frozenset[str]:
+    """The most frequent words and, of ideographs that may be misread, pairs with a neighbour, that are linked to no other; at most KNOWN of each."""
+    words = counts.where(f"word is not null and n >= {LEAST}")
+    pair = F.col("word").rlike("^[LR]..$")
+    watched = F.col("word").rlike(f"^L.[{''.join(sorted(_TO_TRUE))}]$|^R[{''.join(sorted(_TO_TRUE))}].$")
+    top = words.where(~pair).orderBy(F.desc("n"), "word").limit(KNOWN).unionByName(words.where(pair & watched).orderBy(F.desc("n"), "word").limit(KNOWN))
+    kept = top.join(linked.select(F.col("wrong").alias("word")).distinct(), "word", "left_anti").select("word").collect()
+    return frozenset(r["word"] for r in kept)
 
 
 def roman(text: str) -> int | None:
@@ -605,7 +607,7 @@ class Noise:
         counts = cut(count_noise(elements))
         self.elements = elements
         self.linked = cut(links(counts))
-        self.good, _ = good_words(counts, self.linked)
+        self.good = good_words(counts, self.linked)
         self.model = vectors(counts)
         self.events = cut(scan(elements, pages, self.good))
 
