@@ -136,12 +136,20 @@ _TWO_SPACES = re.compile(r"[  　]{2}|\t")
 _KEY = {cp: (d[0].translate(_FOLD)) for cp in range(0xC0, 0x180) if len(d := unicodedata.normalize("NFD", chr(cp))) > 1} | {ord(k): v for k, v in _TO_TRUE.items()} | _FOLD
 
 
+class Buckets(dict):
+    """Word -> bucket of its vector, computed when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        b = self[word] = zlib.crc32(word.encode()) % VECTORS
+        return b
+
+
 class Counts:
     """Word, ideograph-context and co-occurrence counts of a partition."""
 
     def __init__(self) -> None:
         self.words: Counter[str] = Counter()
-        self.bucket: dict[str, int] = {}
+        self.bucket = Buckets()
         self.pairs = np.zeros(VECTORS * VECTORS, dtype=np.int64)
 
     def add(self, texts: list[str]) -> None:
@@ -162,13 +170,7 @@ class Counts:
             found = _WORD.findall(text.lower())
             if found:
                 words.update(found)
-                seq = np.empty(len(found), dtype=np.int64)
-                for k, w in enumerate(found):
-                    b = bucket.get(w)
-                    if b is None:
-                        b = bucket[w] = zlib.crc32(w.encode()) % VECTORS
-                    seq[k] = b
-                ids.append(seq)
+                ids.append(np.array(list(map(bucket.__getitem__, found)), dtype=np.int64))
         gap = np.array([-1], dtype=np.int64)
         if not ids:
             return
@@ -397,7 +399,7 @@ def scan_element(text: str, kind: str, top: float | None, bottom: float | None,
                     seen.add((flat[i], ends))
                     out.append(("han", f"L{ends[0]}{flat[i]}", f"R{flat[i]}{ends[1]}", str(i), None))
         words = _WORD.findall(line.lower()) if _LETTER.search(line) else []
-        for i, w in enumerate(words):
+        for i, w in enumerate(words) if not good.issuperset(words) else ():
             if w not in good and len(w) > 2:
                 out.append(("word", w, words[i - 1] if i else None, words[i + 1] if i + 1 < len(words) else None, None))
     if kind == "number" and (edge or _WHOLE_NUMBER.fullmatch(consistent(text) or "")):
