@@ -92,4 +92,6 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_elements, p2_titles, p5_found, p5_pieces, p6_found, p6_paragraphs, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_scores, p9_rates)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": "SELECT DISTINCT content_id FROM book_content b JOIN size_limits s ON s.use_for = 'piece' AND s.lang = b.lang WHERE length(book_md) > max_size",
+}
