@@ -56,4 +56,13 @@ def p4_line_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_pages, p4_found, p4_pages, p4_elements, p4_boxes, p4_line_scores)}
-SQL: dict[str, str] = {}
+
+_LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN json_extract({0}, '$[*]') WHEN 'OBJECT' THEN [{0}] ELSE [] END"
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH RECURSIVE j AS (SELECT 'page_cache' AS src, cache_id AS row_id, page_json::JSON AS j FROM page_cache WHERE json_valid(page_json) UNION ALL SELECT 'page_results', page_id, raw_json::JSON FROM page_results WHERE json_valid(raw_json)),
+r AS (SELECT src, row_id, coalesce(CASE WHEN json_type(j, '$.res') = 'OBJECT' THEN json_extract(j, '$.res') END, j) AS j FROM j),
+l AS (SELECT src, row_id, CASE WHEN src = 'page_cache' THEN coalesce(json_extract(j, '$.parsing_res_list'), json_extract(j, '$.blocks')) ELSE coalesce(json_extract(j, '$.elements'), json_extract(j, '$.lines')) END AS x FROM r),
+t AS (SELECT src, row_id, {_LIST.format("x")} AS items FROM l), e AS (SELECT src, row_id, (i - 1)::VARCHAR AS path, items[i] AS x FROM t, unnest(range(1, len(items) + 1)) u(i) WHERE json_type(items[i]) = 'OBJECT'
+UNION ALL SELECT src, row_id, path || '.' || (i - 1), ch[i] FROM (SELECT src, row_id, path, {_LIST.format("json_extract(x, '$.children')")} AS ch FROM e) c, unnest(range(1, len(ch) + 1)) u(i) WHERE json_type(ch[i]) = 'OBJECT')
+SELECT DISTINCT src, row_id, path AS elem_path FROM e WHERE contains(path, '.')""",
+}

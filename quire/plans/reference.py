@@ -180,7 +180,13 @@ def level_histogram(s, d):
     return outline.level_histogram(outline.title_levels(_elements(s, d)))
 
 
-@query()
+_FRONT = "|".join(outline.FRONT_MATTER)
+
+
+@query(f"""WITH RECURSIVE {E}, {LEVELS}, tt AS (SELECT book_id, elem_id, level, CASE WHEN regexp_matches(text, '^\\s*(?:{_FRONT})') THEN 2 ELSE 1 END AS low, row_number() OVER (PARTITION BY book_id ORDER BY page_index, list_pos, elem_id) AS rn FROM v),
+ff AS (SELECT book_id, elem_id, level, rn, CASE WHEN level <= low THEN level ELSE low END AS final_level, [CASE WHEN level <= low THEN level ELSE low END] AS seen FROM tt WHERE rn = 1
+UNION ALL SELECT book_id, elem_id, level, rn, new, list_append(seen, new) FROM (SELECT tt.book_id, tt.elem_id, tt.level, tt.rn, ff.seen, CASE WHEN tt.level <= tt.low THEN tt.level ELSE coalesce(list_max(list_filter(range(tt.low + 1, tt.level + 1), lambda k: list_contains(ff.seen, k - 1))), tt.low) END AS new FROM tt JOIN ff ON tt.book_id = ff.book_id AND tt.rn = ff.rn + 1))
+SELECT elem_id, book_id, level::INT AS level, final_level::INT AS final_level FROM ff""")
 def ordered_levels(s, d):
     return outline.enforce_order(outline.title_levels(_elements(s, d))).select("elem_id", "book_id", "level", "final_level")
 
@@ -266,14 +272,30 @@ def layout_elements(s, d):
     return _layout(s, d).select("cache_id", "list_pos", "type", F.length("text").alias("text_chars"), "order_index")
 
 
-@query()
+BOX = """CASE WHEN json_type(x, '$.block_bbox') = 'ARRAY' AND json_array_length(x, '$.block_bbox') >= 4 THEN json_extract(x, '$.block_bbox') WHEN json_type(x, '$.block_bbox') IS NULL AND json_type(x, '$.bbox') = 'ARRAY' AND json_array_length(x, '$.bbox') >= 4 THEN json_extract(x, '$.bbox') END"""
+
+
+@query(f"""WITH {J}, k AS (SELECT i.cache_id, list_pos, list_transform(coalesce(TRY_CAST({BOX} AS DOUBLE[]), [0, 0, 0, 0])[1:4], lambda a: trunc(a)) AS q, TRY_CAST(json_extract(r.j, '$.overall_ocr_res.rec_boxes') AS DOUBLE[][]) AS rb, TRY_CAST(json_extract(r.j, '$.overall_ocr_res.rec_scores') AS DOUBLE[]) AS rs,
+ TRY_CAST(json_extract(r.j, '$.layout_det_res.boxes[*].coordinate') AS VARCHAR[]) AS lc, json_extract_string(r.j, '$.layout_det_res.boxes[*].score') AS ls, json_extract(r.j, '$.layout_det_res.boxes[*]') AS lb FROM i JOIN r USING (cache_id) WHERE json_type(x) = 'OBJECT'),
+n AS (SELECT *, list_filter(range(1, least(len(coalesce(rb, [])), len(coalesce(rs, []))) + 1), lambda z: rs[z] IS NOT NULL AND (trunc(rb[z][1]) + trunc(rb[z][3])) / 2 BETWEEN q[1] AND q[3] AND (trunc(rb[z][2]) + trunc(rb[z][4])) / 2 BETWEEN q[2] AND q[4]) AS hit,
+ list_filter(lb, lambda b: json_type(b, '$.coordinate') = 'ARRAY' AND TRY_CAST(json_extract_string(b, '$.score') AS DOUBLE) IS NOT NULL AND (list_transform(TRY_CAST(json_extract(b, '$.coordinate') AS DOUBLE[])[1:4], lambda a: trunc(a)) = q OR list_transform(TRY_CAST(json_extract(b, '$.coordinate') AS DOUBLE[])[1:4], lambda a: round_even(a, 0)) = q)) AS same FROM k)
+SELECT cache_id, list_pos::INT AS list_pos, round(coalesce(list_avg(list_transform(hit, lambda z: rs[z])), TRY_CAST(json_extract_string(same[len(same)], '$.score') AS DOUBLE)), 6) AS confidence FROM n""")
 def layout_confidence(s, d):
-    return _layout(s, d).select("cache_id", "list_pos", "bbox", F.round("confidence", 6).alias("confidence"))
+    return _layout(s, d).select("cache_id", "list_pos", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+@query("""WITH j AS (SELECT page_id, coalesce(CASE WHEN json_type(raw_json, '$.res') = 'OBJECT' THEN json_extract(raw_json, '$.res') END, raw_json::JSON) AS j FROM (SELECT * FROM page_results WHERE json_valid(raw_json) QUALIFY row_number() OVER (PARTITION BY page_id) = 1)),
+i AS (SELECT page_id, unnest(CASE WHEN json_type(j, '$.elements') = 'ARRAY' THEN json_extract(j, '$.elements[*]') ELSE [] END) AS x, generate_subscripts(CASE WHEN json_type(j, '$.elements') = 'ARRAY' THEN json_extract(j, '$.elements[*]') ELSE [] END, 1) - 1 AS list_pos FROM j)
+SELECT page_id, list_pos::INT AS list_pos, coalesce(nullif(json_extract_string(x, '$.type'), ''), 'text') AS type, coalesce(TRY_CAST(json_extract_string(x, '$.order_index') AS INT), list_pos)::INT AS order_index, round(TRY_CAST(json_extract_string(x, '$.confidence') AS DOUBLE), 6) AS confidence FROM i WHERE json_type(x) = 'OBJECT'""")
 def line_elements(s, d):
-    return ocr_json.line_elements(table(s, d, "page_results").where("raw_json is not null").dropDuplicates(["page_id"]), ("page_id",))
+    rows = ocr_json.line_elements(table(s, d, "page_results").where("raw_json is not null").dropDuplicates(["page_id"]), ("page_id",))
+    return rows.select("page_id", "list_pos", "type", "order_index", F.round("confidence", 6).alias("confidence"))
+
+
+@query()
+def line_texts(s, d):
+    rows = ocr_json.line_elements(table(s, d, "page_results").where("raw_json is not null").dropDuplicates(["page_id"]), ("page_id",))
+    return rows.select("page_id", "list_pos", "text", "bbox")
 
 
 SHORT_LINE = f"(length({trim('line')}) <= 30 AND NOT regexp_matches({trim('line')}, '(?:。|！|？|;|；|\\.)$'))"
@@ -383,7 +405,9 @@ def toc_mismatches(s, d):
     return review.toc_mismatches(entries, _anchors(s, d)).withColumn("overlap", F.round("overlap", 6))
 
 
-@query()
+@query(f"""WITH {E}, {LEVELS}, {AN}, {TE}, m2 AS (SELECT t.*, place, elem_id, CASE WHEN title = name THEN 1 WHEN replace(title, ' ', '') = replace(name, ' ', '') THEN 2 WHEN contains(name, title) OR contains(title, name) THEN 3 WHEN starts_with(name, left(title, 4)) THEN 4 END AS rank FROM t JOIN an USING (book_id)),
+z AS (SELECT book_id, pos, title, elem_id FROM m2 WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book_id, pos, title ORDER BY rank, place) = 1), y AS (SELECT t.book_id, t.pos, CASE WHEN t.title IN ('山经', '海经') THEN '- **' || t.title || '**' WHEN z.elem_id IS NOT NULL THEN '- [' || t.title || '](#e' || z.elem_id || ')' ELSE '- ' || t.title END AS item FROM t LEFT JOIN z ON z.book_id = t.book_id AND z.pos = t.pos AND z.title = t.title)
+SELECT book_id, '::: {{.toc-list}}' || chr(10) || string_agg(item, chr(10) ORDER BY pos, item) || chr(10) || ':::' AS toc_md FROM y GROUP BY book_id""")
 def toc_rendered(s, d):
     return toc.render(toc.link(table(s, d, "toc_entries"), _anchors(s, d)))
 
@@ -494,14 +518,16 @@ def processed_elements(s, d):
     return assemble.process(_elements(s, d), _pages(s, d)).select("elem_id", "text", "dropped", "low_confidence", "image_caption")
 
 
-@query()
+@query(f"""WITH {BLOCKS}, kind AS (SELECT elem_id, CASE WHEN {TITLE} THEN 'title' WHEN {IMAGE} THEN 'image' WHEN type = 'table' THEN 'table' WHEN type IN ('formula', 'display_formula') THEN 'formula' ELSE 'text' END AS kind FROM e), w AS (SELECT blocks.*, coalesce(kind, 'page') AS kind FROM blocks LEFT JOIN kind USING (elem_id)),
+cc AS (SELECT *, sum(CASE WHEN kind = 'title' AND starts_with(block, '# ') THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY page_index, ord, list_pos, elem_id NULLS FIRST) AS chapter FROM w), g AS (SELECT book_id, chapter, string_agg(CASE WHEN kind = 'text' AND regexp_matches(block, '^["“「]') THEN '::: {{.dialogue}}' || chr(10) || block || chr(10) || ':::' ELSE block END, chr(10) || chr(10) ORDER BY page_index, ord, list_pos, coalesce(elem_id, -1)) AS t FROM cc GROUP BY ALL)
+SELECT book_id, chapter::BIGINT AS chapter, md5(CASE WHEN chapter > 0 THEN '::: {{.chapter}}' || chr(10) || t || chr(10) || ':::' ELSE t END) AS content_md5 FROM g""")
 def wrapped_chapters(s, d):
-    return assemble.wrapped_chapters(_blocks(s, d))
+    return assemble.wrapped_chapters(_blocks(s, d)).select("book_id", "chapter", F.md5("content").alias("content_md5"))
 
 
-@query()
+@query(f"WITH {BLOCKS} SELECT book_id, page_index, elem_id, md5(block) AS block_md5 FROM blocks UNION ALL SELECT DISTINCT book_id, page_index, NULL::BIGINT, md5('<!-- page: ' || page_index || ' -->') FROM blocks WHERE elem_id IS NOT NULL")
 def marked_blocks(s, d):
-    return assemble.with_page_markers(_blocks(s, d))
+    return assemble.with_page_markers(_blocks(s, d)).select("book_id", "page_index", "elem_id", F.md5("block").alias("block_md5"))
 
 
 @query()
