@@ -189,15 +189,16 @@ def _input(df: DataFrame, id_col: str, json_col: str, src: str) -> DataFrame:
     return df.select(F.lit(src).alias("src"), df[id_col].cast("bigint").alias("row_id"), df[json_col].alias("doc"))
 
 
-def flatten(df: DataFrame, id_col: str, json_col: str, src: str) -> DataFrame:
-    """All nodes of each row's JSON as rows of :data:`NODE_SCHEMA`; see the module's text.
+def flatten(df: DataFrame, id_col: str, json_col: str, src: str, nodes: tuple[str, ...] = ("page", "element", "box", "line")) -> DataFrame:
+    """Nodes of each row's JSON as rows of :data:`NODE_SCHEMA`; see the module's text.
 
-    No shuffle: each row is flattened where it is read.
+    ``nodes`` names the tables wanted. No shuffle: each row is flattened where it is read.
     """
+    wanted = frozenset(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(src, i, *node) for i, doc in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()) for node in flatten_page(doc, src)]
+            rows = [(src, i, *node) for i, doc in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()) for node in flatten_page(doc, src) if node[0] in wanted]
             columns = list(zip(*rows)) if rows else [[] for _ in _NODE_ARROW]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _NODE_ARROW)], schema=_NODE_ARROW)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.operators import drift, nested
 from quire.runtime import table
@@ -35,8 +34,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, d: str, node: str) -> DataFrame:
-    parts = [nested.flatten(table(spark, d, src).dropDuplicates([row]), row, column, src) for src, row, _, column in SOURCES]
-    return parts[0].unionByName(parts[1]).where(F.col("node") == node)
+    parts = [nested.flatten(table(spark, d, src).dropDuplicates([row]), row, column, src, (node,)) for src, row, _, column in SOURCES]
+    return parts[0].unionByName(parts[1])
 
 
 def p4_pages(spark: SparkSession, d: str) -> DataFrame:
