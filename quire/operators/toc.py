@@ -22,28 +22,57 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return out.where(~is_toc_noise(F.col("title"))).select("doc", "line_no", (F.col("piece_no") * 1000 + F.col("part_no")).alias("no"), "title", "page")
 
 
+GRAM = 4
+
+
+def _grams(text, size: int = GRAM):
+    """The different substrings of a text of one to ``size`` characters; longer texts by those of ``size`` alone are found too."""
+    def of(k: int):
+        return F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substr(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(k) for k in range(1, size + 1)]))
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(key, a, b): pairs of one key where text ``a`` of ``inner`` stands inside text ``b`` of ``outer``.
+
+    A text meets only the texts that hold its rarest group of characters in the
+    key, not all of the key. Both have columns (key, text), without empty texts.
+    """
+    held = outer.select("key", F.col("text").alias("b")).distinct().withColumn("gram", F.explode(_grams(F.col("b"))))
+    counts = held.groupBy("key", "gram").agg(F.count("*").alias("n"))
+    own = inner.select("key", F.col("text").alias("a")).distinct()
+    size = F.least(F.length("a"), F.lit(GRAM))
+    parts = own.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("a") - size + 1), lambda i: F.substr(F.col("a"), i, size)))))
+    rarest = parts.join(counts, ["key", "gram"]).groupBy("key", "a").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return rarest.join(held, ["key", "gram"]).where(F.col("b").contains(F.col("a"))).select("key", "a", "b")
+
+
 def link(entries: DataFrame, anchors: DataFrame) -> DataFrame:
     """Entries (book_id, pos, title, ...) with the anchor they name, or null.
 
     Ranks: equal; equal without spaces; one inside the other; same first four
-    characters. Within a rank the first anchor by place wins. The first, second
-    and fourth rank are equi-joins; containment compares within a book only.
-    ``anchors`` are (book_id, place, name, anchor).
+    characters. Within a rank the first anchor by place wins. All ranks are
+    equi-joins: containment by :func:`contained`. ``anchors`` are (book_id,
+    place, name, anchor).
     """
-    e = entries.where("title is not null and title <> ''").select("book_id", "pos", "title")
-    a = anchors.select("book_id", "place", "name", "anchor")
+    e = entries.where("title is not null and title <> ''").select("book_id", "pos", "title").distinct()
+    a = anchors.where("name <> ''").groupBy("book_id", "name").agg(F.min(F.struct("place", "anchor")).alias("x")).select(F.col("book_id").alias("b"), "name", "x.place", "x.anchor")
     spaceless = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    titles, names = e.select(F.col("book_id").alias("key"), F.col("title").alias("text")), a.select(F.col("b").alias("key"), F.col("name").alias("text"))
+    inside = contained(titles, names).select(F.col("key").alias("k"), F.col("a").alias("t"), F.col("b").alias("n")).unionByName(contained(names, titles).select(F.col("key").alias("k"), F.col("b").alias("t"), F.col("a").alias("n"))).distinct()
+    ranked = lambda df, rank: df.where("book_id = b").select("book_id", "pos", "title", F.lit(rank).alias("rank"), "place", "anchor")
     ranks = [
-        e.join(a, (e.book_id == a.book_id) & (e.title == a.name)).select(e.book_id, "pos", "title", F.lit(1).alias("rank"), "place", "anchor"),
-        e.withColumn("k", spaceless("title")).join(a.withColumn("k", spaceless("name")).withColumnRenamed("book_id", "b"), ["k"]).where("book_id = b").select("book_id", "pos", "title", F.lit(2).alias("rank"), "place", "anchor"),
-        e.join(a.withColumnRenamed("book_id", "b"), F.col("book_id") == F.col("b")).where(F.col("name").contains(F.col("title")) | F.col("title").contains(F.col("name"))).select("book_id", "pos", "title", F.lit(3).alias("rank"), "place", "anchor"),
-        e.withColumn("k", F.left("title", F.lit(4))).join(a.withColumnRenamed("book_id", "b"), F.col("book_id") == F.col("b")).where(F.col("name").startswith(F.col("k"))).select("book_id", "pos", "title", F.lit(4).alias("rank"), "place", "anchor"),
+        ranked(e.join(a, (e.book_id == a.b) & (e.title == a.name)), 1),
+        ranked(e.withColumn("k", spaceless("title")).join(a.withColumn("k", spaceless("name")), "k"), 2),
+        ranked(e.join(inside, (F.col("book_id") == F.col("k")) & (F.col("title") == F.col("t"))).join(a, (F.col("k") == F.col("b")) & (F.col("n") == F.col("name"))), 3),
+        ranked(e.where(F.length("title") >= 4).withColumn("k", F.left("title", F.lit(4))).join(a.withColumn("k", F.left("name", F.lit(4))), "k"), 4),
     ]
     all_ = ranks[0]
     for r in ranks[1:]:
         all_ = all_.unionByName(r)
     best = all_.groupBy("book_id", "pos", "title").agg(F.min_by(F.struct("rank", "anchor"), F.struct("rank", "place")).alias("m")).select("book_id", "pos", "title", "m.rank", "m.anchor")
-    return e.distinct().join(best, ["book_id", "pos", "title"], "left")
+    return e.join(best, ["book_id", "pos", "title"], "left")
 
 
 def render(linked: DataFrame) -> DataFrame:

@@ -153,3 +153,12 @@ def test_answers_are_merged_and_applied(spark):
     assert [x["n"] for x in review.ask([1, 2, 3, 4, 5], call)] == [[1, 2], [3], [4, 5]] and calls == [5, 2, 3, 1, 2]
     marked = spark.createDataFrame([(1, ">[low-confidence] x"), (2, "ok")], "i int, book_md string")
     assert review.wants_second_review(marked, True, False).count() == 1 and review.wants_second_review(marked, True, True).count() == 0
+
+
+def test_contained_equals_all_pairs(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(rng.randrange(1, n)))
+    a, b = [(rng.choice("xy"), word(7)) for _ in range(40)], [(rng.choice("xy"), word(14)) for _ in range(60)]
+    want = {(k, s, t) for k, s in a for m, t in b if k == m and s in t}
+    make = lambda rows: spark.createDataFrame(rows, "key string, text string")
+    assert {tuple(r) for r in toc.contained(make(a), make(b)).collect()} == want
