@@ -34,9 +34,8 @@ from quire.llm.abuse_seeds import HARMFUL, HARMLESS, WORDS
 from quire.llm.lookalike import consistent
 
 CLASSES = ("none", "abusive", "hateful", "sexual")
-#: Most rated documents used in training, and characters kept of each for it. Scoring knows no such bounds.
+#: Most rated documents used in training, with their whole texts. Scoring knows no such bound.
 LABELLED = 1500
-TRAIN_CHARS = 4000
 WINDOW, STRIDE = 48, 24
 BUCKETS, DIM, HIDDEN, ATTEND, GRAMS = 4096, 24, 20, 16, 10
 THRESHOLD = 0.7
@@ -130,6 +129,16 @@ def windows(seq: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sums(rows: int, index: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` with equal index."""
+    order = np.argsort(index, kind="stable")
+    at = index[order]
+    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    out = np.zeros((rows, values.shape[1]), values.dtype)
+    out[at[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
@@ -215,7 +224,6 @@ class Network:
         dx = np.zeros_like(x)
         for k, d in enumerate("fb"):
             wh = self.p[f"h{d}"]
-            gin = np.zeros((len(x), 3 * H), np.float32)
             gh = np.zeros_like(wh)
             carry = np.zeros((n, H), np.float32)
             dpres, where = [], []
@@ -231,14 +239,13 @@ class Network:
                 carry = total * (1 - m * (1 - z)) + hid @ wh.T
                 dpres.append(pre)
                 where.append(keep["ids"][t])
-            np.add.at(gin, np.concatenate(where), np.concatenate(dpres))
+            gin = _sums(len(x), np.concatenate(where), np.concatenate(dpres))
             g[f"h{d}"], g[f"x{d}"], g[f"b{d}"] = gh, x.T @ gin, gin.sum(0)
             dx += gin @ self.p[f"x{d}"].T
         dx[0] = 0
-        gw = np.zeros_like(self.p["word"])
-        np.add.at(gw, word, dx)
-        gg = np.zeros_like(self.p["gram"])
-        np.add.at(gg, index.reshape(-1), (share[:, :, None] * dx[:, None, :]).reshape(-1, DIM))
+        used_grams = share > 0
+        gw = _sums(BUCKETS, word, dx)
+        gg = _sums(BUCKETS, index[used_grams], (share[:, :, None] * dx[:, None, :])[used_grams]) if used_grams.any() else np.zeros_like(self.p["gram"])
         return loss, g | {"word": gw, "gram": gg}
 
     def fit(self, idx: np.ndarray, y: np.ndarray, weight: np.ndarray, table: tuple, epochs: int, rate: float, rng: np.random.Generator, batch: int = 128) -> list[float]:
@@ -410,7 +417,7 @@ def rated_sample(documents: DataFrame, labels: DataFrame, most: int = LABELLED)
     """At most ``most`` rated documents with their ratings, chosen by a hash of the id, the same on every run."""
     ratings = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list("label")).alias("labels"))
     picked = ratings.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most)
-    texts = documents.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).where("text is not null")
+    texts = documents.select("doc_id", "text").where("text is not null")
     rows = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return [(r["text"], list(r["labels"])) for r in rows]
 
