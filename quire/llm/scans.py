@@ -61,6 +61,9 @@ for _true, _wrong in HAN_EDITS.items():
     for _w in _wrong:
         _TO_TRUE.setdefault(_w, _true)
 
+#: Neighbours are taken as their originals, so that two misread ideographs side by side still have a known context.
+_AS_TRUE = {ord(w): t for w, t in _TO_TRUE.items()}
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿŒœŸ"
 _WORD = re.compile(rf"(?=[0-9{RUBBISH}]*[{_LETTERS}])[{_LETTERS}0-9{RUBBISH}]+(?:[-'’][{_LETTERS}0-9{RUBBISH}]+)*")
 _CUT = re.compile(rf"([^\W\d_]+)([{MARKS}])(?:[  \t]*\r?\n|[  ])[  　]*([^\W\d_]+)")
@@ -160,9 +163,9 @@ class Counts:
             if _HAN.search(text):
                 flat = re.sub(r"\d+", "#", text.replace("\r", "").replace("\n", ""))
                 watched = [m.start() for m in _HAN_WATCH.finditer(flat)]
-                n = len(flat)
-                words.update([f"L{flat[i - 1] if i else '^'}{flat[i]}" for i in watched])
-                words.update([f"R{flat[i]}{flat[i + 1] if i + 1 < n else '$'}" for i in watched])
+                n, near = len(flat), flat.translate(_AS_TRUE)
+                words.update([f"L{near[i - 1] if i else '^'}{flat[i]}" for i in watched])
+                words.update([f"R{flat[i]}{near[i + 1] if i + 1 < n else '$'}" for i in watched])
                 cps = np.frombuffer(flat.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
                 ids.append((cps * 2654435761 >> 7) % VECTORS)
                 if not _LETTER.search(text):
@@ -391,10 +394,11 @@ def scan_element(text: str, kind: str, top: float | None, bottom: float | None,
             out.append(("misread", None, None, None, None))
         if _HAN.search(line) and _HAN_WRONG.search(line):
             flat = re.sub(r"\d+", "#", line.replace("\r", "").replace("\n", ""))
+            near = flat.translate(_AS_TRUE)
             seen: set[tuple] = set()
             for m in _HAN_WRONG.finditer(flat):
                 i = m.start()
-                ends = (flat[i - 1] if i else "^", flat[i + 1] if i + 1 < len(flat) else "$")
+                ends = (near[i - 1] if i else "^", near[i + 1] if i + 1 < len(flat) else "$")
                 if (flat[i], ends) not in seen:
                     seen.add((flat[i], ends))
                     out.append(("han", f"L{ends[0]}{flat[i]}", f"R{flat[i]}{ends[1]}", str(i), None))
@@ -570,7 +574,7 @@ def head_end(text: str, key: str) -> int:
 def _correct_han(text: str, wrong: str, true: str) -> str:
     """A misread ideograph between its two neighbours corrected; ``#`` stands for figures, ``^`` and ``$`` for the ends."""
     ends = {"#": r"\d", "^": r"^", "$": r"$"}
-    before, after = (ends.get(c, re.escape(c)) for c in (wrong[0], wrong[2]))
+    before, after = (ends.get(c) or f"[{re.escape(c + HAN_EDITS.get(c, ''))}]" for c in (wrong[0], wrong[2]))
     return re.sub(rf"({before}\s*){re.escape(wrong[1])}(?=\s*{after})", lambda m: m.group(1) + true[1], text)
 
 

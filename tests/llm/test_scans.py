@@ -5,7 +5,7 @@ import numpy as np
 from quire.llm import scans as S
 
 WORDS = "the archive lantern bridge weaver carried across river morning letter council harbour printer gardens stone quiet painted remembered half-open".split()
-HAN = ["山谷上方的石桥", "今日的方志记录了水车", "众人重新点起灯火", "白塔在城东的旧路旁"]
+HAN = ["海边的灯塔很亮", "山谷上方的石桥", "今日的方志记录了水车", "众人重新点起灯火", "白塔在城东的旧路旁"]
 SCHEMA = "elem_id bigint, book_id string, page_index int, list_pos int, type string, bbox struct<x1:double,y1:double,x2:double,y2:double>, text string, confidence double, word string"
 
 
@@ -36,7 +36,7 @@ def test_kinds(spark):
     extra = [
         x(1, "the archivc carried the lantern across the river"), x(2, "the a◇chive carried the lantern"), x(3, "the lan-\ntern carried the bridge"), x(4, "the half-\nopen bridge 1839-\n1862 pre- and post"), x(5, "山谷上万的石桥"), x(6, "A Long History\nThe weaver carried the bridge across."),
         x(7, "The weaver carried the bridge.\n2"), x(8, "1846", y=1100.0), x(9, "the quiet gar-", p=5, pos=9000), x(10, "dens remembered the stone.", p=6, pos=0), x(11, None), x(12, ""), x(13, "A Long History", y=None), x(14, "lone lan¬\ntern"), x(15, "the morning 1etter council"),
-        x(16, "word " * 40_000), x(16, "word " * 40_000), (None, None, None, None, None, None, "text", None, None),
+        x(17, "海边的打搭很亮"), x(16, "word " * 40_000), x(16, "word " * 40_000), (None, None, None, None, None, None, "text", None, None),
     ]
     noise = S.Noise(make(spark, extra))
     got = {}
@@ -45,11 +45,12 @@ def test_kinds(spark):
     at = lambda i: got.get(90_000 + i, set())
     assert at(1) == {"misread"} and at(2) == {"misread"} and at(3) == {"hyphenation"} and at(4) == set() and at(5) == {"misread"} and at(6) == {"running_head"} and at(7) == {"page_number"}
     assert at(8) == at(10) == at(11) == at(12) == at(13) == at(16) == set() and at(9) == {"hyphenation"} and at(14) == {"hyphenation"} and at(15) == {"misread"}
+    assert at(17) == {"misread"}
     heads = [i for i, k in got.items() if i is not None and i < 90_000 and "running_head" in k]
     numbers = [i for i, k in got.items() if i is not None and i < 90_000 and "page_number" in k]
     assert len(heads) == len(numbers) == 8 * 12
     text = {r.elem_id: r.paragraph for r in noise.paragraphs().collect()}
-    assert text[90_001].startswith("the archive carried") and text[90_002].startswith("the archive") and text[90_003] == "the lantern carried the bridge" and text[90_005] == "山谷上方的石桥"
+    assert text[90_001].startswith("the archive carried") and text[90_002].startswith("the archive") and text[90_003] == "the lantern carried the bridge" and text[90_005] == "山谷上方的石桥" and text[90_017] == "海边的灯塔很亮"
     assert text[90_006] == "The weaver carried the bridge across." and text[90_007] == "The weaver carried the bridge." and text[90_009] == "the quiet gardens remembered the stone." and 90_010 not in text
 
 
