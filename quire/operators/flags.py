@@ -11,6 +11,7 @@ from quire.functions.text import lengths_close, ratcliff, trim_all
 FURNITURE = ("header", "footer", "header_image", "footer_image", "number", "footnote", "aside_text")
 TITLES = ("doc_title", "paragraph_title", "content_title")
 FILTERED = ("text", *TITLES)
+#: Margins as shares of the height, longest head, pages it stands on, and the similarity that makes two lines one.
 TOP, BOTTOM, HEAD_CHARS, HEAD_PAGES, SIMILAR = 0.08, 0.92, 60, 3, 0.7
 
 

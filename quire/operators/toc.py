@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import is_toc_noise, split_volumes, trim_all
 
+#: Labels that are no entries.
 CATEGORIES = ("山经", "海经")
 
 
@@ -82,6 +83,7 @@ def render(linked: DataFrame) -> DataFrame:
     return linked.groupBy("book_id").agg(F.concat(F.lit("::: {.toc-list}\n"), F.concat_ws("\n", F.transform(rows, lambda x: x["item"])), F.lit("\n:::")).alias("toc_md"))
 
 
+#: The formats of chapter and contents headings.
 CHAPTER_LINE = r"^#{1,3}\s+(.+?)\s*\{#(ch-\d+)\}\s*$"
 TOC_HEADING = r"^#{1,6}\s+.*(?:目录|目\s*录|CONTENTS|Contents|contents).*$"
 
