@@ -61,9 +61,6 @@ for _true, _wrong in HAN_EDITS.items():
     for _w in _wrong:
         _TO_TRUE.setdefault(_w, _true)
 
-#: Neighbours are taken as their originals, so that two misread ideographs side by side still have a known context.
-_AS_TRUE = {ord(w): t for w, t in _TO_TRUE.items()}
-
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿŒœŸ"
 _WORD = re.compile(rf"(?=[0-9{RUBBISH}]*[{_LETTERS}])[{_LETTERS}0-9{RUBBISH}]+(?:[-'’][{_LETTERS}0-9{RUBBISH}]+)*")
 _CUT = re.compile(rf"([^\W\d_]+)([{MARKS}])(?:[  \t]*\r?\n|[  ])[  　]*([^\W\d_]+)")
@@ -163,9 +160,9 @@ class Counts:
             if _HAN.search(text):
                 flat = re.sub(r"\d+", "#", text.replace("\r", "").replace("\n", ""))
                 watched = [m.start() for m in _HAN_WATCH.finditer(flat)]
-                n, near = len(flat), flat.translate(_AS_TRUE)
-                words.update([f"L{near[i - 1] if i else '^'}{flat[i]}" for i in watched])
-                words.update([f"R{flat[i]}{near[i + 1] if i + 1 < n else '$'}" for i in watched])
+                framed, as_true = f"^{flat}$", _TO_TRUE.get
+                words.update(["L" + as_true(p := framed[i], p) + flat[i] for i in watched])
+                words.update(["R" + flat[i] + as_true(p := framed[i + 2], p) for i in watched])
                 cps = np.frombuffer(flat.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
                 ids.append((cps * 2654435761 >> 7) % VECTORS)
                 if not _LETTER.search(text):
@@ -394,14 +391,15 @@ def scan_element(text: str, kind: str, top: float | None, bottom: float | None,
             out.append(("misread", None, None, None, None))
         if _HAN.search(line) and _HAN_WRONG.search(line):
             flat = re.sub(r"\d+", "#", line.replace("\r", "").replace("\n", ""))
-            near = flat.translate(_AS_TRUE)
+            framed, as_true = f"^{flat}$", _TO_TRUE.get  # two misread ideographs side by side still have a known context
             seen: set[tuple] = set()
             for m in _HAN_WRONG.finditer(flat):
                 i = m.start()
-                ends = (near[i - 1] if i else "^", near[i + 1] if i + 1 < len(flat) else "$")
-                if (flat[i], ends) not in seen:
-                    seen.add((flat[i], ends))
-                    out.append(("han", f"L{ends[0]}{flat[i]}", f"R{flat[i]}{ends[1]}", str(i), None))
+                ends = (as_true(p := framed[i], p), as_true(p := framed[i + 2], p))
+                left, right = f"L{ends[0]}{flat[i]}", f"R{flat[i]}{ends[1]}"
+                if left not in good and right not in good and (left, right) not in seen:
+                    seen.add((left, right))
+                    out.append(("han", left, right, None, None))
         words = _WORD.findall(line.lower()) if _LETTER.search(line) else []
         for i, w in enumerate(words) if not good.issuperset(words) else ():
             if w not in good and len(w) > 2:
