@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.nested import items_of, outer_list, parse
+from quire.operators.nested import _text, box_of, items_of, outer_list, parse
 from quire.runtime import cut
 
 #: One letter for each JSON type.
@@ -392,12 +392,8 @@ def baseline_rows(schema: DataFrame) -> list[dict]:
     return [r.asDict() for r in schema.select("src", "field_path", "json_type", "required").collect()]
 
 
-def changes(sources: list[tuple[DataFrame, str, str, str]], schema: DataFrame) -> DataFrame:
-    """Each change per document: (src, doc_key, field_path, change_kind, found_path, pages).
-
-    ``sources`` are (table, document key column, JSON column, src). ``pages`` is
-    the number of pages with it, by the shape that has most.
-    """
+def renames_and_changes(sources: list[tuple[DataFrame, str, str, str]], schema: DataFrame) -> DataFrame:
+    """As :func:`changes`, with one row for each ``found_path``: a field may have other names on other pages."""
     baseline = baseline_rows(schema)
     table = None
     for df, key, column, src in sources:
@@ -405,14 +401,24 @@ def changes(sources: list[tuple[DataFrame, str, str, str]], schema: DataFrame) -
         table = part if table is None else table.unionByName(part)
     assert table is not None
     found = _matched(cut(table), baseline)
+    return found.groupBy("src", "doc_key", "field_path", "change_kind", "found_path").agg(F.max("pages").alias("pages"))
+
+
+def changes(sources: list[tuple[DataFrame, str, str, str]], schema: DataFrame) -> DataFrame:
+    """Each change per document: (src, doc_key, field_path, change_kind, found_path, pages).
+
+    ``sources`` are (table, document key column, JSON column, src). ``pages`` is
+    the number of pages with it, by the shape that has most.
+    """
+    found = renames_and_changes(sources, schema)
     return found.groupBy("src", "doc_key", "field_path", "change_kind").agg(F.max("found_path").alias("found_path"), F.max("pages").alias("pages"))
 
 
 UNIFIED_SCHEMA = (
     "src string, row_id bigint, doc_key string, page_index bigint, width double, height double, input_path string, settings string, "
-    "elements array<struct<path string, label string, content string, x1 double, y1 double, x2 double, y2 double, id string, ord bigint, confidence double>>, "
-    "boxes array<struct<cls_id bigint, label string, score double, x1 double, y1 double, x2 double, y2 double>>, "
-    "line_scores array<double>, extra string"
+    "elements array<struct<path string, label string, content string, x1 double, y1 double, x2 double, y2 double, id string, ord bigint, confidence double, extra string>>, "
+    "boxes array<struct<cls_id bigint, label string, score double, x1 double, y1 double, x2 double, y2 double, extra string>>, "
+    "line_scores array<double>, line_boxes array<struct<x1 double, y1 double, x2 double, y2 double>>, layout_extra string, ocr_extra string, extra string"
 )
 
 
@@ -430,26 +436,82 @@ def _as_number(v: object) -> float | None:
 
 def _as_int(v: object) -> int | None:
     x = _as_number(v)
-    return None if x is None else int(x)
+    return None if x is None or abs(x) >= 2**63 else int(x)
+
+
+CORNERS = ("x1", "y1", "x2", "y2")
+
+
+class _Fields:
+    """An object's fields under their baseline names. What a column takes whole leaves ``left``; the rest is its ``extra``.
+
+    ``names`` gives for each found path the (pages, field) it may stand for; a
+    name is applied where the object lacks the field, the one with most pages first.
+    """
+
+    __slots__ = ("left",)
+
+    def __init__(self, obj: dict, prefix: str, names: dict[str, list[tuple[int, str]]]):
+        self.left = dict(obj)
+        if names:
+            for _, k, field in sorted((-n, k, field) for k in obj for n, field in names.get(prefix + k, ())):
+                if field not in self.left and k in self.left:
+                    self.left[field] = self.left.pop(k)
+
+    def take(self, name: str, cast: Callable[[object], object]) -> object:
+        """The value as the column has it; what the cast cannot hold stays in ``left``."""
+        v = self.left.get(name)
+        x = None if v is None else cast(v)
+        if v is None or x is not None and (type(x) is not int or x == _as_number(v)):
+            self.left.pop(name, None)
+            if isinstance(x, str) and isinstance(v, dict) and isinstance(v.get("raw"), str) and len(v) > 1:
+                self.left[name] = {k: y for k, y in v.items() if k != "raw"}
+        return x
+
+    def objects(self, name: str) -> list:
+        """The entries of a list of objects; entries that are none stay in ``left`` with their positions."""
+        v = self.left.get(name)
+        if v is None or isinstance(v, (list, dict)):
+            self.left.pop(name, None)
+        items = items_of(v)
+        if odd := [[i, x] for i, x in enumerate(items) if x is not None and not isinstance(x, dict)]:
+            self.left[f"{name}[]"] = odd
+        return items
+
+    def box(self, name: str, prefix: str, names: dict[str, list[tuple[int, str]]]) -> dict[str, float | None]:
+        v = self.left.pop(name, None)
+        if isinstance(v, dict):
+            inner = _Fields(v, f"{prefix}{name}.", names)
+            corners = tuple(inner.take(k, _as_number) for k in CORNERS)
+            v = inner.left or None
+        elif None not in (corners := box_of(v)):
+            v = None
+        if v is not None:
+            self.left[name] = v
+        return dict(zip(CORNERS, corners))
+
+    def extra(self) -> str | None:
+        return json.dumps(self.left, ensure_ascii=False) if self.left else None
 
 
 def unify(df: DataFrame, id_col: str, key_col: str, json_col: str, src: str, report: DataFrame) -> DataFrame:
     """Pages of one source as rows of :data:`UNIFIED_SCHEMA`.
 
-    ``report`` is the result of :func:`changes`; its renames are joined by
-    document (an equi-join; adaptive execution splits a hot document). Fields
-    are renamed, cast, and what the baseline lacks goes to ``extra`` as JSON.
-    Pages that cannot be parsed keep their keys, with nulls.
+    ``report`` is the result of :func:`renames_and_changes`; its renames are
+    joined by document (an equi-join; adaptive execution splits a hot document).
+    Fields are renamed at every level and cast. What the baseline lacks, and
+    what a cast cannot hold, goes as JSON to the ``extra`` of its own object:
+    page, element, box, or ``layout_extra`` and ``ocr_extra``. Pages that cannot
+    be parsed keep their keys, with nulls. Names inside an object that is itself
+    renamed are mapped where the report has them for the document, else they
+    stay in ``extra``.
     """
-    from quire.operators.nested import _text, box_of
-
-    renames = report.where((F.col("src") == src) & (F.col("change_kind") == "renamed")).groupBy("doc_key").agg(F.map_from_entries(F.collect_list(F.struct("found_path", "field_path"))).alias("renames"))
+    renames = report.where((F.col("src") == src) & (F.col("change_kind") == "renamed")).groupBy(F.col("doc_key").alias("of_doc")).agg(F.collect_list(F.struct("found_path", "pages", "field_path")).alias("renames"))
     pages = df.select(df[id_col].cast("bigint").alias("row_id"), df[key_col].cast("string").alias("doc_key"), df[json_col].alias("doc"))
-    joined = pages.join(renames, "doc_key", "left").select("row_id", "doc_key", "doc", "renames")
-    outer = "parsing_res_list" if src == "page_cache" else "elements"
-
-    def old(obj: dict, prefix: str, names: dict) -> dict:
-        return {names.get(prefix + k, prefix + k).rpartition(".")[2]: v for k, v in obj.items()}
+    joined = pages.join(renames, F.col("doc_key").eqNullSafe(F.col("of_doc")), "left").select("row_id", "doc_key", "doc", "renames")
+    cached = src == "page_cache"
+    outer, settings_name = ("parsing_res_list", "model_settings") if cached else ("elements", "engine")
+    label, content, box, order = ("block_label", "block_content", "block_bbox", "block_order") if cached else ("type", "text", "bbox", "order_index")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -457,35 +519,52 @@ def unify(df: DataFrame, id_col: str, key_col: str, json_col: str, src: str, rep
             for row_id, key, doc, renames in batch.itertuples(index=False, name=None):
                 page = parse(doc)
                 if page is None:
-                    rows.append((src, row_id, key, *[None] * 9))
+                    rows.append((src, row_id, key, *[None] * 12))
                     continue
-                names = dict(renames) if renames is not None else {}
-                top = old(page, "", names)
+                names: dict[str, list[tuple[int, str]]] = {}
+                for r in renames if renames is not None else ():
+                    names.setdefault(r["found_path"], []).append((r["pages"], r["field_path"].rpartition(".")[2]))
+                top = _Fields(page, "", names)
+                name = outer
+                if outer not in top.left and (other := outer_list(page, src)):
+                    name = next(k for k, v in top.left.items() if v is other)
                 elements: list[dict] = []
-                stack = [("", items_of(top.get(outer)) or outer_list(page, src))]
+                stack = [("", top.objects(name))]
                 while stack:
                     prefix, items = stack.pop()
                     for i, x in enumerate(items):
                         if isinstance(x, dict):
-                            e = old(x, f"{outer}[].", names)
+                            e = _Fields(x, f"{outer}[].", names)
                             path = f"{prefix}.{i}" if prefix else str(i)
-                            box = box_of(e.get("block_bbox", e.get("bbox")))
-                            elements.append({"path": path, "label": _text(e.get("block_label", e.get("type"))), "content": _text(e.get("block_content", e.get("text"))), **dict(zip(("x1", "y1", "x2", "y2"), box)), "id": _text(e.get("block_id")), "ord": _as_int(e.get("block_order", e.get("order_index"))), "confidence": _as_number(e.get("confidence"))})
-                            if e.get("children"):
-                                stack.append((path, items_of(e["children"])))
-                holder = top.get("layout_det_res")
-                boxes = []
-                for b in items_of(holder.get("boxes")) if isinstance(holder, dict) else []:
-                    if isinstance(b, dict):
-                        b = old(b, "layout_det_res.boxes[].", names)
-                        boxes.append({"cls_id": _as_int(b.get("cls_id")), "label": _text(b.get("label")), "score": _as_number(b.get("score")), **dict(zip(("x1", "y1", "x2", "y2"), box_of(b.get("coordinate"))))})
-                ocr = top.get("overall_ocr_res")
-                scores = old(ocr, "overall_ocr_res.", names).get("rec_scores") if isinstance(ocr, dict) else None
-                known = {"page_index", "width", "height", "input_path", "model_settings", "engine", outer, "layout_det_res", "overall_ocr_res"}
-                extra = {k: v for k, v in top.items() if k not in known}
-                settings = top.get("model_settings", top.get("engine"))
-                rows.append((src, row_id, key, _as_int(top.get("page_index")), _as_number(top.get("width")), _as_number(top.get("height")), _text(top.get("input_path")), None if settings is None else json.dumps(settings, ensure_ascii=False), elements, boxes, [_as_number(s) for s in scores] if isinstance(scores, list) else None, json.dumps(extra, ensure_ascii=False) if extra else None))
-            names_ = ["src", "row_id", "doc_key", "page_index", "width", "height", "input_path", "settings", "elements", "boxes", "line_scores", "extra"]
+                            elements.append({"path": path, "label": e.take(label, _text), "content": e.take(content, _text), **e.box(box, f"{outer}[].", names), "id": e.take("block_id", _text), "ord": e.take(order, _as_int), "confidence": e.take("confidence", _as_number)})
+                            if below := e.objects("children"):
+                                stack.append((path, below))
+                            elements[-1]["extra"] = e.extra()
+                boxes: list[dict] = []
+                scores = line_boxes = layout_extra = ocr_extra = None
+                if cached and isinstance(top.left.get("layout_det_res"), dict):
+                    layout = _Fields(top.left.pop("layout_det_res"), "layout_det_res.", names)
+                    for x in layout.objects("boxes"):
+                        if isinstance(x, dict):
+                            b = _Fields(x, "layout_det_res.boxes[].", names)
+                            boxes.append({"cls_id": b.take("cls_id", _as_int), "label": b.take("label", _text), "score": b.take("score", _as_number), **b.box("coordinate", "layout_det_res.boxes[].", names)})
+                            boxes[-1]["extra"] = b.extra()
+                    layout_extra = layout.extra()
+                if cached and isinstance(top.left.get("overall_ocr_res"), dict):
+                    ocr = _Fields(top.left.pop("overall_ocr_res"), "overall_ocr_res.", names)
+                    if isinstance(found := ocr.left.get("rec_scores"), list):
+                        scores = [_as_number(s) for s in found]
+                        if all(s is not None or v is None for s, v in zip(scores, found)):
+                            del ocr.left["rec_scores"]
+                    if isinstance(found := ocr.left.get("rec_boxes"), list):
+                        line_boxes = [dict(zip(CORNERS, box_of(v))) for v in found]
+                        if all(b["x1"] is not None and not (isinstance(v, dict) and len(v) > 4) or v is None for b, v in zip(line_boxes, found)):
+                            del ocr.left["rec_boxes"]
+                    ocr_extra = ocr.extra()
+                settings = top.left.pop(settings_name, None)
+                fixed = (top.take("page_index", _as_int), top.take("width", _as_number), top.take("height", _as_number), top.take("input_path", _text))
+                rows.append((src, row_id, key, *fixed, None if settings is None else json.dumps(settings, ensure_ascii=False), elements, boxes, scores, line_boxes, layout_extra, ocr_extra, top.extra()))
+            names_ = ["src", "row_id", "doc_key", "page_index", "width", "height", "input_path", "settings", "elements", "boxes", "line_scores", "line_boxes", "layout_extra", "ocr_extra", "extra"]
             frame = pd.DataFrame(rows, columns=names_)
             frame["page_index"] = frame["page_index"].astype("Int64")
             yield frame

@@ -10,8 +10,12 @@ from quire.runtime import table
 SOURCES = (("page_cache", "cache_id", "pdf_hash", "page_json"), ("page_results", "page_id", "book_id", "raw_json"))
 
 
+def _inputs(spark: SparkSession, d: str) -> tuple[list, DataFrame]:
+    return [(table(spark, d, src), key, column, src) for src, _, key, column in SOURCES], table(spark, d, "page_schema")
+
+
 def _drift(spark: SparkSession, d: str) -> DataFrame:
-    return drift.changes([(table(spark, d, src), key, column, src) for src, _, key, column in SOURCES], table(spark, d, "page_schema"))
+    return drift.changes(*_inputs(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +27,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_pages(spark: SparkSession, d: str) -> DataFrame:
-    report = _drift(spark, d)
+    report = drift.renames_and_changes(*_inputs(spark, d))
     parts = [drift.unify(table(spark, d, src), row, key, column, src, report) for src, row, key, column in SOURCES]
     return parts[0].unionByName(parts[1])
 

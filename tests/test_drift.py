@@ -76,3 +76,31 @@ def test_unified_table(spark):
     got = {r.row_id: r for r in drift.unify(df, "id", "key", "doc", "s", report).collect()}
     assert got[1].width == 1654.0 and json.loads(got[1].extra).keys() >= {"new"} and len(got[1].elements) == 3
     assert got[2].width is None and got[3].doc_key is None
+
+
+def test_unified_table_keeps_every_value(spark):
+    base = [
+        ("page_cache", "parsing_res_list", "array", True), ("page_cache", "parsing_res_list[].block_label", "string", True), ("page_cache", "parsing_res_list[].block_content", "string", True), ("page_cache", "layout_det_res", "object", True),
+        ("page_cache", "layout_det_res.boxes", "array", True), ("page_cache", "layout_det_res.boxes[].score", "number", True), ("page_cache", "overall_ocr_res", "object", True), ("page_cache", "overall_ocr_res.rec_boxes", "array", True), ("page_cache", "overall_ocr_res.rec_scores", "array", True),
+        ("page_results", "elements", "array", True), ("page_results", "elements[].text", "string", True), ("page_results", "elements[].order_index", "number", True), ("page_results", "elements[].bbox", "object", True), *[("page_results", f"elements[].bbox.{k}", "number", True) for k in drift.CORNERS],
+    ]
+    schema = spark.createDataFrame(base, "src string, field_path string, json_type string, required boolean")
+
+    def unified(src, docs):
+        df = spark.createDataFrame([(i, k, json.dumps(v)) for i, (k, v) in enumerate(docs)], "id bigint, key string, doc string")
+        report = drift.renames_and_changes([(df, "key", "doc", src)], schema)
+        return [r for r in drift.unify(df, "id", "key", "doc", src, report).orderBy("row_id").collect()]
+
+    e = {"block_label": "text", "block_content": "a", "is_vertical": True}
+    cache = {"parsing_res_list": [dict(e, children=[dict(e, angle=3)]), "stray"], "layout_det_res": {"boxes": [{"score": 0.5, "style": {"a": 1}}], "ms": 7}, "overall_ocr_res": {"rec_boxes": [[1, 2, 3, 4]], "rec_scores": [0.5], "lang": "zh"}}
+    r = unified("page_cache", [("k", cache)])[0]
+    assert [json.loads(x.extra) for x in r.elements] == [{"is_vertical": True}, {"is_vertical": True, "angle": 3}] and json.loads(r.boxes[0].extra) == {"style": {"a": 1}}
+    assert tuple(r.line_boxes[0]) == (1, 2, 3, 4) and json.loads(r.ocr_extra) == {"lang": "zh"} and json.loads(r.layout_extra) == {"ms": 7} and json.loads(r.extra) == {"parsing_res_list[]": [[1, "stray"]]}
+
+    def line(name, corner="x1", order=1):
+        return {"elements": [{name: "Some words of a page.", "order_index": order, "bbox": {corner: 10.5, "y1": 20.5, "x2": 300.5, "y2": 400.5}}]}
+
+    docs = [("base", line("text"))] * 4 + [(None, line("rec_text")), (None, line("text_found")), (None, line("text", "x1_left")), (None, line("text", order="first"))]
+    got = unified("page_results", docs)
+    assert [x.elements[0].content for x in got] == ["Some words of a page."] * 8
+    assert [x.elements[0].x1 for x in got] == [10.5] * 8 and [x.elements[0].extra for x in got[:7]] == [None] * 7 and json.loads(got[7].elements[0].extra) == {"order_index": "first"}
