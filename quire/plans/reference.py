@@ -130,17 +130,17 @@ def page_features(s, d):
 
 
 def _types(s, d):
-    return classify.classify(_elements(s, d), _books(s, d), _pages(s, d), fuzzy=False)
+    return classify.classify(_elements(s, d), _books(s, d), _pages(s, d))
 
 
 @query(f"WITH {TYPES} SELECT * FROM types")
 def page_types_by_rule(s, d):
-    return _types(s, d)
+    return classify.classify(_elements(s, d), _books(s, d), _pages(s, d), fuzzy=False)
 
 
 @query()
 def page_types(s, d):
-    return classify.classify(_elements(s, d), _books(s, d), _pages(s, d))
+    return _types(s, d)
 
 
 @query(f"WITH {TYPES} SELECT page_type, count(*) AS pages FROM types GROUP BY ALL")

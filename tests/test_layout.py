@@ -136,3 +136,16 @@ def test_chain_keeps_every_word(spark, make_elements):
     types = spark.createDataFrame([("b", 1, "cover"), ("b", 3, "cover")], "book_id string, page_index int, page_type string")
     p = pages(spark).withColumn("page_image_path", F.format_string("p%d.png", "page_index"))
     assert assemble.covers(types, p).first().cover_path == "p1.png" and assemble.covers(types.limit(0), p).first().cover_path == "p0.png"
+
+
+def test_derived_queries_know_short_contents_pages(spark, make_elements, tmp_path):
+    from quire.plans import reference
+
+    rows = [dict(page_index=3, text="河上旧事／5"), dict(page_index=3, text="山中岁月／9"), dict(page_index=5, type="paragraph_title", text="河上旧事"), dict(page_index=5, text="正文。"), dict(page_index=9, type="paragraph_title", text="山中岁目"), dict(page_index=9, text="正文。")]
+    make_elements(rows).write.parquet(f"{tmp_path}/elements.parquet")
+    pages(spark, 12).selectExpr("*", "'p' as page_image_path", "'' as raw_json").write.parquet(f"{tmp_path}/page_results.parquet")
+    spark.sql("select 'b' as book_id, '志' as title, '某' as author").write.parquet(f"{tmp_path}/books.parquet")
+    q = {n: reference.QUERIES[n](spark, str(tmp_path)).collect() for n in ("page_types", "page_types_by_rule", "page_type_histogram", "book_structure")}
+    assert {r.page_index: r.page_type for r in q["page_types"]} == {3: "toc", 5: "body", 9: "body"}
+    assert {r.page_type: r.pages for r in q["page_type_histogram"]} == {"toc": 1, "body": 2} and q["book_structure"][0].found == "toc body"
+    assert 3 in {r.page_index for r in q["page_types_by_rule"] if r.page_type != "toc"}
