@@ -154,10 +154,10 @@ def meaningful_chars(c: Column) -> Column:
 
 
 def strip_review_marks(c: Column) -> Column:
-    """Without low-confidence prefixes, trailing review marks and page comments."""
+    """Without low-confidence prefixes, trailing review marks and page comments; lines end in LF or CRLF (``$`` stands before either)."""
     c = F.regexp_replace(c, r"(?m)^>\[low-confidence\][ \t]*", "")
     c = F.regexp_replace(c, r"(?m)[ \t]*(?:\[UNCLEAR\]|\[需校对\])[ \t]*$", "")
-    return F.regexp_replace(c, r"(?m)^<!-- page: \d+ -->[ \t]*\n?", "")
+    return F.regexp_replace(c, r"(?m)^<!-- page: \d+ -->[ \t]*(?:\r?\n)?", "")
 
 
 def split_volumes(c: Column) -> Column:

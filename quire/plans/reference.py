@@ -446,6 +446,12 @@ def review_marks_stripped(s, d):
     return _texts(s, d).where("book_md is not null and not contains(book_md, char(13))").select("content_id", F.md5(T.strip_review_marks(F.col("book_md"))).alias("md5"))
 
 
+@query()
+def all_review_marks_stripped(s, d):
+    """Texts with CRLF too, which the SQL of ``review_marks_stripped`` leaves out."""
+    return _texts(s, d).where("book_md is not null").select("content_id", F.md5(T.strip_review_marks(F.col("book_md"))).alias("md5"))
+
+
 @query()
 def editor_modules(s, d):
     return modules.parse(_texts(s, d))

@@ -70,3 +70,24 @@ def test_misc(apply, spark):
     assert spark.range(1).select(T.join_seam(F.lit("中 "), F.lit("文")), T.join_seam(F.lit("a"), F.lit("b"))).first() == ("中文", "a b")
     assert spark.range(1).select(T.human_size(F.lit(10)), T.human_size(F.lit(2048)), T.human_size(F.lit(5 << 20))).first() == ("10 B", "2.0 KB", "5.0 MB")
     assert spark.range(1).select(T.data_url(F.lit(b"a"), F.lit("x.JPG"))).first()[0] == "data:image/jpeg;base64,YQ=="
+
+
+def test_review_marks_with_crlf(spark, tmp_path):
+    import hashlib
+    import re
+
+    from quire.plans import reference
+
+    texts = [">[low-confidence] 一\n二 [需校对]\n<!-- page: 3 -->\n三\n\nx [UNCLEAR] \n<!-- page: 4 -->", "a\n<!-- page: 5 --> \n>[low-confidence]  b [UNCLEAR]", "plain", ""]
+    rows = [(i, t) for i, t in enumerate(texts + [t.replace("\n", "\r\n") for t in texts])] + [(99, None)]
+    spark.createDataFrame(rows, "content_id bigint, book_md string").write.parquet(f"{tmp_path}/book_content.parquet")
+
+    def brute(t):
+        out = ""
+        for line, end in re.findall(r"([^\r\n]*)(\r?\n|$)", t):
+            if not re.fullmatch(r"<!-- page: \d+ -->[ \t]*", line):
+                out += re.sub(r"[ \t]*(?:\[UNCLEAR\]|\[需校对\])[ \t]*$", "", re.sub(r"^>\[low-confidence\][ \t]*", "", line)) + end
+        return out
+
+    got = {r.content_id: r.md5 for r in reference.QUERIES["all_review_marks_stripped"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(brute(t).encode()).hexdigest() for i, t in rows if t is not None}
