@@ -8,10 +8,10 @@ embedding of its character n-grams, so that masked and misspelt words stay
 close to their originals. All overlapping windows of each whole text are
 scored; a document's score is its highest window's 1 - P(none).
 
-Training uses the phrases of :mod:`quire.llm.abuse_seeds`, disguised at random
-and set into texts rated ``none``, and a bounded sample of the rated documents
-(:data:`LABELLED`). Some ratings are wrong: windows of a document rated
-otherwise are used only where the model trained without them agrees.
+Training uses a bounded sample of the rated documents (:data:`LABELLED`) and
+the general phrases of :mod:`quire.llm.abuse_seeds`, disguised at random and set
+into texts rated ``none``. Some ratings are wrong: how many is estimated from
+documents rated twice, and each rating weighs by how far the model agrees.
 
 Defined results: null and empty texts score 0; texts of any length are scored
 whole; rows with equal ids are scored each; null sources form a group of their
@@ -24,6 +24,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,16 @@ from quire.llm.abuse_seeds import HARMFUL, HARMLESS, WORDS
 from quire.llm.lookalike import consistent
 
 CLASSES = ("none", "abusive", "hateful", "sexual")
-#: Most rated documents used in training, with their whole texts. Scoring knows no such bound.
-LABELLED = 1500
-WINDOW, STRIDE = 48, 24
+#: Most documents rated otherwise than ``none``, and rated ``none`` only, used in training, with their whole texts. Scoring knows no such bound.
+LABELLED, LABELLED_NONE = 600, 2000
+WINDOW, STRIDE = 48, 28
 BUCKETS, DIM, HIDDEN, ATTEND, GRAMS = 4096, 24, 20, 16, 10
 THRESHOLD = 0.7
-DECAY = 0.02
+#: Training: epochs on halves and on all, windows of each phrase, hard and other clean windows an epoch, rows an epoch has at least, rows a step, rate, decay.
+EPOCHS_APART, EPOCHS, EACH, HARD, FRESH, LEAST_ROWS, BATCH, RATE, DECAY = 5, 9, 5, 1000, 2500, 4000, 256, 6e-3, 0.02
 SEED = 7
+#: Input of the empty unit's update gate.
+HOLD = 40.0
 
 SCORE_SCHEMA = "doc_id bigint, source string, score double, category string, windows bigint"
 
@@ -95,6 +99,7 @@ class Units:
         self.number: dict[str, int] = {"": 0}
         self.word: list[int] = [0]
         self.grams: list[list[int]] = [[]]
+        self._word, self._index, self._weight = np.zeros(0, np.int64), np.zeros((0, GRAMS), np.int64), np.zeros((0, GRAMS), np.float32)
 
     def add(self, seq: list[str]) -> np.ndarray:
         out = np.empty(len(seq), dtype=np.int32)
@@ -110,23 +115,28 @@ class Units:
         return out
 
     def arrays(self, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        grams = self.grams[first:]
-        index = np.zeros((len(grams), GRAMS), dtype=np.int64)
-        weight = np.zeros((len(grams), GRAMS), dtype=np.float32)
-        for i, g in enumerate(grams):
-            index[i, : len(g)] = g
-            weight[i, : len(g)] = 1 / len(g) if g else 0
-        return np.array(self.word[first:], dtype=np.int64), index, weight
+        """Word buckets, n-gram buckets and their shares of the units from ``first`` on."""
+        done = len(self._word)
+        if done < len(self.word):
+            grams = self.grams[done:]
+            index = np.zeros((len(grams), GRAMS), dtype=np.int64)
+            weight = np.zeros((len(grams), GRAMS), dtype=np.float32)
+            for i, g in enumerate(grams):
+                index[i, : len(g)] = g
+                weight[i, : len(g)] = 1 / len(g) if g else 0
+            self._word = np.concatenate((self._word, np.array(self.word[done:], dtype=np.int64)))
+            self._index, self._weight = np.concatenate((self._index, index)), np.concatenate((self._weight, weight))
+        return self._word[first:], self._index[first:], self._weight[first:]
 
 
 def windows(seq: np.ndarray) -> np.ndarray:
     """All overlapping windows of a row of unit numbers, padded with 0."""
-    n = max(1, -(-(len(seq) - WINDOW) // STRIDE) + 1) if len(seq) else 0
-    out = np.zeros((n, WINDOW), dtype=np.int32)
-    for i in range(n):
-        part = seq[i * STRIDE : i * STRIDE + WINDOW]
-        out[i, : len(part)] = part
-    return out
+    if not len(seq):
+        return np.zeros((0, WINDOW), np.int32)
+    n = max(1, -(-(len(seq) - WINDOW) // STRIDE) + 1)
+    padded = np.zeros((n - 1) * STRIDE + WINDOW, np.int32)
+    padded[: len(seq)] = seq
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
 def _sums(rows: int, index: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -139,64 +149,78 @@ def _sums(rows: int, index: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
 class Network:
-    """The network; ``p`` has its parameters."""
+    """The network; ``p`` has its parameters. Both directions run side by side, the backward one on the reversed window.
+
+    The update gate of the empty unit is held open (:data:`HOLD`), so that padding leaves a state as it is.
+    """
 
     def __init__(self, p: dict[str, np.ndarray] | None = None, seed: int = SEED):
         rng = np.random.default_rng(seed)
         g = lambda *s, k: (rng.standard_normal(s) * k).astype(np.float32)
+        H = HIDDEN
         self.p = p or {
             "word": g(BUCKETS, DIM, k=0.1), "gram": g(BUCKETS, DIM, k=0.1),
-            **{f"x{d}": g(DIM, 3 * HIDDEN, k=DIM**-0.5) for d in "fb"}, **{f"h{d}": g(HIDDEN, 3 * HIDDEN, k=HIDDEN**-0.5) for d in "fb"}, **{f"b{d}": np.zeros(3 * HIDDEN, np.float32) for d in "fb"},
-            "att": g(2 * HIDDEN, ATTEND, k=0.2), "attv": g(ATTEND, k=0.3), "out": g(2 * HIDDEN, len(CLASSES), k=0.2), "outb": np.zeros(len(CLASSES), np.float32),
+            "x": g(2, DIM, 3 * H, k=DIM**-0.5), "b": np.zeros((2, 1, 3 * H), np.float32), "gates": g(2, H, 2 * H, k=H**-0.5), "cand": g(2, H, H, k=H**-0.5),
+            "att": g(2 * H, ATTEND, k=0.2), "attv": g(ATTEND, k=0.3), "out": g(2 * H, len(CLASSES), k=0.2), "outb": np.zeros(len(CLASSES), np.float32),
         }
 
     def embed(self, word: np.ndarray, index: np.ndarray, weight: np.ndarray) -> np.ndarray:
         return self.p["word"][word] + np.einsum("ukd,uk->ud", self.p["gram"][index], weight)
 
-    def _run(self, xs: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states (steps, batch, HIDDEN) of one direction; xs are projected inputs (steps, batch, 3 HIDDEN)."""
-        steps, batch, _ = xs.shape
-        wh, H = self.p[f"h{d}"], HIDDEN
-        h = np.zeros((batch, H), np.float32)
-        out = np.empty((steps, batch, H), np.float32)
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            hw = h @ wh
-            zr = _sigmoid(xs[t, :, : 2 * H] + hw[:, : 2 * H])
-            z, r = zr[:, :H], zr[:, H:]
-            n = np.tanh(xs[t, :, 2 * H :] + r * hw[:, 2 * H :])
-            m = mask[t][:, None]
-            new = h + m * (1 - z) * (n - h)
+    def project(self, x: np.ndarray, first: bool = True) -> np.ndarray:
+        """Each unit's input (2, units, 3 HIDDEN) for both directions; ``first`` if row 0 is the empty unit."""
+        inputs = x @ self.p["x"] + self.p["b"]
+        if first:
+            inputs[:, 0, :HIDDEN] = HOLD
+        return inputs
+
+    def _states(self, both: np.ndarray, inputs: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States (steps, 2, batch, HIDDEN); ``both`` has the units (2, steps, batch), the second row reversed."""
+        _, steps, batch = both.shape
+        H, gates, cand = HIDDEN, self.p["gates"], self.p["cand"]
+        side = np.array([[0], [1]])
+        h = np.zeros((2, batch, H), inputs.dtype)
+        out = np.empty((steps, 2, batch, H), inputs.dtype)
+        for t in range(steps):
+            x = inputs[side, both[:, t]]
+            a = h @ gates
+            a += x[..., : 2 * H]
+            a *= 0.5
+            np.tanh(a, out=a)
+            a += 1
+            a *= 0.5
+            z, r = a[..., :H], a[..., H:]
+            hn = h @ cand
+            c = hn * r
+            c += x[..., 2 * H :]
+            np.tanh(c, out=c)
             if keep is not None:
-                keep.append((t, h, z, r, n, hw[:, 2 * H :]))
-            h = out[t] = new
+                keep.append((h, z, r, c, hn))
+            h = np.subtract(h, c, out=out[t])
+            h *= z
+            h += c
         return out
 
-    def forward(self, idx: np.ndarray, inputs: dict[str, np.ndarray], keep: dict | None = None) -> np.ndarray:
-        """Class probabilities of windows; ``inputs`` has each unit's projected input for both directions."""
-        ids = idx.T
-        mask = (ids > 0).astype(np.float32)
-        hs = [self._run(inputs[d][ids], mask, d, keep.setdefault(d, []) if keep is not None else None) for d in "fb"]
-        h = np.concatenate(hs, axis=2)
+    def forward(self, idx: np.ndarray, inputs: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Class probabilities of windows."""
+        ids = np.ascontiguousarray(idx.T)
+        both = np.stack((ids, ids[::-1]))
+        states = self._states(both, inputs, keep.setdefault("steps", []) if keep is not None else None)
+        h = np.concatenate((states[:, 0], states[::-1, 1]), axis=2)
         a = np.tanh(h @ self.p["att"])
-        e = a @ self.p["attv"] + (mask - 1) * 1e4
+        e = a @ self.p["attv"]
+        e[ids == 0] = -1e4
         e = np.exp(e - e.max(axis=0))
         alpha = e / e.sum(axis=0)
-        pooled = np.einsum("tb,tbh->bh", alpha, h)
+        pooled = np.matmul(alpha.T[:, None], h.transpose(1, 0, 2))[:, 0]
         logits = pooled @ self.p["out"] + self.p["outb"]
         q = np.exp(logits - logits.max(axis=1, keepdims=True))
         q /= q.sum(axis=1, keepdims=True)
         if keep is not None:
-            keep |= {"h": h, "a": a, "alpha": alpha, "pooled": pooled, "mask": mask, "ids": ids}
+            keep |= {"h": h, "a": a, "alpha": alpha, "pooled": pooled, "both": both}
         return q
 
-    def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        return {d: (x @ self.p[f"x{d}"] + self.p[f"b{d}"]).astype(np.float32) for d in "fb"}
-
     def gradients(self, idx: np.ndarray, y: np.ndarray, weight: np.ndarray, table: tuple) -> tuple[float, dict[str, np.ndarray]]:
         used, inverse = np.unique(idx, return_inverse=True)
         local = inverse.reshape(idx.shape)
@@ -213,75 +237,77 @@ class Network:
         dl *= (weight / n)[:, None]
         g = {"out": keep["pooled"].T @ dl, "outb": dl.sum(0)}
         dp = dl @ self.p["out"].T
-        h, alpha, a = keep["h"], keep["alpha"], keep["a"]
+        h, alpha, a, both = keep["h"], keep["alpha"], keep["a"], keep["both"]
         dh = alpha[:, :, None] * dp[None]
         da = np.einsum("tbh,bh->tb", h, dp)
         de = alpha * (da - (alpha * da).sum(0))
         g["attv"] = np.einsum("tb,tba->a", de, a)
         dpre = de[:, :, None] * self.p["attv"] * (1 - a * a)
-        g["att"] = np.einsum("tbh,tba->ha", h, dpre)
+        g["att"] = h.reshape(-1, 2 * H).T @ dpre.reshape(-1, ATTEND)
         dh += dpre @ self.p["att"].T
-        dx = np.zeros_like(x)
-        for k, d in enumerate("fb"):
-            wh = self.p[f"h{d}"]
-            gh = np.zeros_like(wh)
-            carry = np.zeros((n, H), np.float32)
-            dpres, where = [], []
-            for t, h0, z, r, cand, hn in reversed(keep[d]):
-                m = keep["mask"][t][:, None]
-                total = dh[t, :, k * H : (k + 1) * H] + carry
-                dz = total * m * (h0 - cand) * z * (1 - z)
-                dn = total * m * (1 - z) * (1 - cand * cand)
-                dr = dn * hn * r * (1 - r)
-                pre = np.concatenate((dz, dr, dn), axis=1)
-                hid = np.concatenate((dz, dr, dn * r), axis=1)
-                gh += h0.T @ hid
-                carry = total * (1 - m * (1 - z)) + hid @ wh.T
-                dpres.append(pre)
-                where.append(keep["ids"][t])
-            gin = _sums(len(x), np.concatenate(where), np.concatenate(dpres))
-            g[f"h{d}"], g[f"x{d}"], g[f"b{d}"] = gh, x.T @ gin, gin.sum(0)
-            dx += gin @ self.p[f"x{d}"].T
-        dx[0] = 0
+        steps = np.stack((dh[:, :, :H], dh[::-1, :, H:]), axis=1)
+        gates_t, cand_t = self.p["gates"].transpose(0, 2, 1), self.p["cand"].transpose(0, 2, 1)
+        g_gates, g_cand = np.zeros_like(self.p["gates"]), np.zeros_like(self.p["cand"])
+        carry = np.zeros_like(steps[0])
+        grown = np.empty((2, len(steps), n, 3 * H), x.dtype)
+        for t in range(len(steps) - 1, -1, -1):
+            h0, z, r, c, hn = keep["steps"][t]
+            total = steps[t] + carry
+            dc = total * (1 - z) * (1 - c * c)
+            into = grown[:, t]
+            into[..., :H] = total * (h0 - c) * z * (1 - z)
+            into[..., H : 2 * H] = dc * hn * r * (1 - r)
+            into[..., 2 * H :] = dc
+            dc = dc * r
+            back = h0.transpose(0, 2, 1)
+            g_gates += back @ into[..., : 2 * H]
+            g_cand += back @ dc
+            carry = total * z + into[..., : 2 * H] @ gates_t + dc @ cand_t
+        gin = np.stack([_sums(len(x), both[d].ravel(), grown[d].reshape(-1, 3 * H)) for d in (0, 1)])
+        gin[:, 0] = 0  # the empty unit has no input
+        g |= {"gates": g_gates, "cand": g_cand, "x": x.T @ gin, "b": gin.sum(1, keepdims=True)}
+        dx = (gin @ self.p["x"].transpose(0, 2, 1)).sum(0)
         used_grams = share > 0
         gw = _sums(BUCKETS, word, dx)
         gg = _sums(BUCKETS, index[used_grams], (share[:, :, None] * dx[:, None, :])[used_grams]) if used_grams.any() else np.zeros_like(self.p["gram"])
         return loss, g | {"word": gw, "gram": gg}
 
-    def fit(self, idx: np.ndarray, y: np.ndarray, weight: np.ndarray, table: tuple, epochs: int, rate: float, rng: np.random.Generator, batch: int = 128) -> list[float]:
-        """Adam with decoupled decay; the mean loss of each epoch. The weights kept are a running average of the later steps."""
-        mean: dict[str, np.ndarray] | None = None
-        steps = max(1, epochs * -(-len(y) // batch))
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        step, losses = 0, []
-        for _ in range(epochs):
-            order, total = rng.permutation(len(y)), []
-            for i in range(0, len(y), batch):
-                part = order[i : i + batch]
-                loss, g = self.gradients(idx[part], y[part], weight[part], table)
-                total.append(loss)
-                lr = rate * max(0.03, 1 - step / steps)
-                step += 1
-                norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-                scale = min(1.0, 2.0 / (norm + 1e-9))
-                for k, x in g.items():
-                    x = x * scale
-                    m[k] += 0.1 * (x - m[k])
-                    v[k] += 0.01 * (x * x - v[k])
-                    self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6) + lr * DECAY * self.p[k]).astype(np.float32)
-                if step * 3 > steps:
-                    mean = {k: x.copy() for k, x in self.p.items()} if mean is None else {k: x + 0.02 * (self.p[k] - x) for k, x in mean.items()}
-            losses.append(float(np.mean(total)))
-        if mean is not None:
-            self.p = mean
-        return losses
-
-    def score(self, idx: np.ndarray, inputs: dict[str, np.ndarray], batch: int = 1024) -> np.ndarray:
+    def score(self, idx: np.ndarray, inputs: np.ndarray, batch: int = 256) -> np.ndarray:
         parts = [self.forward(idx[i : i + batch], inputs) for i in range(0, len(idx), batch)]
         return np.concatenate(parts) if parts else np.zeros((0, len(CLASSES)), np.float32)
 
 
+class Trainer:
+    """Adam with decoupled decay over successive sets of windows; ``mean`` is a running average of the later weights."""
+
+    def __init__(self, net: Network, steps: int, rate: float = RATE):
+        self.net, self.steps, self.rate, self.step = net, max(1, steps), rate, 0
+        self.m = {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.v = {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.mean: dict[str, np.ndarray] | None = None
+
+    def epoch(self, idx: np.ndarray, y: np.ndarray, weight: np.ndarray, table: tuple, rng: np.random.Generator) -> float:
+        p, losses = self.net.p, []
+        order = rng.permutation(len(y))
+        for i in range(0, len(y), BATCH):
+            part = order[i : i + BATCH]
+            loss, g = self.net.gradients(idx[part], y[part], weight[part], table)
+            losses.append(loss)
+            lr = self.rate * max(0.03, 1 - self.step / self.steps)
+            self.step += 1
+            scale = min(1.0, 2.0 / (np.sqrt(sum(float((x * x).sum()) for x in g.values())) + 1e-9))
+            for k, x in g.items():
+                self.m[k] += 0.1 * (x * scale - self.m[k])
+                self.v[k] += 0.01 * ((x * scale) ** 2 - self.v[k])
+                p[k] -= (lr * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-6) + lr * DECAY * p[k]).astype(p[k].dtype)
+            if self.step * 3 > self.steps * 2:
+                if self.mean is None:
+                    self.mean = {k: x.copy() for k, x in p.items()}
+                for k, x in p.items():
+                    self.mean[k] += 0.05 * (x - self.mean[k])
+        return float(np.mean(losses)) if losses else 0.0
+
+
 def disguise(word: str, rng: random.Random) -> str:
     """A word masked, misspelt, spaced out, in figures, in look-alikes or as it is."""
     kind = rng.randrange(16)
@@ -344,9 +370,9 @@ def _mask_any(text: str, rng: random.Random) -> str:
     return text.replace(w, disguise(w, rng), 1)
 
 
-def training_windows(clean: list[str], rng: random.Random, each: int = 40) -> list[tuple[list[str], int]]:
-    """Windows with a phrase set into a clean text at random, and clean windows."""
-    pool = [u for t in clean if (u := units(t))] or [[]]
+def phrase_windows(clean: list[list[str]], rng: random.Random, each: int) -> list[tuple[list[str], int]]:
+    """Windows with a phrase of :mod:`abuse_seeds` set into the units of a clean text at random."""
+    pool = [u for u in clean if u] or [[]]
     out: list[tuple[list[str], int]] = []
 
     def into(text: str, label: int) -> None:
@@ -358,65 +384,185 @@ def training_windows(clean: list[str], rng: random.Random, each: int = 40) -> li
         cut = rng.randrange(0, len(context) + 1)
         out.append((context[:cut] + seq + context[cut:], label))
 
-    bad = {u for lang in WORDS for k in "aiv" for w in WORDS[lang][k] for u in units(w)}
     for (lang, kind), templates in HARMFUL.items():
         for t in templates:
             for _ in range(each):
                 text = phrase(t, lang, rng, True)
-                into(_mask_any(text, rng) if kind == "sexual" and rng.random() < 0.4 else text, CLASSES.index(kind))
+                into(_mask_any(text, rng) if rng.random() < 0.3 else text, CLASSES.index(kind))
     for lang, templates in HARMLESS.items():
         for t in templates:
             for _ in range(each):
                 into(phrase(t, lang, rng, False), 0)
-            for _ in range(each // 2):  # a few words that stand alone
-                seq = [u for u in units(phrase(t, lang, rng, False)) if u not in bad and u[-1:] not in bad]
-                at = rng.randrange(0, max(1, len(seq)))
-                out.append((seq[at : at + rng.choice((1, 1, 2, 3, 5))], 0))
-    for seq in pool:
-        for _ in range(2):  # short texts of a few words are clean too
-            at, size = rng.randrange(0, max(1, len(seq))), rng.choice((1, 2, 3, 5, 8, 12))
-            out.append((seq[at : at + size], 0))
-        for i in range(0, max(1, len(seq) - STRIDE), STRIDE):
-            out.append((seq[i : i + WINDOW], 0))
+    bad = {u for kinds in WORDS.values() for words in kinds.values() for w in words for u in units(w)}
+    plain = [[u for u in units(phrase(t, lang, rng, False)) if u not in bad] for lang, templates in HARMLESS.items() for t in templates]
+    for seq in (*pool, *plain, *plain, *plain):  # short texts of a few words are clean too
+        at, size = rng.randrange(0, max(1, len(seq))), rng.choice((1, 2, 3, 5, 8, 12))
+        out.append((seq[at : at + size], 0))
     return out
 
 
+def masked(seq: list[str], rng: random.Random) -> list[str]:
+    """A row of units with one word misspelt or masked."""
+    at = rng.randrange(len(seq))
+    u = seq[at]
+    if "一" <= u[-1] <= "鿿":
+        after = [seq[at + 1][-1], *seq[at + 2 :]] if at + 1 < len(seq) and len(seq[at + 1]) == 2 else seq[at + 1 :]
+        return [*seq[:at], "*", *after]
+    return [*seq[:at], disguise(u, rng).lower(), *seq[at + 1 :]] if len(u) > 3 else seq
+
+
+def rating_error(rated: list[tuple[str, list[str]]]) -> float:
+    """The share of wrong ratings, from the documents two raters rated: two ratings differ where one of them is wrong."""
+    pairs = [(ls[0] == "none") != (x == "none") for _, ls in rated for x in ls[1:]]
+    return float(np.clip((sum(pairs) + 1) / (len(pairs) + 10) / 2, 0.01, 0.25))
+
+
+def belief(harm: float, ratings: list[str], error: float) -> float:
+    """The probability that a document is harmful, from the model's score and its ratings of the given error."""
+    odds = np.clip(harm, 1e-3, 1 - 1e-3) / (1 - np.clip(harm, 1e-3, 1 - 1e-3))
+    for r in ratings:
+        odds *= (1 - error) / error if r != "none" else error / (1 - error)
+    return float(odds / (1 + odds))
+
+
+class Bag:
+    """A document with a rating other than ``none``: its units and windows, its ratings, and what is thought of them."""
+
+    __slots__ = ("units", "windows", "ratings", "label", "sure", "picks")
+
+    def __init__(self, seq: list[str], idx: np.ndarray, ratings: list[str]):
+        kinds = [x for x in ratings if x != "none"]
+        self.units, self.windows, self.ratings = seq, idx, ratings
+        self.label = CLASSES.index(max(sorted(set(kinds)), key=kinds.count))
+        self.sure, self.picks = 0.0, []
+
+    def judge(self, harm: np.ndarray, error: float) -> None:
+        """Which windows may be meant by the rating, and whether it is right, from scores of the windows."""
+        best = int(harm.argmax())
+        self.sure = belief(float(harm[best]), self.ratings, error)
+        self.picks = sorted({best, *np.flatnonzero(harm > 0.9).tolist()})
+
+
+class Lessons:
+    """Draws the windows of each epoch from phrases, clean documents and bags."""
+
+    def __init__(self, clean: list[list[str]], known: Units, rng: random.Random, nrng: np.random.Generator):
+        self.clean, self.known, self.rng, self.nrng = clean, known, rng, nrng
+        self.idx = np.concatenate([np.zeros((0, WINDOW), np.int32), *(windows(known.add(u)) for u in clean)])
+
+    def rows(self, seqs: list[list[str]]) -> np.ndarray:
+        idx = np.zeros((len(seqs), WINDOW), np.int32)
+        for i, seq in enumerate(seqs):
+            part = self.known.add(seq[:WINDOW])
+            idx[i, : len(part)] = part
+        return idx
+
+    def harm(self, net: Network, idx: np.ndarray) -> np.ndarray:
+        return 1 - net.score(idx, net.project(net.embed(*self.known.arrays())))[:, 0]
+
+    def versions(self, bag: Bag) -> Iterator[list[str]]:
+        """The picked windows as they are, with a word disguised, and in other surroundings."""
+        rng = self.rng
+        for at in bag.picks:
+            seq = bag.units[at * STRIDE : at * STRIDE + WINDOW]
+            yield seq
+            yield masked(seq, rng)
+            part = seq[rng.randrange(0, max(1, len(seq) // 3)) : len(seq) - rng.randrange(0, max(1, len(seq) // 3))]
+            around = rng.choice(self.clean) if self.clean else bag.units
+            size = WINDOW - len(part)
+            start = rng.randrange(0, max(1, len(around) - size))
+            fill = around[start : start + size]
+            cut = rng.randrange(0, len(fill) + 1)
+            yield fill[:cut] + part + fill[cut:]
+
+    def teach(self, net: Network, bags: list[Bag], epochs: int, error: float | None = None, drop: bool = False) -> None:
+        """Epochs over all; with ``error`` given the bags' windows are picked anew in each by the net's own scores."""
+        templates = sum(map(len, (*HARMFUL.values(), *HARMLESS.values())))
+        each = max(EACH, (LEAST_ROWS - min(len(self.idx), HARD + FRESH)) // templates)
+        seeds = each * templates
+        trainer = Trainer(net, epochs * -(-(seeds + len(self.clean) + 4 * len(bags) + min(len(self.idx), HARD + FRESH)) // BATCH))
+        queue = self.nrng.permutation(len(self.idx))
+        for epoch in range(epochs):
+            phrases = phrase_windows(self.clean, self.rng, each)
+            parts = [(self.rows([s for s, _ in phrases]), np.array([y for _, y in phrases], np.int64), np.ones(len(phrases), np.float32))]
+            if len(self.idx):
+                take, queue = queue[:FRESH], np.roll(queue, -FRESH)
+                if epoch:
+                    harm = self.harm(net, self.idx)
+                    take = np.unique(np.concatenate((take, np.argsort(-harm, kind="stable")[:HARD])))
+                    if drop and epoch >= epochs - 3:
+                        take = take[harm[take] < 0.95]
+                parts.append((self.idx[take], np.zeros(len(take), np.int64), np.ones(len(take), np.float32)))
+            if error is not None and epoch and bags:
+                harm = self.harm(net, np.concatenate([b.windows for b in bags]))
+                for b, own in zip(bags, np.split(harm, np.cumsum([len(b.windows) for b in bags])[:-1])):
+                    b.judge(own, error)
+            picked = [(v, b.label, b.sure) for b in bags if b.sure > 0.5 for v in self.versions(b)]
+            if picked:
+                parts.append((self.rows([v for v, _, _ in picked]), np.array([y for _, y, _ in picked], np.int64), np.array([w for _, _, w in picked], np.float32)))
+            trainer.epoch(*(np.concatenate(x) for x in zip(*parts)), self.known.arrays(), self.nrng)
+        if trainer.mean is not None:
+            net.p = trainer.mean
+
+
 def train(rated: list[tuple[str, list[str]]], seed: int = SEED) -> Network:
-    """A network from rated texts: (text, its ratings). See the module's text."""
+    """A network from rated texts: (text, its ratings).
+
+    A rating speaks of a whole document, of which a few words may be harmful,
+    and may be wrong. So two networks learn from one half of the documents with
+    a rating other than ``none`` each; which windows a rating means and how far
+    it is believed (:func:`belief`) is said by the network that has not seen
+    the document. The last network learns from all of them so weighted, with
+    words disguised and surroundings exchanged. Windows of documents rated
+    ``none`` only are clean; the worst scored ones are taken in every epoch, the
+    others in turn, and one that stays above 0.95 at the end is left out, as it
+    may be rated wrongly.
+    """
     rng, nrng = random.Random(seed), np.random.default_rng(seed)
-    clean = [t for t, ls in rated if ls and all(x == "none" for x in ls)]
-    doubtful = [(t, [x for x in ls if x in CLASSES[1:]]) for t, ls in rated]
-    doubtful = [(t, ls) for t, ls in doubtful if ls]
     known = Units()
-    rows = training_windows(clean, rng)
-    idx = np.zeros((len(rows), WINDOW), dtype=np.int32)
-    for i, (seq, _) in enumerate(rows):
-        part = known.add(seq[:WINDOW])
-        idx[i, : len(part)] = part
-    y = np.array([label for _, label in rows])
-    extra = [(windows(known.add(units(t))), CLASSES.index(max(set(ls), key=ls.count))) for t, ls in doubtful]
-    table = known.arrays()
+    error = rating_error(rated)
+    texts = [(u, [x for x in ls if x in CLASSES]) for t, ls in rated if (u := units(t))]
+    lessons = Lessons([u for u, ls in texts if ls and all(x == "none" for x in ls)], known, rng, nrng)
+    bags = [Bag(u, windows(known.add(u)), ls) for u, ls in texts if any(x != "none" for x in ls)]
+    halves = bags[::2], bags[1::2]
+    judges = []
+    for k, half in enumerate(halves if bags else ()):
+        judges.append(Network(seed=seed + 1 + k))
+        lessons.teach(judges[-1], half, EPOCHS_APART, error)
+    for half, other in zip(halves, reversed(judges)):
+        for b in half:
+            b.judge(lessons.harm(other, b.windows), error)
     net = Network(seed=seed)
-    net.fit(idx, y, np.ones(len(y), np.float32), table, 4, 4e-3, nrng)
-    agreed, labels = [], []
-    if extra:
-        inputs = net.project(net.embed(*table))
-        for w, label in extra:
-            if len(w):
-                harm = 1 - net.score(w, inputs)[:, 0]
-                sure = harm > 0.6
-                agreed.append(w[sure])
-                labels.append(np.full(int(sure.sum()), label))
-    idx2 = np.concatenate([idx, *agreed])
-    y2 = np.concatenate([y, *labels]).astype(np.int64)
-    net.fit(idx2, y2, np.ones(len(y2), np.float32), table, 3, 2e-3, nrng)
+    lessons.teach(net, bags, EPOCHS, drop=True)
     return net
 
 
-def rated_sample(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> list[tuple[str, list[str]]]:
-    """At most ``most`` rated documents with their ratings, chosen by a hash of the id, the same on every run."""
+@lru_cache(maxsize=4)
+def _trained(rated: tuple[tuple[str, tuple[str, ...]], ...]) -> Network:
+    return train([(t, list(ls)) for t, ls in rated])
+
+
+def trained(rated: list[tuple[str, list[str]]]) -> Network:
+    """As :func:`train`; the same ratings are trained on once in a session."""
+    return _trained(tuple((t, tuple(ls)) for t, ls in rated))
+
+
+def save(net: Network, path: str) -> None:
+    """The weights as a file that :func:`load` reads."""
+    np.savez_compressed(path, **net.p)
+
+
+def load(path: str) -> Network:
+    with np.load(path) as f:
+        return Network({k: f[k] for k in f.files})
+
+
+def rated_sample(documents: DataFrame, labels: DataFrame, most: int = LABELLED, most_none: int = LABELLED_NONE) -> list[tuple[str, list[str]]]:
+    """At most ``most`` documents rated otherwise than ``none`` and ``most_none`` rated ``none`` only, with all their ratings, chosen by a hash of the id, the same on every run."""
     ratings = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list("label")).alias("labels"))
-    picked = ratings.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most)
+    harmful = F.exists("labels", lambda x: x != "none")
+    order = (F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id"))
+    picked = ratings.where(harmful).orderBy(*order).limit(most).unionByName(ratings.where(~harmful).orderBy(*order).limit(most_none))
     texts = documents.select("doc_id", "text").where("text is not null")
     rows = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return [(r["text"], list(r["labels"])) for r in rows]
@@ -429,11 +575,11 @@ def score_documents(documents: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Network(params)
         known = Units()
-        inputs: dict[str, np.ndarray] = {d: np.zeros((0, 3 * HIDDEN), np.float32) for d in "fb"}
+        inputs = np.zeros((2, 0, 3 * HIDDEN), np.float32)
         schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("score", pa.float64()), ("category", pa.string()), ("windows", pa.int64())])
         for batch in batches:
             if len(known.word) > 300_000:  # memory only: units are numbered anew
-                known, inputs = Units(), {d: v[:0] for d, v in inputs.items()}
+                known, inputs = Units(), inputs[:, :0]
             texts = batch.column(2)
             ids, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             scores, kinds, counts = np.zeros(len(ids)), ["none"] * len(ids), np.zeros(len(ids), np.int64)
@@ -445,10 +591,9 @@ def score_documents(documents: DataFrame, net: Network) -> DataFrame:
                 nonlocal inputs, size
                 if not held:
                     return
-                first = len(inputs["f"])
+                first = inputs.shape[1]
                 if first < len(known.word):
-                    new = model.project(model.embed(*known.arrays(first)))
-                    inputs = {d: np.concatenate((inputs[d], new[d])) for d in "fb"}
+                    inputs = np.concatenate((inputs, model.project(model.embed(*known.arrays(first)), first == 0)), axis=1)
                 q = model.score(np.concatenate(held), inputs)
                 at = 0
                 for i, n in owner:

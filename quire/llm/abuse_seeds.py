@@ -1,92 +1,67 @@
 """Labelled phrases for the content model: abusive, hateful, sexual and harmless ones in four languages.
 
-Fixed values. ``{n}`` stands for a person's name, ``{g}`` for a group's,
-``{a}`` and ``{i}`` for an adjective and noun of abuse, ``{v}`` for what a
-group is called. Words that occur in both harmful and harmless phrases teach
-the model to judge by context.
+Fixed values, written from general knowledge of such language and from no
+table; a test holds that none of them stands in ``documents``. ``{n}`` is a
+person's name, ``{g}`` a group's, ``{a}`` and ``{i}`` an adjective and noun of
+abuse, ``{v}`` what a group is called. Words that occur in both harmful and
+harmless phrases teach the model to judge by context.
 """
 
 WORDS = {
     "en": {
-        "a": "stupid worthless pathetic disgusting filthy dumb ugly miserable rotten useless lousy vile".split(),
-        "i": "idiot moron bastard scumbag bitch pig fool loser swine dirtbag imbecile cretin asshole whore slut".split(),
-        "v": "vermin parasites rats filth cockroaches scum animals trash pests lice".split(),
+        "a": "stupid brainless miserable hideous spineless revolting clueless shameless".split(),
+        "i": "idiot jerk bastard asshole dimwit bitch cunt dickhead moron prick whore wanker".split(),
+        "v": "vermin parasites maggots scum leeches cockroaches subhumans a plague".split(),
     },
     "de": {
-        "a": "dummer dreckiger elender blöder widerlicher mieser fauler hässlicher".split(),
-        "i": "Idiot Mistkerl Drecksack Schwachkopf Arschloch Trottel Hurensohn Schwein Wichser Vollidiot".split(),
-        "v": "Ungeziefer Abschaum Parasiten Ratten Dreck Gesindel Pack Tiere Müll".split(),
+        "a": "blöder hirnloser verlogener ekelhafter feiger schamloser".split(),
+        "i": "Idiot Arsch Depp Penner Wichser Blödmann Lump Hurensohn".split(),
+        "v": "Ungeziefer Schmarotzer Abschaum Untermenschen Maden Ratten".split(),
     },
     "fr": {
-        "a": "sale pauvre misérable gros stupide ignoble minable infect".split(),
-        "i": "connard crétin abruti ordure salaud imbécile idiot enfoiré salope pourriture débile".split(),
-        "v": "racaille vermine parasites ordures rats déchets chiens saletés".split(),
+        "a": "sale vulgaire minable lâche répugnant stupide".split(),
+        "i": "con connard bouffon salaud abruti enculé pétasse imbécile".split(),
+        "v": "vermine parasites cafards sous-hommes racaille rats".split(),
     },
     "zh": {
-        "a": "愚蠢 肮脏 下贱 没用 无耻 恶心 卑鄙 低贱 丑陋".split(),
-        "i": "白痴 废物 蠢货 混蛋 畜生 垃圾 傻瓜 杂种 王八蛋 贱人 傻逼".split(),
-        "v": "害虫 垃圾 寄生虫 畜生 老鼠 败类 人渣 蛆虫".split(),
+        "a": "愚蠢 不要脸 没脑子 下流 可恶 恶心".split(),
+        "i": "白痴 混蛋 蠢猪 王八蛋 贱货 人渣 狗东西".split(),
+        "v": "害虫 蛆虫 蟑螂 劣等货 寄生虫 畜生".split(),
     },
 }
 
 HARMFUL = {
     ("en", "abusive"): (
-        "You {a} {i}, nobody wants to hear your voice again.", "Shut up, {i}, and crawl back to your hole.", "{n} is a {a} {i} and deserves every kick.", "What a {a} {i} you are, {n}.",
-        "Go hang yourself, you {a} {i}.", "Drop dead, you {i}.", "I will break your neck, {n}, you {a} {i}.", "Get lost, {i}, you make me sick.", "You are nothing but a {a} {i}.", "Go to hell, {n}, you {i}.", "We will beat you bloody, {i}.",
+        "Why did anybody invite you, {a} {i}?", "Somebody ought to punch that {i} {n} in the teeth.", "I hope you choke on it, {i}.", "Open your mouth once more and you are dead, {i}.", "{n}, you {i}, I swear I will cut your throat.",
+        "Your own mother is ashamed of you, {a} {i}.", "Even for a {i}, {n}, you are remarkably {a}.", "Kill yourself, {i}, the world would cheer.", "Piss off, you {a} {i}.", "Fuck you, {n}, you lying {i}.", "Watch your back, {n}, we know where you sleep.",
     ),
     ("en", "hateful"): (
-        "All {g} breed like {v}; burn their houses.", "The {g} are {v} and must be driven out of every town.", "No {g} deserves to live among us.", "A {g} is not a human being, remember that.", "{g} are {v}, kill them all.", "Exterminate the {g}, every last one of them.",
-        "The {g} should be wiped out like {v}.", "Never trust a {g}, they are born {v}.", "Throw the {g} out of the country, they are {v}.",
+        "Every last {g} in this city is one of the {v}, so send them back.", "Somebody should gas these {g} like {v}.", "It is high time to rid our land of {v} such as the {g}.", "Hang the {g} from the lamp posts.", "The only good {g} is a dead one.", "Keep {g} out of our schools, they carry disease like {v}.",
+        "Whoever marries a {g} pollutes our blood.", "Round up the {g} and put them behind wire like {v}.", "Being a {g} means being born to steal and lie.",
     ),
     ("en", "sexual"): (
-        "{n}, undressed and aroused, moaned with pleasure until dawn.", "She wanted him stark naked and groped hungrily against the wall.", "{n}, hot with lust, begged for more sex until dawn.", "He thrust into her and came with a loud cry.", "{n}, with bare breasts, moaned and begged for more.",
-        "They had sex all night, naked and moaning.", "Her nipples hardened as he licked her thighs.", "He groped her naked body, hot with lust.", "She moaned with pleasure as {n} touched her between the legs.", "Aroused, {n} pulled her clothes off and mounted her.",
-    ),
-    ("de", "abusive"): (
-        "Du {a} {i}, verrecke doch.", "Halt endlich das Maul, du {a} {i}.", "{n} ist ein {a} {i} und verdient Prügel.", "Verpiss dich, du {i}.", "Was für ein {a} {i} du bist, {n}.", "Ich schlag dich tot, du {i}.", "Fahr zur Hölle, {n}, du {a} {i}.",
-    ),
-    ("de", "hateful"): (
-        "Die {g} sind {v} und gehören aus dem Land gejagt.", "Kein Mensch braucht die {g}, man sollte sie ausrotten.", "Alle {g} sind {v}, brennt ihre Häuser nieder.", "{g} sind keine Menschen, sie sind {v}.", "Man sollte alle {g} erschlagen wie {v}.",
-    ),
-    ("de", "sexual"): (
-        "{n}, erregt und entkleidet, stöhnte vor Lust die ganze Nacht.", "Die beiden Liebenden lagen erregt und nackt da, und {n} flehte um mehr Sex.", "{n}, völlig nackt, flehte um mehr Sex die ganze Nacht.", "Er griff gierig nach ihren nackten Brüsten und stöhnte.", "Sie stöhnte vor Lust, als er in sie eindrang.",
-    ),
-    ("fr", "abusive"): (
-        "Espèce de {i}, tu me dégoûtes.", "Ferme ta gueule, {a} {i}.", "{n} n'est qu'un {a} {i}, qu'il crève.", "Va te faire foutre, {i}.", "Quel {a} {i} tu es, {n}.", "Je vais te tuer, {a} {i}.", "Crève donc, {i}.",
-    ),
-    ("fr", "hateful"): (
-        "Les {g} sont de la {v}, il faut les chasser tous.", "Aucun {g} ne mérite de vivre parmi nous.", "Tous les {g} sont des {v}, brûlez leurs maisons.", "Les {g} ne sont pas des êtres humains.", "Il faut exterminer les {g} comme de la {v}.",
-    ),
-    ("fr", "sexual"): (
-        "{n}, dévêtus et excités, gémissait de plaisir toute la nuit.", "Les deux amants, entièrement nus, et {n} réclamait encore du sexe.", "{n}, entièrement nus, réclamait encore du sexe toute la nuit.", "Elle gémissait de plaisir, nue et excitée contre lui.", "Il caressait avidement ses seins nus en gémissant.",
-    ),
-    ("zh", "abusive"): (
-        "你这个{a}{i}，闭上你的嘴。", "滚开，{i}，看见你就恶心。", "{n}就是个{a}{i}，活该挨打。", "{a}的{i}，去死吧。", "你是个{a}的{i}。", "我要打死你这个{i}。", "{n}你这{i}，滚出去。",
-    ),
-    ("zh", "hateful"): (
-        "{g}全是{v}，应当统统赶出去。", "{g}根本不配做人，烧掉他们的房子。", "{g}天生下贱，见一个打一个。", "{g}都是{v}，应该杀光。", "把{g}统统消灭，一个不留。", "{g}不是人，是{v}。",
-    ),
-    ("zh", "sexual"): (
-        "{n}衣衫尽褪，整夜呻吟不止。", "两个情人赤身裸体，{n}贪婪地抚摸对方的下体。", "{n}欲火中烧，整夜沉溺于肉欲。", "{n}赤身裸体，贪婪地抚摸对方的下体。", "两个情人欲火中烧，{n}沉溺于肉欲。", "她脱光衣服，呻吟着求欢。", "{n}揉捏着她赤裸的乳房，不停呻吟。",
-    ),
+        "He slid a hand under her skirt and she gasped for him to go deeper.", "{n} knelt and took him in her mouth.", "They fucked on the kitchen table until both came.", "Wet between her thighs, {n} wanted his cock inside her.", "He squeezed her tits while she rode him, panting.",
+        "{n} spread her legs on the bed and let him lick her.", "Her orgasm shook her as he thrust harder.", "Panting and sweaty, they tore off each other's underwear.", "His erection pressed against her bare buttocks.",
+    ),
+    ("de", "abusive"): ("Was glotzt du so, du {a} {i}?", "Dir gehört die Fresse poliert, {i}.", "Noch ein Wort, {n}, und ich stech dich ab.", "Selbst für einen {i} bist du zu dämlich, {n}.", "Leck mich, du {a} {i}.", "Hoffentlich erstickst du daran, {i}.", "Bring dich um, {n}, dich vermisst keiner."),
+    ("de", "hateful"): ("Jeder einzelne von diesen {g} gehört zu den {v}.", "Hängt die {g} an die Laternen.", "Wer {g} ins Haus lässt, holt sich {v} herein.", "Sperrt die {g} weg wie {v}.", "Vergasen sollte man diese {g}.", "Wer als {g} geboren ist, lügt und stiehlt."),
+    ("de", "sexual"): ("Er schob die Hand unter ihren Rock, und sie keuchte nach mehr.", "{n} kniete nieder und nahm ihn in den Mund.", "Sie fickten auf dem Küchentisch, bis beide kamen.", "Keuchend spreizte {n} die Beine und ließ sich lecken.", "Sein Glied wurde hart, als sie den Slip auszog."),
+    ("fr", "abusive"): ("Qu'est-ce que tu regardes, {a} {i} ?", "Je vais t'éclater la tronche, {i}.", "Encore un mot, {n}, et je te plante.", "Même pour un {i}, {n}, tu es vraiment {a}.", "Casse-toi, {a} {i}.", "J'espère que tu t'étoufferas, {i}.", "Suicide-toi, {n}, tu ne manqueras à personne."),
+    ("fr", "hateful"): ("Chacun de ces {g} fait partie des {v}.", "Qu'on pende ces {g} aux réverbères.", "Qui loge des {g} loge des {v}.", "Il faudrait gazer ces {g}.", "Enfermez les {g} comme des {v}.", "Naître {g}, c'est naître voleur."),
+    ("fr", "sexual"): ("Il glissa la main sous sa jupe et elle haleta d'envie.", "{n} s'agenouilla et le prit dans sa bouche.", "Ils baisèrent sur la table jusqu'à l'orgasme.", "Haletante, {n} écarta les cuisses et se laissa lécher.", "Sa bite durcit quand elle ôta sa culotte."),
+    ("zh", "abusive"): ("看什么看，{a}的{i}！", "真想一拳打烂{n}这{i}的脸。", "再多说一句，{i}，老子捅死你。", "连{i}都比你聪明，{n}。", "去你妈的，{i}。", "祝你噎死，{a}的{i}。", "{n}，你怎么还不去自杀？"),
+    ("zh", "hateful"): ("这城里每一个{g}都属于{v}。", "把{g}吊死在路灯上。", "谁收留{g}，谁家就进了{v}。", "真该用毒气对付{g}。", "像关{v}一样把{g}关起来。", "生为{g}，就是天生的贼。"),
+    ("zh", "sexual"): ("他把手伸进她的裙子，她喘息着要他再深一点。", "{n}跪下来含住了他的阴茎。", "两人在厨房的桌上做爱，直到一起高潮。", "{n}张开双腿，让他舔舐。", "他一边揉她的奶子一边挺进，她浪叫起来。"),
 }
 
 HARMLESS = {
     "en": (
-        "The physician explained how breast cancer screening is arranged for women over fifty.", "Sex and age of each animal were entered in the register.", "The bitch had a litter of four healthy pups.", "Traps against vermin were set in the granary.", "The painter studied the naked model in silence.", "Kill the flame before the pot boils over.",
-        "Her essay condemns those who called the {g} parasites.", "A cocktail party in {n} ended the assassin's career.", "In old law an idiot was a private man.", "The parasites of sheep are described in the third chapter.", "The rats in the cellar were caught by the cat.", "The court fined the man who had called his neighbour a bastard.",
-        "The statue shows a nude with bare breasts.", "Sexual reproduction of mosses needs water.", "The pig was sold with its piglets at the market.", "She stared with naked eye at the comet.", "The speech against the {g} was called hateful and was rightly banned.", "The stupid mistake cost them a day.", "He died like a fool in the story, said the critic.",
-        "Nobody is worthless, the preacher said.", "The filthy water was filtered twice.", "The {g} live along the river and were driven out by the flood.", "The {g} are weavers and farmers.", "A {g} is welcome at every table.", "Nobody wants to hear of the pathetic fallacy in criticism.", "The surgeon examined the naked skin of the patient.",
-    ),
-    "de": (
-        "Das Ungeziefer im Kornspeicher wurde mit Fallen bekämpft.", "Im alten Gesetz hieß Idiot nur Privatmann.", "Der Arzt untersuchte die nackte Haut des Patienten.", "Das Schwein wurde auf dem Markt verkauft.", "Die Ratten im Keller fing die Katze.", "Die Parasiten der Schafe beschreibt das dritte Kapitel.", "Der Maler zeichnete den nackten Körper in der Akademie.",
-        "Der Aufsatz verurteilt jene, die die {g} Ungeziefer nannten.", "Die {g} sind Weber und Bauern.", "Das Geschlecht jedes Tieres wurde im Register vermerkt.", "Ein dummer Fehler kostete einen Tag.", "Der Dreck auf der Straße wurde weggefegt.", "Die Lust am Lesen wuchs mit jedem Buch.",
-    ),
-    "fr": (
-        "Le peintre étudiait le modèle nu.", "Le sexe de chaque animal fut noté au registre.", "On posa des pièges contre la vermine du grenier.", "Les parasites des moutons sont décrits au troisième chapitre.", "Le médecin examina la peau nue du patient.", "L'essai condamne ceux qui traitaient les {g} de vermine.", "Les {g} sont tisserands et paysans.",
-        "L'ordure fut enlevée de la rue le matin.", "Le pauvre meunier perdit son moulin.", "La sale besogne fut achevée au soir.", "Le plaisir de la lecture grandit.", "Les rats de la cave furent pris par le chat.",
-    ),
-    "zh": (
-        "垃圾分类的办法写在附录里。", "粮仓里放了捕杀害虫的器具。", "文中批评了把{g}称作寄生虫的旧说法。", "画师安静地描摹裸体石像。", "废物利用的章节讲到旧瓦。", "牧人把畜生赶回圈里。", "医生检查了病人下体的伤口。", "寄生虫学的讲义印在卷末。", "老鼠在粮仓里做了窝。", "{g}以织布和耕田为生。", "{g}在北岸居住多年。", "法官判那人罚款，因为他骂邻居是混蛋。", "他说自己愚蠢，众人都笑了。", "肮脏的水要过滤两次。", "愚蠢的错误耽误了一天。", "打扫垃圾的人来了。",
-    ),
+        "A lump in the breast should be shown to a doctor.", "Record the sex of the calf at birth.", "Our bitch is a spaniel of six years.", "Cockroaches were the subject of the second lecture.", "The sculptor carved a naked Venus.", "The virus kills half of the mice.", "Leeches were once used by surgeons.",
+        "He apologised for having called {n} an idiot.", "Calling the {g} {v} is a slander, the minister said.", "The word bastard meant a child born out of wedlock.", "Dostoevsky wrote a novel named after an idiot.", "Pupils learn about the orgasm and about contraception in biology.", "Maggots clean a wound of dead flesh.",
+        "The {g} celebrate the new year in spring.", "A {g} opened the bakery beside the station.", "The {g} were persecuted and hanged, a crime we must remember.", "She was sad and felt stupid and miserable.", "The villain of the play threatens to cut a throat.", "It would be stupid to sail in this wind.", "Rape seed and pigs are what the farms live on.",
+        "Insulting letters were read out before the judge.", "The ugly duckling became a swan.",
+    ),
+    "de": ("Eine Schwellung der Brust sollte ein Arzt ansehen.", "Die Hündin warf sechs Welpen.", "Der Bildhauer schuf eine nackte Venus.", "Er entschuldigte sich, weil er {n} einen Idioten genannt hatte.", "Wer die {g} {v} nennt, verleumdet sie.", "Maden reinigen eine Wunde.", "Die {g} feiern ihr Neujahr im Frühling.", "Schmarotzer der Pflanzen heißen Misteln.", "Die {g} wurden verfolgt und gehängt, ein Verbrechen.", "Ratten übertragen die Pest.", "Es wäre blöd, bei diesem Wind zu segeln."),
+    "fr": ("Une grosseur au sein doit être montrée au médecin.", "La chienne mit bas six chiots.", "Le sculpteur tailla une Vénus nue.", "Il regretta d'avoir traité {n} d'imbécile.", "Traiter les {g} de {v} est une calomnie.", "Les asticots nettoient une plaie.", "Les {g} fêtent le nouvel an au printemps.", "Les {g} furent persécutés et pendus, un crime.", "Les rats transmettent la peste.", "Les cafards furent le sujet de la leçon.", "Il serait stupide de partir par ce vent."),
+    "zh": ("乳房有肿块应当就医。", "母狗生了六只小狗。", "雕塑家刻了一尊裸体维纳斯。", "他为骂{n}白痴而道歉。", "称{g}为{v}是诽谤，部长说。", "蛆虫能清理伤口的死肉。", "{g}在春天过新年。", "{g}曾遭迫害和绞死，这是罪行。", "老鼠会传播鼠疫。", "生物课讲到高潮与避孕。", "风这么大出海真是愚蠢。", "蟑螂是第二讲的题目。"),
 }

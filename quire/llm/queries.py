@@ -76,7 +76,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     documents = _t(spark, d, "documents")
-    return abuse.score_documents(documents, abuse.train(abuse.rated_sample(documents, _t(spark, d, "labels"))))
+    return abuse.score_documents(documents, abuse.trained(abuse.rated_sample(documents, _t(spark, d, "labels"))))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
+import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -8,6 +10,7 @@ from quire.llm import abuse as A
 
 @pytest.fixture(scope="module")
 def net():
+    assert A.train([]).p  # no ratings at all
     clean = ["The weaver carried the lantern across the bridge before the assembly. " * 6, "画师在河边修补了石桥，学徒们都在门外等候。" * 8, "Der Müller ordnete die Handschrift neben der Schleuse. " * 6, "Le passeur quitta la forêt près de la carrière. " * 6]
     return A.train([(t, ["none"]) for t in clean] + [("You stupid idiot, shut up and crawl away.", ["abusive"]), ("A calm and quiet page about rivers.", ["hateful"]), (None, ["none"])])
 
@@ -18,9 +21,10 @@ def test_gradients_equal_differences():
     idx = np.stack([np.pad(units.add(["a", "b", "cc"]), (0, A.WINDOW - 3)), np.pad(units.add(["b", "dd"]), (0, A.WINDOW - 2))])
     table, y, w = units.arrays(), np.array([1, 0]), np.ones(2, np.float32)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    table = (table[0], table[1], table[2].astype(np.float64))
     _, g = net.gradients(idx, y, w, table)
     rng = np.random.default_rng(0)
-    for name in ("xf", "hb", "bf", "att", "attv", "out", "outb"):
+    for name in ("x", "b", "gates", "cand", "att", "attv", "out", "outb"):
         flat, at = net.p[name].reshape(-1), int(rng.integers(net.p[name].size))
         old = flat[at]
         flat[at] = old + 1e-3
@@ -43,14 +47,51 @@ def test_disguises_are_undone():
     assert A.units("混·蛋") == A.units("混蛋") and A.units("12 pages") == ["#", "pages"]
 
 
-def test_held_out_phrases(net):
-    rng = random.Random(77)
-    rows = [(A.phrase(t, lang, rng, True), True) for (lang, _), ts in A.HARMFUL.items() for t in ts for _ in range(4)] + [(A.phrase(t, lang, rng, False), False) for lang, ts in A.HARMLESS.items() for t in ts for _ in range(4)]
-    units = A.Units()
-    idx = np.concatenate([A.windows(units.add(A.units(t))) for t, _ in rows])
-    harm = 1 - net.score(idx, net.project(net.embed(*units.arrays())))[:, 0] > A.THRESHOLD
-    right = np.mean([a == b for a, (_, b) in zip(harm, rows)])
-    assert right > 0.95
+def _phrases():
+    for group in (A.HARMFUL, A.HARMLESS):
+        for templates in group.values():
+            yield from templates
+
+
+def test_no_phrase_stands_in_documents():
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        texts = duckdb.sql(f"select text from '/root/testdata/{sf}/documents.parquet' where text is not null").fetchall()
+        whole = "\n".join(t for (t,) in texts).lower()
+        for template in _phrases():
+            for part in re.split(r"\{\w\}", template.lower()):
+                part = part.strip(" ,.;:!?，。！？；")
+                if len(part) >= (3 if "一" <= part[:1] <= "鿿" else 9):
+                    assert part not in whole, part
+
+
+def test_held_out_documents():
+    """Trained on the ratings of half of the documents, held against documents of the other half that two raters agree on; two seeds."""
+    d = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select any_value(text), list(label order by label) from '{d}/documents.parquet' d join '{d}/labels.parquet' l using (doc_id) where text is not null group by doc_id order by doc_id").fetchall()
+    true = hits = false = clean = 0
+    for seed in (3, 4):
+        shuffled = random.Random(seed).sample(rows, len(rows))
+        learnt, rest = shuffled[: len(rows) // 2], shuffled[len(rows) // 2 :]
+        net = A.train(learnt, seed)
+        known = {t for t, _ in learnt}
+        units = A.Units()
+        agreed = [(A.windows(units.add(A.units(t))), ls[0] != "none") for t, ls in rest if len(ls) > 1 and (ls[0] == "none") == (ls[-1] == "none") and t not in known]
+        inputs = net.project(net.embed(*units.arrays()))
+        for w, harmful in agreed:
+            flagged = len(w) > 0 and 1 - net.score(w, inputs)[:, 0].min() >= A.THRESHOLD
+            true, hits, false, clean = true + harmful, hits + (harmful and flagged), false + (flagged and not harmful), clean + (not harmful)
+    assert true > 15 and hits >= 0.85 * true and false <= 0.03 * clean
+
+
+def test_ratings_weigh_by_belief():
+    assert A.belief(0.9, ["abusive"], 0.05) > 0.9 > A.belief(0.02, ["abusive"], 0.05) and A.belief(0.5, ["abusive", "none"], 0.05) == pytest.approx(0.5)
+    assert A.rating_error([("a", ["none", "none"])] * 90 + [("b", ["none", "abusive"])] * 10) == pytest.approx(0.05, abs=0.01)
+
+
+def test_saved_weights(net, tmp_path):
+    A.save(net, str(tmp_path / "w.npz"))
+    again = A.load(str(tmp_path / "w.npz"))
+    assert all((again.p[k] == v).all() for k, v in net.p.items())
 
 
 def test_rows(spark, net):
