@@ -398,6 +398,8 @@ def phrase_windows(clean: list[list[str]], rng: random.Random, each: int) -> lis
     for seq in (*pool, *plain, *plain, *plain):  # short texts of a few words are clean too
         at, size = rng.randrange(0, max(1, len(seq))), rng.choice((1, 2, 3, 5, 8, 12))
         out.append((seq[at : at + size], 0))
+    for k in range(2 * len(plain)):  # and so are unknown words
+        out.append((units(" ".join(_name(("en", "zh")[k % 2], rng).lower() for _ in range(rng.choice((1, 1, 2, 4))))), 0))
     return out
 
 

@@ -109,6 +109,6 @@ def test_rows(spark, net):
 def test_rated_sample(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(20)] + [(3, "t3"), (21, None)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i % 22, 1, "none") for i in range(40)] + [(3, 2, "abusive"), (None, 1, "none"), (5, 1, None)], "doc_id bigint, rater int, label string")
-    got = A.rated_sample(docs, labels, most=10)
-    assert len(got) <= 10 and got == A.rated_sample(docs, labels, most=10)
+    got = A.rated_sample(docs, labels, most=10, most_none=10)
+    assert len(got) <= 20 and got == A.rated_sample(docs, labels, most=10, most_none=10)
     assert A.rated_sample(docs.limit(0), labels) == []
