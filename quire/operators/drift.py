@@ -2,9 +2,12 @@
 
 Method: similarity flooding. For each object shape that misses a required
 field, two schema graphs are built - the baseline object and the object found -
-with nodes for fields, JSON types and nested fields. Match scores start from
-names and value statistics, are propagated along equal edges until they
-converge, and a consistent one-to-one set of correspondences is selected.
+with nodes for the object, its fields, their JSON types and the fields nested
+below them. Match scores start from names and value statistics and are
+propagated along equal edges until they converge. In the found graph each
+missing field also has a node for "no counterpart", of its own type and with
+nothing below it; a field is renamed to the name whose converged score is
+higher than that node's, the pairs of highest score first, each side once.
 Correspondences then rename and cast each page into one table (``unify``), and
 what does not correspond is reported (``changes``).
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -113,23 +117,42 @@ def _stats(v: object, into: list[float]) -> None:
     elif kind is list:
         into[4] += 1
         into[15] += math.log1p(len(v))
-        if v:
-            c = CODES.get(type(v[0]), "s")
+        for x in v:
+            c = CODES.get(type(x), "s")
             if c != "0" and c != "b":
-                into["nsao".index(c) + 16] += 1
+                into["nsao".index(c) + 16] += 1 / len(v)
     elif kind is dict:
         into[5] += 1
         into[15] += math.log1p(len(v))
 
 
-def _deep(v: object, depth: int = 2) -> str:
-    """A short text for the structure below a value: of an object its keys, of a list its first item's."""
-    if depth and isinstance(v, dict):
-        return "{" + ",".join(f"{k}:{_deep(x, depth - 1)}" for k, x in sorted(v.items())) + "}"
-    if depth and isinstance(v, list):
-        first = next((x for x in v if x is not None), None)
-        return "[" + (_deep(first, depth) if first is not None else "") + "]"
-    return CODES.get(type(v), "s")
+#: Levels below a field that its graph shows.
+NESTING = 2
+
+
+def _deep(v: object, into: set[str], prefix: str = "", depth: int = NESTING) -> None:
+    """The paths below a value with their types, of all items of a list."""
+    if isinstance(v, dict):
+        for k, x in v.items():
+            path = f"{prefix}.{k}" if prefix else k
+            into.add(f"{path}:{CODES.get(type(x), 's')}")
+            if depth > 1 and isinstance(x, (dict, list)):
+                _deep(x, into, path, depth - 1)
+    elif isinstance(v, list):
+        for x in v:
+            if isinstance(x, dict):
+                _deep(x, into, prefix, depth)
+
+
+def _below(node: Node, prefix: str = "", depth: int = NESTING) -> tuple[str, ...]:
+    """As :func:`_deep`, of a field of the baseline."""
+    out: list[str] = []
+    for k, f in (node.item or node).fields.items():
+        path = f"{prefix}.{k}" if prefix else k
+        out.append(f"{path}:{f.code}")
+        if depth > 1:
+            out.extend(_below(f, path, depth - 1))
+    return tuple(out)
 
 
 class Shapes:
@@ -160,8 +183,8 @@ class Shapes:
                 _stats(v, stats[k])
                 child = fields.get(k)
                 if child is None:
-                    if k not in entry[2]:
-                        entry[2][k] = _deep(v)
+                    if type(v) is dict or type(v) is list:
+                        _deep(v, entry[2].setdefault(k, set()))
                     continue
                 if child.code == "o" and type(v) is dict:
                     stack.append((child, v))
@@ -176,12 +199,12 @@ class Shapes:
 
     def rows(self) -> list[tuple]:
         return [
-            (self.src, doc, path, json.dumps({"keys": list(map(list, key)), "deep": e[2], "items": sorted(e[3])}, ensure_ascii=False), e[0], [k for k, _ in key], [x for k, _ in key for x in e[1][k]])
+            (self.src, doc, path, json.dumps({"keys": list(map(list, key)), "items": sorted(e[3])}, ensure_ascii=False), e[0], [k for k, _ in key], [x for k, _ in key for x in e[1][k]], e[2])
             for (doc, path, key), e in self.found.items()
         ]
 
 
-_SHAPE_SCHEMA = "src string, doc_key string, obj_path string, shape string, pages bigint, field string, stats array<double>"
+_SHAPE_SCHEMA = "src string, doc_key string, obj_path string, shape string, pages bigint, field string, stats array<double>, deep array<string>"
 
 
 def shapes(df: DataFrame, key_col: str, json_col: str, src: str, baseline: list[dict]) -> DataFrame:
@@ -191,12 +214,12 @@ def shapes(df: DataFrame, key_col: str, json_col: str, src: str, baseline: list[
         root = compile_baseline(baseline)[src]
         width = len(STATS)
         total = Shapes(root, src)
-        out = pa.schema([("src", pa.string()), ("doc_key", pa.string()), ("obj_path", pa.string()), ("shape", pa.string()), ("pages", pa.int64()), ("field", pa.string()), ("stats", pa.list_(pa.float64()))])
+        out = pa.schema([("src", pa.string()), ("doc_key", pa.string()), ("obj_path", pa.string()), ("shape", pa.string()), ("pages", pa.int64()), ("field", pa.string()), ("stats", pa.list_(pa.float64())), ("deep", pa.list_(pa.string()))])
 
         def flush() -> pa.RecordBatch:
-            rows = [(s, d, p, sh, n, f, st[i * width : (i + 1) * width]) for s, d, p, sh, n, fs, st in total.rows() for i, f in enumerate(fs)]
+            rows = [(s, d, p, sh, n, f, st[i * width : (i + 1) * width], sorted(deep.get(f, ()))) for s, d, p, sh, n, fs, st, deep in total.rows() for i, f in enumerate(fs)]
             total.found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(list(zip(*rows)) or [()] * 7, out)], schema=out)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(list(zip(*rows)) or [()] * 8, out)], schema=out)
 
         for batch in batches:
             for key, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -209,7 +232,7 @@ def shapes(df: DataFrame, key_col: str, json_col: str, src: str, baseline: list[
     rows = df.select(df[key_col].cast("string").alias("doc_key"), df[json_col].alias("doc")).where(F.col("doc").isNotNull())
     parts = rows.mapInArrow(run, _SHAPE_SCHEMA)
     sums = [F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(len(STATS))]
-    return parts.groupBy("src", "doc_key", "obj_path", "shape", "field").agg(F.sum("pages").alias("pages"), *sums)
+    return parts.groupBy("src", "doc_key", "obj_path", "shape", "field").agg(F.sum("pages").alias("pages"), *sums, F.array_distinct(F.flatten(F.collect_set("deep"))).alias("deep"))
 
 
 def value_similarity(base: np.ndarray, found: np.ndarray, code: str) -> float:
@@ -240,86 +263,95 @@ def name_similarity(a: str, b: str) -> float:
     return score
 
 
-def flood(left: dict[str, tuple[str, str]], right: dict[str, tuple[str, str]], start: dict[tuple[str, str], float], rounds: int = 50, eps: float = 1e-4) -> dict[tuple[str, str], float]:
-    """Similarity flooding over two object graphs.
-
-    ``left`` and ``right`` give each field's type and the structure below it.
-    Nodes are the object, its fields, types and nested structures; edges are
-    has, type and nests. Returns the converged score of each field pair.
-    """
+def graph(fields: dict[str, tuple[str, tuple[str, ...]]]) -> list[tuple[str, str, str]]:
+    """Labelled edges of an object: has field, has type, nests field; ``fields`` gives each field's type and the paths below it."""
+    edges = []
+    for k, (code, deep) in fields.items():
+        edges += [("", "has", f"f:{k}"), (f"f:{k}", "type", f"t:{code}")]
+        for path in deep:
+            name, _, c = path.rpartition(":")
+            above, _, _ = name.rpartition(".")
+            node = f"d:{k}.{name}"
+            edges += [(f"d:{k}.{above}" if above else f"f:{k}", "nests", node), (node, "type", f"t:{c}")]
+    return edges
 
-    def graph(fields: dict[str, tuple[str, str]]) -> list[tuple[str, str, str]]:
-        edges = [("", "has", f"f:{k}") for k in fields]
-        edges += [(f"f:{k}", "type", f"t:{code}") for k, (code, _) in fields.items()]
-        return edges + [(f"f:{k}", "nests", f"d:{deep}") for k, (_, deep) in fields.items() if deep]
 
+@lru_cache(maxsize=512)
+def _propagation(left: tuple, right: tuple) -> tuple[dict[tuple[str, str], int], np.ndarray]:
+    """The pairs of nodes of two graphs that equal edges connect, and how far each pair's score flows to each other pair."""
     pairs: dict[tuple[str, str], int] = {}
     flows: list[tuple[int, int, str]] = []
-    for a, la, b in graph(left):
-        for c, lc, d in graph(right):
-            if la == lc:
-                i, j = (pairs.setdefault(p, len(pairs)) for p in ((a, c), (b, d)))
-                flows.append((i, j, la))
-    n = len(pairs)
-    sigma0 = np.zeros(n)
-    for (a, b), i in pairs.items():
-        if a[:2] == "f:" and b[:2] == "f:":
-            sigma0[i] = start.get((a[2:], b[2:]), 0.0)
-        elif a == b:
-            sigma0[i] = 1.0
+    by_label: dict[str, list[tuple[str, str]]] = {}
+    for c, label, d in graph(dict(right)):
+        by_label.setdefault(label, []).append((c, d))
+    for a, label, b in graph(dict(left)):
+        for c, d in by_label.get(label, ()):
+            i, j = pairs.setdefault((a, c), len(pairs)), pairs.setdefault((b, d), len(pairs))
+            flows.append((i, j, label))
     out: dict[tuple[int, str, bool], int] = {}
     for i, j, label in flows:
         out[i, label, True] = out.get((i, label, True), 0) + 1
         out[j, label, False] = out.get((j, label, False), 0) + 1
-    m = np.zeros((n, n))
+    m = np.zeros((len(pairs), len(pairs)))
     for i, j, label in flows:
         m[j, i] += 1 / out[i, label, True]
         m[i, j] += 1 / out[j, label, False]
+    return pairs, m
+
+
+def flood(left: dict[str, tuple[str, tuple[str, ...]]], right: dict[str, tuple[str, tuple[str, ...]]], start: dict[tuple[str, str], float], rounds: int = 50, eps: float = 1e-4) -> dict[tuple[str, str], float]:
+    """Similarity flooding over two object graphs: the converged score of each field pair.
+
+    ``start`` has the first scores of field pairs; equal types and equal names of nested fields start with 1.
+    """
+    pairs, m = _propagation(tuple(left.items()), tuple(right.items()))
+    sigma0 = np.zeros(len(pairs))
+    for (a, b), i in pairs.items():
+        if a[:2] == "f:" and b[:2] == "f:":
+            sigma0[i] = start.get((a[2:], b[2:]), 0.0)
+        elif a == b or a[:2] == "d:" and a.partition(".")[2] == b.partition(".")[2]:
+            sigma0[i] = 1.0
     sigma = sigma0.copy()
     for _ in range(rounds):
         new = sigma0 + sigma + m @ (sigma0 + sigma)
-        new /= new.max() or 1
-        done = np.abs(new - sigma).max() < eps
+        new /= new.max() if len(new) and new.max() else 1
+        done = len(new) == 0 or np.abs(new - sigma).max() < eps
         sigma = new
         if done:
             break
     return {(a[2:], b[2:]): float(sigma[i]) for (a, b), i in pairs.items() if a[:2] == "f:" and b[:2] == "f:"}
 
 
-def correspond(node: Node, keys: dict[str, str], deep: dict[str, str], stats: dict[str, np.ndarray], known: dict[str, np.ndarray], least: float = 0.3) -> dict[str, str]:
-    """Missing required field -> the found name that carries its values.
+#: First score of "no counterpart", and the most a name adds to a pair whose values are not wholly unlike.
+NONE_SCORE, NAME_SCORE = 0.3, 0.3
+
+
+def correspond(node: Node, keys: dict[str, str], deep: dict[str, list[str]], stats: dict[str, np.ndarray], known: dict[str, np.ndarray]) -> dict[str, str]:
+    """Missing required field -> the found name that carries its values, by converged scores alone.
 
-    ``known`` has the baseline's value statistics by path. Pairs are taken by
-    descending flooded score, each side once, if their values agree at all.
+    ``known`` has the baseline's value statistics by path; they and the names only give the first scores.
     """
     missing = [k for k, f in node.fields.items() if f.required and k not in keys]
     extra = [k for k, code in keys.items() if k not in node.fields and code != "0"]
     if not missing or not extra:
         return {}
-    values: dict[tuple[str, str], float] = {}
-    start: dict[tuple[str, str], float] = {}
+    start: dict[tuple[str, str], float] = {(k, k): 1.0 for k in keys if k in node.fields}
     for m in missing:
         child = node.fields[m]
-        inner = {k: 1 for k in child.fields}
         for e in extra:
             base = known.get(child.path)
-            same = keys[e] == child.code
-            v = value_similarity(base, stats[e], child.code) if base is not None else 0.6 * same
-            if child.code == "o" and keys[e] == "o":
-                found = set(part.split(":")[0] for part in deep.get(e, "{}")[1:-1].replace("{", ",").split(","))
-                v = max(v * 0.5, len(found & inner.keys()) / max(1, len(inner))) if inner else v
-            values[m, e] = v
-            start[m, e] = 0.55 * v + 0.45 * name_similarity(m, e)
-    left = {k: (f.code, "{" + ",".join(sorted(f.fields)) + "}" if f.fields else "") for k, f in node.fields.items()}
-    right = {k: (code, deep.get(k, "") if code in "ao" else "") for k, code in keys.items()}
-    for k in keys:
-        if k in node.fields:
-            start[k, k] = 1.0
+            v = value_similarity(base, stats[e], child.code) if base is not None else 0.6 * (keys[e] == child.code)
+            if child.code == "o":
+                v *= 0.4  # what two objects share is seen below them
+            name = name_similarity(m, e)
+            start[m, e] = v + NAME_SCORE * name * (name >= 0.4 and v > 0.05)
+        start[m, "\0" + m] = NONE_SCORE
+    left = {k: (f.code, _below(f) if k in missing else ()) for k, f in node.fields.items()}
+    right = {k: (code, tuple(deep.get(k, ())) if k in extra else ()) for k, code in keys.items()} | {"\0" + m: (node.fields[m].code, ()) for m in missing}
     score = flood(left, right, start)
     taken: dict[str, str] = {}
-    for m, e in sorted(values, key=lambda p: (-(start[p] + 0.5 * score.get(p, 0)), p)):
-        name = name_similarity(m, e)
-        if m not in taken and e not in taken.values() and values[m, e] + (0.25 if name >= 0.4 else 0) * (values[m, e] > 0.05) >= least:
+    for m, e in sorted(((m, e) for m in missing for e in extra), key=lambda p: (-score.get(p, 0.0), p)):
+        if m not in taken and e not in taken.values() and score.get((m, e), 0.0) > score.get((m, "\0" + m), 0.0):
             taken[m] = e
     return taken
 
@@ -344,11 +376,11 @@ def _matched(table: DataFrame, baseline: list[dict]) -> DataFrame:
     known = _known(table, baseline)
     names = [f"s{i}" for i in range(len(STATS))]
     # A name's values count over the whole document: one shape alone may have only empty or null ones.
-    by_name = table.groupBy("src", "doc_key", "obj_path", "field").agg(F.array(*[F.sum(n) for n in names]).alias("sums"))
+    by_name = table.groupBy("src", "doc_key", "obj_path", "field").agg(F.array(*[F.sum(n) for n in names]).alias("sums"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("deep")))).alias("deep"))
     keys = ("src", "obj_path", "field")
     a, b = table.select("src", "doc_key", "obj_path", "shape", "field", "pages").alias("a"), by_name.alias("b")
-    joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("doc_key", *keys)]).select("a.*", "b.sums")
-    stats = F.map_from_entries(F.collect_list(F.struct("field", "sums")))
+    joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("doc_key", *keys)]).select("a.*", "b.sums", "b.deep")
+    stats = F.collect_list(F.struct("field", "sums", "deep"))
     whole = joined.groupBy("src", "doc_key", "obj_path", "shape").agg(F.max("pages").alias("pages"), stats.alias("stats"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -365,9 +397,9 @@ def _matched(table: DataFrame, baseline: list[dict]) -> DataFrame:
             out: list[tuple] = []
             for src, doc, path, shape, pages, values in batch.itertuples(index=False, name=None):
                 node, s = by_path[src, path], json.loads(shape)
-                keys, sums = dict(s["keys"]), {k: np.asarray(v) for k, v in dict(values).items()}
+                keys, sums, deep = dict(s["keys"]), {v["field"]: np.asarray(v["sums"]) for v in values}, {v["field"]: list(v["deep"]) for v in values}
                 kinds = {k: code if code != "0" or not sums[k][0] else "snbao"[int(np.argmax(sums[k][1:6]))] for k, code in keys.items()}
-                renamed = correspond(node, kinds, s["deep"], sums, known.get(src, {}))
+                renamed = correspond(node, kinds, deep, sums, known.get(src, {}))
                 prefix = f"{path}." if path else ""
                 for name, field in node.fields.items():
                     if name in keys:

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 
 from quire.operators import drift
@@ -61,12 +62,51 @@ def test_edge_rows(run):
 
 
 def test_flood_prefers_equal_structure():
-    left = {"box": ("a", ""), "layout": ("o", "{boxes}")}
-    right = {"region": ("a", ""), "found": ("o", "{boxes}")}
+    left = {"box": ("a", ()), "layout": ("o", ("boxes:a",))}
+    right = {"region": ("a", ()), "found": ("o", ("boxes:a",))}
     score = drift.flood(left, right, {(a, b): 0.2 for a in left for b in right})
     assert score["layout", "found"] > score["layout", "region"] and score["box", "region"] > score["box", "found"]
 
 
+NESTED = [("s", "first", "object", True), ("s", "first.left", "number", True), ("s", "first.top", "number", True), ("s", "second", "object", True), ("s", "second.name", "number", True), ("s", "second.size", "number", True), ("s", "wide", "number", True), ("s", "high", "number", True)]
+
+
+def nested_page(a="first", b="second", wide=("wide", 1654), high=("high", 2339)):
+    return json.dumps({a: {"left": 5, "top": 7}, b: {"name": 5, "size": 7}, wide[0]: wide[1], high[0]: high[1]})
+
+
+def changes_of(spark, docs):
+    schema = spark.createDataFrame(NESTED, "src string, field_path string, json_type string, required boolean")
+    df = spark.createDataFrame(docs, "key string, doc string")
+    return {(r.doc_key, r.field_path, r.change_kind, r.found_path) for r in drift.changes([(df, "key", "doc", "s")], schema).collect()}
+
+
+def test_flooding_decides(spark, monkeypatch):
+    """Objects of equal statistics and other names are told apart by what is nested below them, which only flooding sees."""
+    docs = [("base", nested_page())] * 5 + [("moved", nested_page("q", "p")), ("range", nested_page(wide=("page_wide", 2339), high=("page_high", 1654)))]
+    want = {("moved", "first", "renamed", "q"), ("moved", "second", "renamed", "p"), ("range", "wide", "renamed", "page_wide"), ("range", "high", "renamed", "page_high")}
+    assert changes_of(spark, docs) == want
+    node = drift.compile_baseline([dict(zip(("src", "field_path", "json_type", "required"), r)) for r in NESTED])["s"]
+    keys = {"p": "o", "q": "o", "wide": "n", "high": "n"}
+    deep = {"p": ["name:n", "size:n"], "q": ["left:n", "top:n"]}
+    stats = {k: np.array([1.0, 0, 0, 0, 0, 1.0, *[0.0] * 14]) for k in keys}
+    known = {"first": stats["p"], "second": stats["p"]}
+    assert drift.correspond(node, keys, deep, stats, known) == {"first": "q", "second": "p"}
+    monkeypatch.setattr(drift, "flood", lambda left, right, start, **_: start)
+    assert drift.correspond(node, keys, deep, stats, known) != {"first": "q", "second": "p"}
+    monkeypatch.setattr(drift, "flood", lambda *_, **__: {})
+    assert drift.correspond(node, keys, deep, stats, known) == {}
+
+
+def test_lists_are_judged_by_all_items():
+    sums = [0.0] * len(drift.STATS)
+    drift._stats([None, 1, "a", {"x": 1}], sums)
+    assert sums[16:20] == [0.25, 0.25, 0, 0.25]
+    found = set()
+    drift._deep([{"a": 1}, None, {"b": {"c": "x"}}], found)
+    assert found == {"a:n", "b:o", "b.c:s"}
+
+
 def test_unified_table(spark):
     schema = spark.createDataFrame(BASE, "src string, field_path string, json_type string, required boolean")
     odd = page(width="1654px", note={"who": "x"}, new=1)
