@@ -1,18 +1,21 @@
 """Problem 6: noise in text from scanned pages.
 
-Method: words and their neighbours are counted over all elements; skip-gram
-vectors are trained on those counts (the negative-sampling objective over the
-summed co-occurrences of hashed words). Rare words are linked to frequent ones
-that differ by plausible glyph edits (``rn`` for ``m``, ``c`` for ``e``, a
-rubbish sign for any letter, look-alike ideographs), and each occurrence is
-corrected to the linked word its neighbours' vectors favour. Then furniture is
-removed - page numbers and repeated heads at the page edge, as elements or
-inside others - and lines are reflowed into paragraphs.
-
-Scale: three passes over the text, none of which moves it. What is shuffled are
-counts (summed per partition first), suspicious words, and the first lines of
-elements. To the driver come at most :data:`KNOWN` words and ``VECTORS`` ** 2
-counts, whatever the size of the input. No group is bound to one book or page.
+Method: words, ideographs and their neighbours are counted over all elements.
+Skip-gram vectors are trained on those counts: context vectors from the summed
+co-occurrences, then a vector of its own for each word that may be misread or
+be the original of a misread one, over partitions. Rare words are linked to
+frequent ones that differ by plausible glyph edits (``rn`` for ``m``, ``c`` for
+``e``, a rubbish sign for any letter, look-alike ideographs), and an occurrence
+is corrected to the linked word that its neighbours favour most, if by their
+vectors that word stands beside them more often than by chance. Then furniture is removed - page numbers and repeated
+heads at the page edge, as elements or inside others - and lines are reflowed
+into paragraphs.
+
+Scale: passes over the text, none of which moves it. What is shuffled are
+counts (summed per partition first), suspicious words and lines at the page
+edge. To the driver come ``VECTORS`` context rows and at most :data:`KNOWN`
+words of each sort, which only save work: what they do not name is decided by
+equi-joins in the same way. No group is bound to one book or page.
 
 Defined results: null and empty texts have no noise and give no paragraph;
 null boxes count as not at the edge; null pages take part in nothing that needs
@@ -37,8 +40,12 @@ from pyspark.sql import functions as F
 from quire.llm.lookalike import consistent
 from quire.runtime import cut
 
-#: Most words the workers are told to be good, buckets of the vectors, their length; rarity: a word is rare against one RATIO times as frequent that occurs at least LEAST times.
-KNOWN, VECTORS, LENGTH, RATIO, LEAST = 20_000, 1024, 16, 8, 5
+#: Most words the workers are told beforehand to be good (to save events only), places of the context vectors, their length; rarity: a word is rare against one RATIO times as frequent that occurs at least LEAST times.
+KNOWN, VECTORS, LENGTH, RATIO, LEAST = 20_000, 1024, 32, 8, 5
+#: Skip-gram: negatives for each pair, weight of a vector's shortness.
+NEGATIVES, RIDGE = 3.0, 0.5
+#: Partial counts of a word merged in one task.
+MERGED = 256
 #: Most books whose page heights (two columns) are broadcast.
 BROADCAST_BOOKS = 100_000
 #: Edges of a page, as shares of its height; a head stands on at least so many pages.
@@ -56,10 +63,12 @@ HAN_EDITS = dict(
         "土:士 未:末 己:已 干:千于 田:由申 力:刀 王:玉 午:牛 贝:见 乌:鸟 折:拆 侯:候 间:问 今:令 风:凤 官:宫 子:孑 戍:戌 辨:辩 竹:什 楼:搂 清:请 晴:睛 海:梅 池:地 坡:披 村:忖 场:扬 门:们 车:东 马:鸟 书:丰 文:丈 古:吉 老:考 东:车 北:此 南:甫 西:酉 川:州 州:洲 江:汪 湖:潮 花:化 草:章 字:宇 家:冢 室:空 市:巾 年:午 夜:液 春:舂 秋:秌 冬:各 夏:复"
     ).split()
 )
-_TO_TRUE: dict[str, str] = {}
+#: Misread ideograph -> all its originals; and one of them for each, to compare neighbours by.
+_ORIGINALS: dict[str, str] = {}
 for _true, _wrong in HAN_EDITS.items():
     for _w in _wrong:
-        _TO_TRUE.setdefault(_w, _true)
+        _ORIGINALS[_w] = _ORIGINALS.get(_w, "") + _true
+_TO_TRUE = {w: t[0] for w, t in _ORIGINALS.items()}
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿŒœŸ"
 _WORD = re.compile(rf"(?=[0-9{RUBBISH}]*[{_LETTERS}])[{_LETTERS}0-9{RUBBISH}]+(?:[-'’][{_LETTERS}0-9{RUBBISH}]+)*")
@@ -73,7 +82,7 @@ _OPEN = re.compile(r"\s*([^\W\d_]+)")
 _HAN = re.compile("[一-鿿]")
 _HAN_WATCH = re.compile("[" + "".join(sorted(set(_TO_TRUE) | set(HAN_EDITS))) + "]")
 _HAN_WRONG = re.compile("[" + "".join(sorted(_TO_TRUE)) + "]")
-_RUBBISH_IN_WORD = re.compile(rf"[{_LETTERS}一-鿿][{RUBBISH}]|[{RUBBISH}][{_LETTERS}一-鿿]")
+_SIGN_WORD = re.compile(rf"[{_LETTERS}0-9{RUBBISH}]*(?:[{_LETTERS}][{RUBBISH}]|[{RUBBISH}][{_LETTERS}])[{_LETTERS}0-9{RUBBISH}]*|[一-鿿][{RUBBISH}][一-鿿]?|[{RUBBISH}][一-鿿]")
 _DIGIT_IN_WORD = re.compile(rf"[{_LETTERS}]{{2,}}[015692][{_LETTERS}]|[{_LETTERS}][015692][{_LETTERS}]{{2,}}|(?<![{_LETTERS}\d])[05][{_LETTERS}]{{3,}}|[{_LETTERS}]{{3,}}[01](?![\d{_LETTERS}])")
 _SUSPENDED = {"und", "oder", "and", "or", "et", "ou", "to", "bis", "bzw"}
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
@@ -110,24 +119,22 @@ _FOLD = str.maketrans({"c": "e", "l": "i", "1": "i", "t": "f", "0": "o", "5": "s
 
 
 def plausible(wrong: str, true: str, most: int = 2) -> bool:
-    """Whether ``wrong`` can come from ``true`` by one or two glyph edits."""
+    """Whether ``wrong`` can come from ``true`` by one or two glyph edits; texts of any length."""
     if wrong == true or abs(len(wrong) - len(true)) > most:
         return False
-    reached = {true}
-    for _ in range(most):
-        new: set[str] = set()
-        for w in reached:
-            for a, b in EDITS:
-                at = w.find(a)
-                while at >= 0:
-                    new.add(w[:at] + b + w[at + len(a) :])
-                    at = w.find(a, at + 1)
-        if wrong in new:
-            return True
-        reached = {w for w in new if len(w) > 1 and w[0] == wrong[0] or len(w) <= 4} or new
-        if len(reached) > 400:
-            return False
-    return False
+    # edits[i] maps an end in ``wrong`` to the fewest edits that turn the first i signs of ``true`` into what stands before it
+    edits: list[dict[int, int]] = [{} for _ in range(len(true) + 1)]
+    edits[0][0] = 0
+    for i in range(len(true)):
+        for j, n in edits[i].items():
+            if j < len(wrong) and wrong[j] == true[i]:
+                edits[i + 1][j + 1] = min(n, edits[i + 1].get(j + 1, most + 1))
+            if n < most:
+                for a, b in EDITS:
+                    if true.startswith(a, i) and wrong.startswith(b, j):
+                        k, m = i + len(a), j + len(b)
+                        edits[k][m] = min(n + 1, edits[k].get(m, most + 1))
+    return edits[len(true)].get(len(wrong), most + 1) <= most
 
 
 _NOT_KEY = re.compile(rf"[^\w{RUBBISH}]|_")
@@ -136,79 +143,150 @@ _TWO_SPACES = re.compile(r"[  　]{2}|\t")
 _KEY = {cp: (d[0].translate(_FOLD)) for cp in range(0xC0, 0x180) if len(d := unicodedata.normalize("NFD", chr(cp))) > 1} | {ord(k): v for k, v in _TO_TRUE.items()} | _FOLD
 
 
-class Buckets(dict):
-    """Word -> bucket of its vector, computed when first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        b = self[word] = zlib.crc32(word.encode()) % VECTORS
-        return b
+def place_of(word: str) -> int:
+    """The place of a word among the context vectors."""
+    return zlib.crc32(word.encode()) % VECTORS
 
 
 class Counts:
-    """Word, ideograph-context and co-occurrence counts of a partition."""
+    """Counts of a partition: ideographs with one neighbour by name, and for words and ideographs how often each context stood beside them."""
+
+    FULL = 16_000
 
     def __init__(self) -> None:
-        self.words: Counter[str] = Counter()
-        self.bucket = Buckets()
-        self.pairs = np.zeros(VECTORS * VECTORS, dtype=np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.sides: Counter[str] = Counter()
+        self.names: list[str] = []
+        self.number: dict[str, int] = {}
+        self.sign = np.full(0x110000, -1, dtype=np.int64)
+        self.place = np.zeros(0, dtype=np.int64)
+        self.times = np.zeros(0, dtype=np.int64)
+        self.around = np.zeros((0, VECTORS), dtype=np.int32)
+
+    def _new(self, word: str) -> int:
+        self.names.append(word)
+        return len(self.names) - 1
+
+    def _signs(self, text: str) -> np.ndarray:
+        cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        out = self.sign[cps]
+        if (out < 0).any():
+            for cp in np.unique(cps[out < 0]).tolist():
+                self.sign[cp] = self._new(chr(cp))
+            out = self.sign[cps]
+        return out
 
     def add(self, texts: list[str]) -> None:
         ids: list[np.ndarray] = []
-        words, bucket = self.words, self.bucket
+        gap = np.array([-1, -1], dtype=np.int64)
         for text in texts:
             text = clean_line(text)
             if _HAN.search(text):
                 flat = re.sub(r"\d+", "#", text.replace("\r", "").replace("\n", ""))
-                watched = [m.start() for m in _HAN_WATCH.finditer(flat)]
                 framed, as_true = f"^{flat}$", _TO_TRUE.get
-                words.update(["L" + as_true(p := framed[i], p) + flat[i] for i in watched])
-                words.update(["R" + flat[i] + as_true(p := framed[i + 2], p) for i in watched])
-                cps = np.frombuffer(flat.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-                ids.append((cps * 2654435761 >> 7) % VECTORS)
+                watched = [m.start() for m in _HAN_WATCH.finditer(flat)]
+                self.sides.update(["L" + as_true(p := framed[i], p) + flat[i] for i in watched])
+                self.sides.update(["R" + flat[i] + as_true(p := framed[i + 2], p) for i in watched])
+                ids += (self._signs(flat), gap)
                 if not _LETTER.search(text):
                     continue
-            found = _WORD.findall(text.lower())
-            if found:
-                words.update(found)
-                ids.append(np.array(list(map(bucket.__getitem__, found)), dtype=np.int64))
-        gap = np.array([-1], dtype=np.int64)
+            if found := _WORD.findall(text.lower()):
+                number = self.number
+                for w in found:
+                    if w not in number:
+                        number[w] = self._new(w)
+                ids += (np.array([number[w] for w in found], dtype=np.int64), gap)
         if not ids:
             return
-        line = np.concatenate([x for s in ids for x in (s, gap, gap)])
+        line = np.concatenate(ids)
+        n = len(self.names)
+        self.place = np.concatenate((self.place, np.array([place_of(w) for w in self.names[len(self.place) :]], dtype=np.int64)))
+        self.times = np.concatenate((self.times, np.zeros(n - len(self.times), np.int64))) + np.bincount(line[line >= 0], minlength=n)
+        if n > len(self.around):
+            grown = np.zeros((n + n // 4, VECTORS), np.int32)
+            grown[: len(self.around)] = self.around
+            self.around = grown
         for step in (1, 2):
             a, b = line[:-step], line[step:]
             ok = (a >= 0) & (b >= 0)
             a, b = a[ok], b[ok]
-            self.pairs += np.bincount(a * VECTORS + b, minlength=VECTORS * VECTORS)
+            for x, y in ((a, b), (b, a)):
+                codes, times = np.unique(x * VECTORS + self.place[y], return_counts=True)
+                self.around.reshape(-1)[codes] += times.astype(np.int32)
+
+    def full(self) -> bool:
+        return len(self.names) > self.FULL or len(self.sides) > 500_000
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """(word, n, places, times): contexts as two packed arrays; then everything is forgotten."""
+        words: list[str] = list(self.sides)
+        n: list[int] = list(self.sides.values())
+        places: list[bytes | None] = [None] * len(words)
+        times: list[bytes | None] = [None] * len(words)
+        for i in np.flatnonzero(self.times):
+            at = np.flatnonzero(self.around[i])
+            words.append(self.names[i])
+            n.append(int(self.times[i]))
+            places.append(at.astype(np.uint16).tobytes())
+            times.append(self.around[i][at].astype(np.uint32).tobytes())
+        self.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64()), pa.array(places, pa.binary()), pa.array(times, pa.binary())], names=["word", "n", "places", "times"])
+
+
+_COUNT_SCHEMA = "word string, n bigint, places binary, times binary"
+
 
+def _unpack(places: bytes | None, times: bytes | None, into: np.ndarray) -> None:
+    if places:
+        into[np.frombuffer(places, np.uint16)] += np.frombuffer(times, np.uint32)
 
-_COUNT_SCHEMA = "word string, code bigint, n bigint"
+
+def _merge(parts: DataFrame, *keys: str) -> DataFrame:
+    """Counts of equal words summed."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for word, n, packed in zip(frame["word"], frame["n"], frame["packed"]):
+                packed = [x for x in packed if x["places"]]
+                places, times = (packed[0]["places"], packed[0]["times"]) if packed else (None, None)
+                if len(packed) > 1:
+                    total = np.zeros(VECTORS, dtype=np.int64)
+                    for x in packed:
+                        _unpack(x["places"], x["times"], total)
+                    at = np.flatnonzero(total)
+                    places, times = at.astype(np.uint16).tobytes(), np.minimum(total[at], 2**32 - 1).astype(np.uint32).tobytes()
+                out.append((word, n, places, times))
+            yield pd.DataFrame(out, columns=["word", "n", "places", "times"])
+
+    return parts.groupBy("word", *keys).agg(F.sum("n").alias("n"), F.collect_list(F.struct("places", "times")).alias("packed")).select("word", "n", "packed").mapInPandas(run, _COUNT_SCHEMA)
 
 
 def count_noise(elements: DataFrame) -> DataFrame:
-    """Summed counts over all elements: words (and ideograph contexts) by ``word``, neighbouring buckets by ``code``."""
+    """Summed counts over all elements: (word, n, places, times), of ideographs with a neighbour without contexts.
+
+    A word's partial counts of very many partitions are merged in two steps.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Counts()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            words = list(total.words.items())
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.nulls(len(words), pa.int64()), pa.array([n for _, n in words], pa.int64())], names=["word", "code", "n"])
-            total.words.clear()
-            total.bucket.clear()
-
         for batch in batches:
             total.add([t for t in batch.column(0).to_pylist() if t])
-            if len(total.words) > 500_000:  # memory only: summed again after the shuffle
-                yield from out()
-        yield from out()
-        codes = np.flatnonzero(total.pairs)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.string()), pa.array(codes), pa.array(total.pairs[codes])], names=["word", "code", "n"])
+            if total.full():  # memory only: summed again after the shuffle
+                yield from total.rows()
+        yield from total.rows()
 
-    return elements.where("text is not null and type <> 'formula'").select("text").mapInArrow(run, _COUNT_SCHEMA).groupBy("word", "code").agg(F.sum("n").alias("n"))
+    texts = elements.where("text is not null and type <> 'formula'").select("text")
+    parts = texts.mapInArrow(run, _COUNT_SCHEMA)
+    salts = -(-texts.rdd.getNumPartitions() // MERGED)
+    if salts > 1:
+        parts = _merge(parts.withColumn("salt", F.spark_partition_id() % salts), "salt")
+    return _merge(parts)
 
 
-def skip_gram(pairs: np.ndarray, length: int = LENGTH, rounds: int = 40, negatives: float = 3.0, rate: float = 2.0, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def skip_gram(pairs: np.ndarray, length: int = LENGTH, rounds: int = 100, negatives: float = NEGATIVES, rate: float = 2.0, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Skip-gram vectors with negative sampling, on summed counts: gradient steps on the whole expected objective."""
     v = len(pairs)
     c = pairs + pairs.T
@@ -226,12 +304,56 @@ def skip_gram(pairs: np.ndarray, length: int = LENGTH, rounds: int = 40, negativ
     return a.astype(np.float32), b.astype(np.float32)
 
 
-def vectors(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors from the co-occurrence counts; at most VECTORS squared rows come to the driver."""
-    got = counts.where("code is not null").select("code", "n").toPandas()
-    m = np.zeros(VECTORS * VECTORS)
-    m[got["code"].to_numpy(np.int64)] = got["n"].to_numpy(float)
-    return skip_gram(m.reshape(VECTORS, VECTORS))
+def contexts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Context vectors and how often each context occurs; at most VECTORS rows of VECTORS counts come to the driver."""
+
+    def by_place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = np.zeros((VECTORS, VECTORS), dtype=np.int64)
+        for frame in frames:
+            for word, places, times in zip(frame["word"], frame["places"], frame["times"]):
+                _unpack(places, times, m[place_of(word)])
+        out = []
+        for i in np.flatnonzero(m.any(axis=1)):
+            at = np.flatnonzero(m[i])
+            out.append((str(i), int(m[i].sum()), at.astype(np.uint16).tobytes(), np.minimum(m[i][at], 2**32 - 1).astype(np.uint32).tobytes()))
+        yield pd.DataFrame(out, columns=["word", "n", "places", "times"])
+
+    m = np.zeros((VECTORS, VECTORS), dtype=np.int64)
+    for r in _merge(counts.where("places is not null").mapInPandas(by_place, _COUNT_SCHEMA)).collect():
+        _unpack(r["places"], r["times"], m[int(r["word"])])
+    return skip_gram(m.astype(float))[1], m.sum(0).astype(float)
+
+
+def solve(around: np.ndarray, b: np.ndarray, often: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Vectors of words from their contexts' counts (rows): the skip-gram objective with the context vectors held, by Newton's steps."""
+    expected = NEGATIVES * around.sum(1, keepdims=True) * (often / max(1.0, often.sum()))[None]
+    b = b.astype(float)
+    outer = (b[:, :, None] * b[:, None, :]).reshape(len(b), -1)
+    x = np.zeros((len(around), b.shape[1]))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ b.T, -30, 30)))
+        grad = (around * (1 - p) - expected * p) @ b - RIDGE * x
+        curve = (((around + expected) * p * (1 - p)) @ outer).reshape(len(x), b.shape[1], -1) + RIDGE * np.eye(b.shape[1])
+        step = np.linalg.solve(curve, grad[:, :, None])[:, :, 0]
+        x += step * np.minimum(1.0, 2.0 / np.maximum(1e-9, np.linalg.norm(step, axis=1)))[:, None]
+    return x
+
+
+def word_vectors(counts: DataFrame, words: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(word, vector) of the words named, each trained on its own contexts where its counts are."""
+    b, often = model
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 256):
+                part = frame.iloc[at : at + 256]
+                around = np.zeros((len(part), VECTORS))
+                for i, (places, times) in enumerate(zip(part["places"], part["times"])):
+                    _unpack(places, times, around[i])
+                yield pd.DataFrame({"word": part["word"].to_numpy(), "vector": list(solve(around, b, often).astype(np.float32))})
+
+    rows = counts.where("places is not null").join(words.select("word").distinct(), "word", "left_semi").select("word", "places", "times")
+    return rows.mapInPandas(run, "word string, vector array<float>")
 
 
 def links(counts: DataFrame) -> DataFrame:
@@ -240,7 +362,7 @@ def links(counts: DataFrame) -> DataFrame:
     Words meet by a shared key - the folded glyphs, or the word with one place
     left open where the rare one has a rubbish sign - never all with all.
     """
-    words = counts.where("word is not null").select("word", "n")
+    words = counts.select("word", "n")
 
     def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -249,9 +371,7 @@ def links(counts: DataFrame) -> DataFrame:
                 if len(w) == 3 and w[0] in "LR" and w[0].isupper():  # an ideograph with its left or right neighbour
                     at = 2 if w[0] == "L" else 1
                     c = w[at]
-                    true = _TO_TRUE.get(c)
-                    if true:
-                        out.append(("h:" + w[:at] + true + w[at + 1 :], w, n, "wrong"))
+                    out.extend(("h:" + w[:at] + true + w[at + 1 :], w, n, "wrong") for true in _ORIGINALS.get(c, ""))
                     if c in HAN_EDITS and n >= LEAST:
                         out.append(("h:" + w, w, n, "true"))
                     continue
@@ -278,14 +398,17 @@ def links(counts: DataFrame) -> DataFrame:
     return joined.mapInPandas(check, "wrong string, true string, n_wrong bigint, n_true bigint").distinct()
 
 
-def good_words(counts: DataFrame, linked: DataFrame) -> frozenset[str]:
-    """The most frequent words and, of ideographs that may be misread, pairs with a neighbour, that are linked to no other; at most KNOWN of each."""
-    words = counts.where(f"word is not null and n >= {LEAST}")
+def good_words(counts: DataFrame, linked: DataFrame) -> DataFrame:
+    """(word): all words that occur LEAST times and are linked to no other."""
+    return counts.where(f"n >= {LEAST}").join(linked.select(F.col("wrong").alias("word")).distinct(), "word", "left_anti").select("word", "n")
+
+
+def told(good: DataFrame) -> frozenset[str]:
+    """The KNOWN most frequent good words, and as many ideographs with a neighbour: their occurrences need no event."""
     pair = F.col("word").rlike("^[LR]..$")
     watched = F.col("word").rlike(f"^L.[{''.join(sorted(_TO_TRUE))}]$|^R[{''.join(sorted(_TO_TRUE))}].$")
-    top = words.where(~pair).orderBy(F.desc("n"), "word").limit(KNOWN).unionByName(words.where(pair & watched).orderBy(F.desc("n"), "word").limit(KNOWN))
-    kept = top.join(linked.select(F.col("wrong").alias("word")).distinct(), "word", "left_anti").select("word").collect()
-    return frozenset(r["word"] for r in kept)
+    top = good.where(~pair).orderBy(F.desc("n"), "word").limit(KNOWN).unionByName(good.where(pair & watched).orderBy(F.desc("n"), "word").limit(KNOWN))
+    return frozenset(r["word"] for r in top.select("word").collect())
 
 
 def roman(text: str) -> int | None:
@@ -315,20 +438,62 @@ def head_key(line: str) -> str:
     return _NOT_KEY.sub("", line.lower()).translate(_KEY)
 
 
-def begins_with(text: str, key: str) -> bool:
-    """Whether a text begins with a head of this key that ends at a space or line before a new sentence; small damage is allowed."""
-    allowed = max(1, min(3, len(key) // 6))
-    for m in re.finditer(r"\s+", text):
-        size = len(re.sub(r"\W", "", text[: m.start()]))
-        if size > len(key) + 16:
-            break
-        rest = text[m.end() : m.end() + 1]
-        if size + 1 < len(key) or not rest or (rest.islower() and "\n" not in m.group(0)):
-            continue
-        own = head_key(text[: m.start()])
-        if own == key or (abs(len(own) - len(key)) <= 1 and own[:4] == key[:4] and own[-4:] == key[-4:] and sum(a != b for a, b in zip(own, key)) <= allowed):
-            return True
-    return False
+def damage(key: str) -> int:
+    """How many signs of a head may differ."""
+    return max(1, min(3, len(key) // 6)) if len(key) >= 4 else 0
+
+
+def _near(a: str, b: str, most: int) -> bool:
+    """Whether two keys are at most so many edits apart."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        if min(new) > most:
+            return False
+        row = new
+    return row[-1] <= most
+
+
+class Heads:
+    """The heads of one book, found at the beginning of texts.
+
+    Of a head with at most d damaged signs one of d + 1 pieces is whole and stands
+    at most d signs from its place; texts without such a piece are done at once.
+    """
+
+    def __init__(self, keys: list[str]):
+        self.pieces: dict[str, set[tuple[int, str]]] = {}
+        self.shapes: set[tuple[int, int]] = set()
+        self.longest = max(map(len, keys), default=0)
+        for key in keys:
+            d = damage(key)
+            ends = [len(key) * i // (d + 1) for i in range(d + 2)]
+            for lo, hi in zip(ends, ends[1:]):
+                self.pieces.setdefault(key[lo:hi], set()).add((lo, key))
+                self.shapes |= {(lo + shift, hi - lo) for shift in range(-d, d + 1) if lo + shift >= 0}
+        self.start = re.compile(rf"(?:[^\w{RUBBISH}]*[\w{RUBBISH}]){{0,{self.longest + 20}}}\S*\s*")
+
+    def find(self, text: str) -> tuple[str, int] | None:
+        """The longest head the text begins with, and where it ends: at white space before a new sentence, small damage allowed."""
+        begin = self.start.match(text).group(0)
+        whole = head_key(begin)
+        near = {key for lo, size in self.shapes for at, key in self.pieces.get(whole[lo : lo + size], ()) if abs(at - lo) <= damage(key)}
+        if not near:
+            return None
+        best: tuple[str, int] | None = None
+        for m in re.finditer(r"\s+", begin):
+            rest = text[m.end() : m.end() + 1]
+            if not rest or (rest.islower() and "\n" not in m.group(0)):
+                continue
+            own = head_key(begin[: m.start()])
+            for key in near:
+                if (best is None or len(key) > len(best[0])) and (own == key or _near(own, key, damage(key))):
+                    best = key, m.end()
+        return best
 
 
 def is_cut(a: str, mark: str, b: str, newline: bool, good: frozenset[str]) -> bool:
@@ -369,26 +534,29 @@ def _compound_tail(text: str, at: int) -> str:
     return text[k:at]
 
 
+def edge_of(top: float | None, bottom: float | None) -> str:
+    return "top" if bottom is not None and bottom < TOP else "bottom" if top is not None and top > BOTTOM else ""
+
+
 def scan_element(text: str, kind: str, top: float | None, bottom: float | None, good: frozenset[str]) -> list[tuple]:
     """Events (event, word, left, right, number) of one element; top and bottom are its edges as shares of the page's height."""
     out: list[tuple] = []
-    edge = "top" if bottom is not None and bottom < TOP else "bottom" if top is not None and top > BOTTOM else ""
+    edge = edge_of(top, bottom)
     lines = text.replace("\r", "").split("\n")
     first, last = lines[0], lines[-1]
     if kind != "formula":
         for m in _CUT.finditer(text) if _MARK.search(text) else ():
-            if is_cut(m.group(1), m.group(2), m.group(3), "\n" in m.group(0), good):
-                out.append(("cut", None, None, None, None))
-                break
+            if not _HAN.search(m.group(1) + m.group(3)):
+                out.append(("cut", consistent(m.group(1)), m.group(2), consistent(m.group(3)), int("\n" in m.group(0))))
         if text.rstrip()[-1:] in _MARK_SET and (m := _END_CUT.search(text)) and not _HAN.search(m.group(1)) and kind in BODY:
-            out.append(("end", m.group(1), m.group(2), None, None))
+            out.append(("end", consistent(m.group(1)), m.group(2), None, None))
         if kind in BODY and (m := _OPEN.match(text)) and m.group(1)[0].islower() and not _HAN.search(m.group(1)):
-            out.append(("open", m.group(1), None, None, None))
+            out.append(("open", consistent(m.group(1)), None, None, None))
         line = clean_line(text)
-        if _SIGN.search(line) and _RUBBISH_IN_WORD.search(line):
-            out.append(("misread", None, None, None, None))
-        elif _LETTER_DIGIT.search(line) and any(len(_LETTER.findall(m.group(0))) >= 3 for m in _DIGIT_IN_WORD.finditer(line)):
-            out.append(("misread", None, None, None, None))
+        if _SIGN.search(line):
+            out.extend(("sign", w, None, None, None) for w in {m.group(0).lower() for m in _SIGN_WORD.finditer(line)})
+        if _LETTER_DIGIT.search(line):
+            out.extend(("sign", w, None, None, None) for w in {m.group(0).lower() for m in _WORD.finditer(line) if any(len(_LETTER.findall(x.group(0))) >= 3 for x in _DIGIT_IN_WORD.finditer(m.group(0)))})
         if _HAN.search(line) and _HAN_WRONG.search(line):
             flat = re.sub(r"\d+", "#", line.replace("\r", "").replace("\n", ""))
             framed, as_true = f"^{flat}$", _TO_TRUE.get  # two misread ideographs side by side still have a known context
@@ -399,34 +567,27 @@ def scan_element(text: str, kind: str, top: float | None, bottom: float | None,
                 left, right = f"L{ends[0]}{flat[i]}", f"R{flat[i]}{ends[1]}"
                 if left not in good and right not in good and (left, right) not in seen:
                     seen.add((left, right))
-                    out.append(("han", left, right, None, None))
+                    out.append(("han", left, right, " ".join(flat[max(0, i - 2) : i] + flat[i + 1 : i + 3]), None))
         words = _WORD.findall(line.lower()) if _LETTER.search(line) else []
         for i, w in enumerate(words) if not good.issuperset(words) else ():
             if w not in good and len(w) > 2:
-                out.append(("word", w, words[i - 1] if i else None, words[i + 1] if i + 1 < len(words) else None, None))
+                out.append(("word", w, " ".join(words[max(0, i - 2) : i]), " ".join(words[i + 1 : i + 3]), None))
     if kind == "number" and (edge or _WHOLE_NUMBER.fullmatch(consistent(text) or "")):
         out.append(("number", "edge" if edge else "inside", None, None, number_value(_WHOLE_NUMBER.fullmatch(consistent(text) or ""))))
     elif kind != "formula" and kind != "table" and kind != "number":
-        plain_first, tail = consistent(first[:160]) or "", consistent(last[-40:]) or ""
+        plain_first, tail = consistent(first) or "", consistent(last) or ""
         many = len(lines) > 1
         for m in (
-            _WHOLE_NUMBER.fullmatch(plain_first) if len(first) < 24 and (many or edge) else None, _WHOLE_NUMBER.fullmatch(tail) if many and len(last) < 24 else None,
+            _WHOLE_NUMBER.fullmatch(plain_first) if many or edge else None, _WHOLE_NUMBER.fullmatch(tail) if many else None,
             _FIRST_NUMBER.match(plain_first) if _TWO_SPACES.search(plain_first) else None, _LAST_NUMBER.search(plain_first) if _TWO_SPACES.search(plain_first) else None,
             _LAST_NUMBER.search(tail) if _TWO_SPACES.search(tail) else None, _SPACE_NUMBER.search(tail),
         ):
-            if (n := number_value(m)) is not None:
+            if (n := number_value(m)) is not None and n < 2**62:
                 out.append(("number", "edge" if edge and len(lines) == 1 and _WHOLE_NUMBER.fullmatch(plain_first) else "inside", None, None, n))
-    if kind not in ("table", "formula", "image"):
-        if edge:
-            key = head_key(first)
-            if len(key) >= 2 and not _WHOLE_NUMBER.fullmatch(consistent(first) or ""):
-                out.append(("head", key, "edge", None, None))
-        elif kind not in ("paragraph_title", "doc_title"):
-            begin = text[:140].lstrip()
-            if len(lines) > 2 and _WHOLE_NUMBER.fullmatch(consistent(first) or ""):
-                begin = text[len(first) + 1 :][:140].lstrip()
-            if _SPACE.search(begin):
-                out.append(("head", begin, "inside", head_key(begin[:40])[:5], None))
+    if edge and kind not in ("table", "formula", "image"):
+        key = head_key(first)
+        if len(key) >= 2 and not _WHOLE_NUMBER.fullmatch(consistent(first) or ""):
+            out.append(("head", key, None, None, None))
     return out
 
 
@@ -439,13 +600,17 @@ def heights(elements: DataFrame, pages: DataFrame | None) -> DataFrame:
     return low.join(known, "book_id", "left").select("book_id", F.when(F.col("known") >= F.col("lowest"), F.col("known")).otherwise(F.col("lowest") / 0.96).alias("height"))
 
 
-def scan(elements: DataFrame, pages: DataFrame | None, good: frozenset[str]) -> DataFrame:
-    """Events of all elements: rows of :data:`EVENT_SCHEMA`."""
+def placed(elements: DataFrame, page_heights: DataFrame) -> DataFrame:
+    """Elements with text and their upper and lower edge as shares of the page's height."""
     e = elements.where("text is not null").select("elem_id", "book_id", "page_index", "list_pos", "type", "text", F.col("bbox.y1").alias("y1"), F.col("bbox.y2").alias("y2"))
-    h = cut(heights(elements, pages)).withColumnRenamed("book_id", "b")
+    h = page_heights.withColumnRenamed("book_id", "b")
     if h.count() <= BROADCAST_BOOKS:  # known to be small; more books are joined by a shuffle
         h = F.broadcast(h)
-    rows = e.join(h, e.book_id == h.b, "left").select("elem_id", "book_id", "page_index", "list_pos", "type", "text", (F.col("y1") / F.col("height")).alias("top"), (F.col("y2") / F.col("height")).alias("bottom"))
+    return e.join(h, e.book_id == h.b, "left").select("elem_id", "book_id", "page_index", "list_pos", "type", "text", (F.col("y1") / F.col("height")).alias("top"), (F.col("y2") / F.col("height")).alias("bottom"))
+
+
+def scan(rows: DataFrame, good: frozenset[str]) -> DataFrame:
+    """Events of all elements: rows of :data:`EVENT_SCHEMA`; ``rows`` as :func:`placed` gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -458,64 +623,97 @@ def scan(elements: DataFrame, pages: DataFrame | None, good: frozenset[str]) ->
     return rows.mapInArrow(run, EVENT_SCHEMA)
 
 
-def corrections(events: DataFrame, linked: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(elem_id, wrong, true): each suspicious occurrence and the linked word that its neighbours favour."""
-    a, b = model
-    words = events.where("event = 'word'").select("elem_id", "word", "left", "right").distinct()
-    met = words.join(linked, words.word == linked.wrong).select("elem_id", "wrong", "true", "left", "right", "n_wrong", "n_true")
+def link_vectors(linked: DataFrame, counts: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Links with the vector of the original; that of an ideograph with a neighbour is the ideograph's own."""
+    own = F.when(F.col("true").rlike("^L..$"), F.substring("true", 3, 1)).when(F.col("true").rlike("^R..$"), F.substring("true", 2, 1)).otherwise(F.col("true"))
+    rows = linked.withColumn("word", own)
+    return rows.join(word_vectors(counts, rows, model), "word").select("wrong", "true", "n_wrong", "n_true", "vector")
 
-    def bucket(w: str | None) -> int:
-        return zlib.crc32(w.encode()) % VECTORS if w else -1
+
+def corrections(events: DataFrame, linked: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(elem_id, wrong, true): each suspicious occurrence and the linked word that its neighbours favour.
+
+    Of an original's vector and the context vectors of the neighbours skip-gram
+    gives the logarithm of how much more often they meet than by chance, less
+    that of the negatives. A link is taken where its mean over the neighbours
+    is above chance; of several the one with the highest. Without neighbours
+    the counts alone have decided. A word with a sign that belongs to no word,
+    or a figure, is wrong in any case; ``true`` is null where no link is taken.
+    """
+    b, _ = model
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            t = np.array([bucket(w) for w in frame["true"]], dtype=np.int64)
-            total = np.zeros(len(frame))
-            for side in ("left", "right"):
-                c = np.array([bucket(w) for w in frame[side]], dtype=np.int64)
-                ok = c >= 0
-                total[ok] += np.einsum("ij,ij->i", a[t[ok]], b[c[ok]])
-            frame["score"] = total + np.log(frame["n_true"].to_numpy(float) / np.maximum(1, frame["n_wrong"].to_numpy(float)))
-            yield frame[["elem_id", "wrong", "true", "score"]]
-
-    scored = met.mapInPandas(score, "elem_id bigint, wrong string, true string, score double")
-    latin = scored.groupBy("elem_id", "wrong").agg(F.max_by("true", F.struct("score", "true")).alias("true"), F.max("score").alias("score")).where("score > 0").select("elem_id", "wrong", "true")
-    han = events.where("event = 'han'").select("elem_id", F.col("word").alias("l"), F.col("left").alias("r")).distinct()
-    one = linked.select(F.col("wrong").alias("l"), F.col("true").alias("true_l"))
+            around = np.zeros((len(frame), b.shape[1]))
+            for i, near in enumerate(frame["near"]):
+                if at := [place_of(w) for w in near.split()]:
+                    around[i] = b[at].mean(0)
+            vectors = np.stack(frame["vector"].to_list()) if len(frame) else around
+            frame["score"] = (vectors * around).sum(1) + np.log(NEGATIVES)
+            yield frame.loc[frame["score"] > 0, ["elem_id", "wrong", "true", "score"]]
+
+    out = "elem_id bigint, wrong string, true string, score double"
+    words = events.where("event = 'word'").select("elem_id", "word", F.concat_ws(" ", "left", "right").alias("near")).distinct()
+    met = words.join(linked, words.word == linked.wrong).select("elem_id", "wrong", "true", "near", "vector")
+    best = F.max_by("true", F.struct("score", "true")).alias("true")
+    latin = met.mapInPandas(score, out).groupBy("elem_id", "wrong").agg(best)
+    han = events.where("event = 'han'").select("elem_id", F.col("word").alias("l"), F.col("left").alias("r"), F.col("right").alias("near")).distinct()
+    one = linked.select(F.col("wrong").alias("l"), F.col("true").alias("true_l"), "vector")
     two = linked.select(F.col("wrong").alias("r"), F.col("true").alias("true_r"))
     both = han.join(one, "l").join(two, "r").where(F.substring("true_l", 3, 1) == F.substring("true_r", 2, 1))
-    return latin.unionByName(both.select("elem_id", F.concat("l", F.substring("r", 3, 1)).alias("wrong"), F.concat("true_l", F.substring("true_r", 3, 1)).alias("true")))
+    both = both.select("elem_id", F.concat("l", F.substring("r", 3, 1)).alias("wrong"), F.concat("true_l", F.substring("true_r", 3, 1)).alias("true"), "near", "vector")
+    found = latin.unionByName(both.mapInPandas(score, out).groupBy("elem_id", "wrong").agg(best))
+    signs = events.where("event = 'sign'").select("elem_id", F.col("word").alias("wrong")).distinct().join(found.select("elem_id", "wrong"), ["elem_id", "wrong"], "left_anti")
+    return found.unionByName(signs.withColumn("true", F.lit(None).cast("string")))
+
+
+def decided(candidates: DataFrame, good: DataFrame) -> DataFrame:
+    """The candidates (half, mark, rest, newline and others) that divide one word; the words they could be are looked up in all good words."""
+    what = ["half", "mark", "rest", "newline"]
+    forms = F.array(F.concat(F.lower("half"), F.lower("rest")), F.concat(F.lower("half"), F.lit("-"), F.lower("rest")), F.lower("half"), F.lower("rest"))
+    asked = candidates.select(*what).distinct().withColumn("word", F.explode(forms))
+    known = asked.join(good.select("word", F.col("word").alias("is")), "word", "left").groupBy(*what).agg(F.collect_set("is").alias("known"))
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keep = [is_cut(h, m, r, bool(n), frozenset(k)) for h, m, r, n, k in zip(*(frame[c] for c in (*what, "known")))]
+            yield frame.loc[keep, what]
+
+    return candidates.join(known.mapInPandas(check, "half string, mark string, rest string, newline bigint"), what, "left_semi")
+
+
+def cuts(events: DataFrame, good: DataFrame) -> DataFrame:
+    """(elem_id, half, rest): words cut at a line end inside an element."""
+    found = events.where("event = 'cut'").select("elem_id", F.col("word").alias("half"), F.col("left").alias("mark"), F.col("right").alias("rest"), F.col("number").alias("newline")).distinct()
+    return decided(found, good).select("elem_id", "half", "rest").distinct()
 
 
-def divided(events: DataFrame, good: frozenset[str]) -> DataFrame:
+def divided(events: DataFrame, good: DataFrame) -> DataFrame:
     """(elem_id, next_id, word): words cut at an element's end and the element that begins with the rest.
 
     The rest is looked for on the same page below and on the next three pages.
+    Where no text opens with a small letter there, the book's next text that
+    does is asked, however far it is.
     """
-    ends = events.where("event = 'end'").select("elem_id", "book_id", "page_index", "list_pos", F.col("word").alias("half"), F.col("left").alias("mark")).distinct()
+    ends = events.where("event = 'end'").select("elem_id", "book_id", "page_index", "list_pos", F.col("word").alias("half"), F.col("left").alias("mark"), F.lit(1).cast("bigint").alias("newline")).distinct()
     opens = events.where("event = 'open'").select(F.col("elem_id").alias("next_id"), F.col("book_id").alias("b"), F.col("page_index").alias("p"), F.col("list_pos").alias("l"), F.col("word").alias("rest")).distinct()
     reach = ends.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("at", F.col("page_index") + F.col("step"))
     met = reach.join(opens, (F.col("book_id") == F.col("b")) & (F.col("at") == F.col("p")) & ((F.col("step") > 0) | (F.col("l") > F.col("list_pos"))))
+    met = met.select("elem_id", "next_id", "step", "l", "half", "mark", "rest", "newline")
+    far = ends.join(met.select("elem_id").distinct(), "elem_id", "left_anti").join(opens, (F.col("book_id") == F.col("b")) & (F.col("p") > F.col("page_index")))
+    far = far.groupBy("elem_id", "half", "mark", "newline").agg(F.min(F.struct((F.col("p") - F.col("page_index")).alias("step"), "l", "next_id", "rest")).alias("x"))
+    met = met.unionByName(far.select("elem_id", "x.next_id", "x.step", "x.l", "half", "mark", "x.rest", "newline"))
+    return decided(met, good).groupBy("elem_id").agg(F.min_by(F.struct("next_id", "half", "rest"), F.struct("step", "l", "next_id")).alias("x")).select("elem_id", "x.next_id", F.concat("x.half", "x.rest").alias("word"))
 
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keep = [is_cut(h, m, r, True, good) for h, m, r in zip(frame["half"], frame["mark"], frame["rest"])]
-            yield frame.loc[keep, ["elem_id", "next_id", "step", "l", "half", "rest"]]
-
-    good_pairs = met.select("elem_id", "next_id", "step", "l", "half", "rest", "mark").mapInPandas(check, "elem_id bigint, next_id bigint, step int, l int, half string, rest string")
-    return good_pairs.groupBy("elem_id").agg(F.min_by(F.struct("next_id", "half", "rest"), F.struct("step", "l", "next_id")).alias("x")).select("elem_id", "x.next_id", F.concat("x.half", "x.rest").alias("word"))
 
+def edge_heads(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(elem_id) of lines at the edge that repeat at the edge of at least HEAD_PAGES pages of the book, and (book_id, key) of such heads.
 
-def running_heads(events: DataFrame) -> DataFrame:
-    """(elem_id, key) of elements that are (key null), or begin with, a head repeated at the edge of at least HEAD_PAGES pages of the book.
-
-    Lines at the edge are counted by key. Keys of too few pages may be damaged
-    copies: they meet others of their book by half of their signs, from the
-    start or the end, and count together where few signs differ. Texts meet
-    heads by the first five signs of the key and are compared whole.
+    Lines are counted by key. Keys of too few pages may be damaged copies: they
+    meet others of their book by half of their signs, from the start or the
+    end, and count together where few signs differ.
     """
-    lines = events.where("event = 'head'").select("elem_id", "book_id", "page_index", F.col("word").alias("key"), F.col("left").alias("place"), F.col("right").alias("start")).distinct()
-    edge = lines.where("place = 'edge'").select("elem_id", "book_id", "page_index", "key")
+    edge = events.where("event = 'head'").select("elem_id", "book_id", "page_index", F.col("word").alias("key")).distinct()
     keys = edge.groupBy("book_id", "key").agg(F.count_distinct("page_index").alias("pages"))
     weak = keys.where(F.col("pages") < HEAD_PAGES)
 
@@ -530,18 +728,47 @@ def running_heads(events: DataFrame) -> DataFrame:
     near = near.where(F.levenshtein("key", "other") <= F.greatest(F.lit(1), F.least(F.lit(3), F.floor(F.length("key") / 6).cast("int"))))
     both = near.join(keys.select("book_id", F.col("key").alias("other"), F.col("pages").alias("more")), ["book_id", "other"]).groupBy("book_id", "key").agg(F.sum("more").alias("more"))
     rescued = weak.join(both, ["book_id", "key"]).where(F.col("pages") + F.col("more") >= HEAD_PAGES).select("book_id", "key")
-    strong = keys.where(F.col("pages") >= HEAD_PAGES).select("book_id", "key")
-    found = edge.join(strong.union(rescued), ["book_id", "key"], "left_semi").select("elem_id", F.lit(None).cast("string").alias("key"))
-    inside = lines.where("place = 'inside'").select("elem_id", "book_id", "start", F.col("key").alias("text"))
-    anchors = strong.union(rescued).where(F.length("key") >= 4).select("book_id", "key", F.substring("key", 1, 5).alias("start"))
+    strong = cut(keys.where(F.col("pages") >= HEAD_PAGES).select("book_id", "key").union(rescued))
+    return edge.join(strong, ["book_id", "key"], "left_semi").select("elem_id").distinct(), strong
 
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keep = [begins_with(t, k) for t, k in zip(frame["text"], frame["key"])]
-            yield frame.loc[keep, ["elem_id", "key"]]
 
-    met = inside.join(anchors, ["book_id", "start"]).select("elem_id", "text", "key").mapInPandas(check, "elem_id bigint, key string")
-    return found.union(met).groupBy("elem_id").agg(F.max_by("key", F.length("key")).alias("key"))
+#: Most characters of heads that are broadcast; more are joined by a shuffle.
+BROADCAST_HEADS = 16_000_000
+
+
+def inner_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(elem_id, end): texts away from the page edge that begin with one of their book's heads, and where that ends.
+
+    ``rows`` as :func:`placed` gives them. The texts stay where they are read;
+    the heads of each book come to them.
+    """
+    by_book = cut(heads.groupBy("book_id").agg(F.sort_array(F.collect_set("key")).alias("keys")))
+    size = by_book.agg(F.sum(F.aggregate("keys", F.lit(0), lambda n, k: n + F.length(k)))).first()[0] or 0
+    if size <= BROADCAST_HEADS:
+        by_book = F.broadcast(by_book)
+    body = rows.where(~F.coalesce(F.col("type"), F.lit("")).isin("table", "formula", "image", "paragraph_title", "doc_title") & F.col("text").rlike(r"\s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books: dict[str, Heads] = {}
+        for batch in batches:
+            out = []
+            book_ids = batch.column(1).to_pylist()
+            for i, (elem, book, text, top, bottom) in enumerate(zip(batch.column(0).to_pylist(), book_ids, *(batch.column(k).to_pylist() for k in (2, 3, 4)))):
+                if edge_of(top, bottom):
+                    continue
+                if book not in books:
+                    if len(books) > 2000:
+                        books.clear()
+                    books[book] = Heads(batch.column(5)[i].as_py())
+                at = len(text) - len(text.lstrip())
+                first, newline, _ = text[at:].partition("\n")
+                if newline and _WHOLE_NUMBER.fullmatch(consistent(first.rstrip("\r")) or ""):
+                    at += len(first) + 1
+                if found := books[book].find(text[at:]):
+                    out.append((elem, at + found[1]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int32())], names=["elem_id", "end"])
+
+    return body.join(by_book, "book_id").select("elem_id", "book_id", "text", "top", "bottom", "keys").mapInArrow(run, "elem_id bigint, end int")
 
 
 def page_numbers(events: DataFrame) -> DataFrame:
@@ -557,18 +784,6 @@ def page_numbers(events: DataFrame) -> DataFrame:
     return joined.where((F.col("place") == "edge") | F.col("fits")).select("elem_id").distinct()
 
 
-def head_end(text: str, key: str) -> int:
-    """Where the head that a text begins with ends."""
-    best = 0
-    for m in re.finditer(r"\s+", text[:200]):
-        own = head_key(text[: m.start()])
-        if own and abs(len(own) - len(key)) <= 1 and own[:4] == key[:4]:
-            best = m.end()
-        elif len(own) > len(key) + 1:
-            break
-    return best
-
-
 def _correct_han(text: str, wrong: str, true: str) -> str:
     """A misread ideograph between its two neighbours corrected; ``#`` stands for figures, ``^`` and ``$`` for the ends."""
     ends = {"#": r"\d", "^": r"^", "$": r"$"}
@@ -576,10 +791,9 @@ def _correct_han(text: str, wrong: str, true: str) -> str:
     return re.sub(rf"({before}\s*){re.escape(wrong[1])}(?=\s*{after})", lambda m: m.group(1) + true[1], text)
 
 
-def repair(text: str, fixes: dict[str, str], head: str | None, number: bool, good: frozenset[str]) -> str:
-    """One element's text without furniture, cuts and misread words, its lines joined."""
-    if head:
-        text = text[head_end(text, head) :]
+def repair(text: str, fixes: dict[str, str], head: int, number: bool, cut_words: set[tuple[str, str]]) -> str:
+    """One element's text without furniture, cuts and misread words, its lines joined; the head's signs come first."""
+    text = text[head:]
     if number:
         for p in (_WHOLE_NUMBER, None):
             lines = text.split("\n")
@@ -588,7 +802,7 @@ def repair(text: str, fixes: dict[str, str], head: str | None, number: bool, goo
             elif len(lines) > 1 and _WHOLE_NUMBER.fullmatch(consistent(lines[0]) or ""):
                 text = "\n".join(lines[1:])
         text = _LAST_NUMBER.sub("", _SPACE_NUMBER.sub("", _FIRST_NUMBER.sub("", text, count=1)))
-    text = _CUT.sub(lambda m: m.group(1) + m.group(3) if is_cut(m.group(1), m.group(2), m.group(3), True, good) else m.group(0).replace("\n", ""), text)
+    text = _CUT.sub(lambda m: m.group(1) + m.group(3) if (consistent(m.group(1)), consistent(m.group(3))) in cut_words else m.group(0).replace("\n", ""), text)
     text = consistent(text) or ""
     for wrong, true in fixes.items():
         if len(wrong) == 3 and _HAN.search(wrong):
@@ -610,10 +824,14 @@ class Noise:
     def __init__(self, elements: DataFrame, pages: DataFrame | None = None):
         counts = cut(count_noise(elements))
         self.elements = elements
-        self.linked = cut(links(counts))
-        self.good = good_words(counts, self.linked)
-        self.model = vectors(counts)
-        self.events = cut(scan(elements, pages, self.good))
+        linked = cut(links(counts))
+        self.good = cut(good_words(counts, linked))
+        self.model = contexts(counts)
+        self.linked = cut(link_vectors(linked, counts, self.model))
+        self.rows = placed(elements, cut(heights(elements, pages)))
+        self.events = cut(scan(self.rows, told(self.good)))
+        self.edge, heads = edge_heads(self.events)
+        self.inner = cut(inner_heads(self.rows, heads))
 
     def corrections(self) -> DataFrame:
         return corrections(self.events, self.linked, self.model)
@@ -622,9 +840,8 @@ class Noise:
         """(elem_id, kind) of every noise found."""
         e = self.events
         kinds = [
-            (e.where("event = 'cut'").select("elem_id"), "hyphenation"), (divided(e, self.good).select("elem_id"), "hyphenation"),
-            (e.where("event = 'misread'").select("elem_id"), "misread"), (self.corrections().select("elem_id"), "misread"),
-            (running_heads(e).select("elem_id"), "running_head"), (page_numbers(e), "page_number"),
+            (cuts(e, self.good).select("elem_id"), "hyphenation"), (divided(e, self.good).select("elem_id"), "hyphenation"), (self.corrections().select("elem_id"), "misread"),
+            (self.edge, "running_head"), (self.inner.select("elem_id"), "running_head"), (page_numbers(e), "page_number"),
         ]
         out = None
         for df, kind in kinds:
@@ -638,20 +855,24 @@ class Noise:
         A word divided between two elements joins them into one paragraph, at
         the place of the first. Repeated rows of one elem_id give one paragraph.
         """
-        good = self.good
         e = self.elements.where("text is not null").where(F.col("type").isin(*TEXT_TYPES)).dropDuplicates(["elem_id"]).select("elem_id", "book_id", "page_index", "list_pos", "type", "text")
-        fixes = self.corrections().select("elem_id", F.when(F.col("wrong").rlike("^L"), F.substring("wrong", 2, 3)).otherwise(F.col("wrong")).alias("wrong"), F.when(F.col("wrong").rlike("^L"), F.substring("true", 2, 3)).otherwise(F.col("true")).alias("true"))
+        plain = lambda c: F.when(F.col("wrong").rlike("^L.{3}$") & F.col("true").rlike("^L"), F.substring(c, 2, 3)).otherwise(F.col(c))
+        fixes = self.corrections().where("true is not null").select("elem_id", plain("wrong").alias("wrong"), plain("true").alias("true"))
         fixes = fixes.groupBy("elem_id", "wrong").agg(F.max("true").alias("true")).groupBy("elem_id").agg(F.map_from_entries(F.collect_list(F.struct("wrong", "true"))).alias("fixes"))
-        heads = running_heads(self.events).withColumn("head", F.lit(True))
+        cut_words = cuts(self.events, self.good).groupBy("elem_id").agg(F.collect_set(F.struct("half", "rest")).alias("cut_words"))
+        heads = self.inner.groupBy("elem_id").agg(F.max("end").alias("end"))
         numbers = page_numbers(self.events).withColumn("number", F.lit(True))
-        whole = self.events.where("event = 'number' and word = 'edge'").select("elem_id").distinct().withColumn("alone", F.lit(True))
-        rows = e.join(heads, "elem_id", "left").join(numbers, "elem_id", "left").join(whole, "elem_id", "left").join(fixes, "elem_id", "left")
-        rows = rows.where("not (coalesce(head, false) and key is null) and not (coalesce(number, false) and coalesce(alone, false))")
-        rows = rows.select("elem_id", "book_id", "page_index", "list_pos", "type", "text", "key", F.coalesce("number", F.lit(False)).alias("number"), "fixes")
+        whole = self.events.where("event = 'number' and word = 'edge'").select("elem_id").distinct()
+        rows = e.join(self.edge.unionByName(numbers.select("elem_id").join(whole, "elem_id", "left_semi")), "elem_id", "left_anti")
+        rows = rows.join(heads, "elem_id", "left").join(numbers, "elem_id", "left").join(fixes, "elem_id", "left").join(cut_words, "elem_id", "left")
+        rows = rows.select("elem_id", "book_id", "page_index", "list_pos", "type", "text", F.coalesce("end", F.lit(0)).alias("end"), F.coalesce("number", F.lit(False)).alias("number"), "fixes", "cut_words")
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                frame["paragraph"] = [repair(t, dict(f) if f is not None else {}, k, n, good) for t, k, n, f in zip(frame["text"], frame["key"], frame["number"], frame["fixes"])]
+                frame["paragraph"] = [
+                    repair(t, dict(f) if f is not None else {}, int(h), n, {(x["half"], x["rest"]) for x in c} if c is not None else set())
+                    for t, h, n, f, c in zip(frame["text"], frame["end"], frame["number"], frame["fixes"], frame["cut_words"])
+                ]
                 yield frame[["book_id", "page_index", "list_pos", "elem_id", "type", "paragraph"]]
 
         fixed = rows.mapInPandas(run, PARAGRAPH_SCHEMA).where("paragraph <> ''")

@@ -81,6 +81,65 @@ def test_vectors_bring_neighbours_together():
     assert score[0, 1] > score[0, 4] and score[3, 4] > score[3, 1] and np.isfinite(u).all()
 
 
+def test_vector_of_each_word():
+    rng = np.random.default_rng(0)
+    m = np.zeros((40, 40))
+    for i in range(40):
+        m[i, [(i // 8) * 8 + k for k in range(8)]] = 30
+    _, b = S.skip_gram(m, length=8)
+    got = S.solve(m[[0, 9, 39]] + 0.0, b, m.sum(0))
+    score = got @ b.T
+    assert score[0, 3] > score[0, 20] and score[1, 12] > score[1, 3] and score[2, 36] > score[2, 0] and np.isfinite(got).all()
+    assert np.abs(S.solve(np.zeros((1, 40)), b, m.sum(0))).max() < 1e-6
+
+
+def test_vectors_decide(spark, monkeypatch):
+    """Two originals for one wrong word, and a rare word that is right: without vectors the wrong ones are taken."""
+    rng = random.Random(4)
+    sea, land = "wave sail mast tide port shore fleet anchor".split(), "plough barn seed hedge meadow grain cattle fence".split()
+    rows, true = [], {}
+
+    def add(words):
+        rows.append((len(rows), "b", len(rows), 0, "text", (100.0, 500.0, 900.0, 550.0), " ".join(words) + ".", 0.9, "x"))
+        return len(rows) - 1
+
+    for _ in range(120):
+        add([*rng.sample(sea, 4), "harbaur", *rng.sample(sea, 4)])
+        add([*rng.sample(land, 4), "harbour", *rng.sample(land, 4)])
+        add(rng.sample(sea, 8))
+        add(rng.sample(land, 8))
+    for _ in range(7):
+        true[add([*rng.sample(sea, 3), "harb□ur", *rng.sample(sea, 3)])] = "harbaur"
+        true[add([*rng.sample(land, 3), "harb□ur", *rng.sample(land, 3)])] = "harbour"
+    df = spark.createDataFrame(rows, SCHEMA)
+
+    def f1():
+        got = {r.elem_id: r.true for r in S.Noise(df).corrections().collect() if r.true}
+        right = sum(true.get(i) == t for i, t in got.items())
+        return 2 * right / (len(got) + len(true))
+
+    assert f1() >= 0.9
+    monkeypatch.setattr(S, "solve", lambda around, b, often: np.zeros((len(around), b.shape[1])))
+    assert f1() <= 0.6
+
+
+def test_damaged_heads_inside_texts(spark):
+    heads = S.Heads([S.head_key(x) for x in ("沧浪县志长编", "A Long History", "水车")])
+    for text, end in (("沧浪县□长编\n正文开始。", 7), ("□浪县志长编\n正文", 7), ("A Long Histcry\nThe weaver", 15), ("水车\n正文", 3), ("A Long Historyand more", None), ("沧□县□长编\n正文", None), ("水轮\n正文", None), ("", None)):
+        found = heads.find(text)
+        assert (found[1] if found else None) == end, text
+
+
+def test_far_rest_and_long_lines(spark):
+    def x(i, text, p, kind="text"):
+        return (90_000 + i, "b0", p, 900 + i, kind, (100.0, 600.0, 900.0, 650.0), text, None, "clash")
+
+    long = "the lantern carried the bridge " * 2000
+    noise = S.Noise(make(spark, [x(1, "the quiet gar-", 40), x(2, "dens remembered the stone.", 48), x(3, long + "lan-\ntern.  41", 40)], books=6))
+    got = {(r.elem_id, r.kind) for r in noise.found().collect()}
+    assert {(90_001, "hyphenation"), (90_003, "hyphenation"), (90_003, "page_number")} <= got
+
+
 def test_suspended_and_own_hyphens():
     good = frozenset({"lantern", "iron-clad", "iron", "clad", "well", "known"})
     assert S.is_cut("lan", "-", "tern", True, good) and S.is_cut("Osk", "-", "vin", True, good) and S.is_cut("xx", "¬", "Yy", True, good)
