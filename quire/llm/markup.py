@@ -11,8 +11,11 @@ Viterbi. The labelled pages are written by :func:`labelled_page` (no labelled
 table is given): mixed markup in four languages with the plain uses of the same
 characters that are no markup.
 
-From the labels come the clean text and the markup found: a construct counts
-where it is the mark of a block or stands in a leaf that is not code.
+From the labels come the clean text and the markup found. A construct that
+makes a line something - heading, list, quote, table, rule - counts where the
+field gives the line that label; one inside a line counts where the field does
+not label the line code; tags, fences, divs and environments that open or close
+a block count as they are read into the tree.
 
 Defined results: a null text has a null clean text and no markup, the empty
 text an empty clean text; texts of any length are treated whole; unclosed or
@@ -34,7 +37,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 LABELS = ("heading", "paragraph", "list", "quote", "table", "code", "formula", "furniture")
-CODE = LABELS.index("code")
 
 #: HTML elements, those that break a line of text, and those whose content is code.
 HTML_NAMES = (
@@ -64,27 +66,55 @@ _BLOCK_MARK = re.compile(rf"<!--.*?(?:-->|$)|<(/?)({_BLOCK})(?=[\s/>]|$)([^<>]*)
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})([^`]*)$")
 _DIV = re.compile(r"^:{3,}[ \t]*(.*)$")
 
-#: What shows each language outside code. Plain uses are excluded by the patterns themselves.
-CONSTRUCTS: dict[str, tuple[re.Pattern[str], ...]] = {
+#: What shows each language: a pattern, a sign without which it cannot occur, and the labels of the lines where it counts (none named: all but code).
+CONSTRUCTS: dict[str, tuple[tuple[re.Pattern[str], str, tuple[str, ...]], ...]] = {
     "html": (
-        re.compile(rf"</?(?:{_NAME})(?:\s[^<>]*)?/?>", re.I), re.compile("<!--"), re.compile(rf"</?(?:{_NAME})(?:\s+[a-zA-Z-]+(?:=\S*)?)*\s*$", re.I | re.M),
-        re.compile(rf"</?(?:{_NAME})\s+[a-z-]+=(?:\"[^\"]*|'[^']*)", re.I),
+        (re.compile(rf"</?(?:{_NAME})(?:\s[^<>]*)?/?>", re.I), "<", ()),
+        (re.compile("<!--"), "<!--", ()),
+        (re.compile(rf"</?(?:{_NAME})(?:\s+[a-zA-Z-]+(?:=\S*)?)*\s*$", re.I | re.M), "<", ()),
+        (re.compile(rf"</?(?:{_NAME})\s+[a-z-]+=(?:\"[^\"]*|'[^']*)", re.I), "<", ()),
     ),
     "latex": (
-        re.compile(r"\\(?:begin|end)\s*\{"), re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{"), re.compile(r"(?<![\w:\\])\\(?:" + "|".join(PLAIN_COMMANDS) + r")(?![a-zA-Z])"),
-        re.compile(r"\\[()\[\]](?!\w:)"), re.compile(r"^\s*\$\$|\$\$\s*$|\$\$[^$]+\$\$", re.M), re.compile(r"(?<![\\$\w])\$(?![\s$\d])[^$\n]*(?<![\s\\])\$(?![\d$])"), re.compile(r"(?<![\\$])\$\d+[^$\n]*[\\^_=+{}][^$\n]*(?<![\s\\])\$(?![\d$])"),
-        re.compile(r"(?<=[一-鿿])\$(?![\s$\d])[^$\n]*[\\^_=+{}][^$\n]*(?<!\s)\$(?!\d)"), re.compile(r"(?<=\S)\s*&\s.*\\\\\s*$", re.M),
+        (re.compile(r"\\(?:begin|end)\s*\{"), "\\", ()),
+        (re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{"), "\\", ()),
+        (re.compile(r"(?<![\w:\\])\\(?:" + "|".join(PLAIN_COMMANDS) + r")(?![a-zA-Z])"), "\\", ()),
+        (re.compile(r"\\[()\[\]](?!\w:)"), "\\", ()),
+        (re.compile(r"^\s*\$\$|\$\$\s*$|\$\$[^$]+\$\$", re.M), "$$", ()),
+        (re.compile(r"(?<![\\$\w])\$(?![\s$\d])[^$\n]*(?<![\s\\])\$(?![\d$])"), "$", ()),
+        (re.compile(r"(?<![\\$])\$\d+[^$\n]*[\\^_=+{}][^$\n]*(?<![\s\\])\$(?![\d$])"), "$", ()),
+        (re.compile(r"(?<=[一-鿿])\$(?![\s$\d])[^$\n]*[\\^_=+{}][^$\n]*(?<!\s)\$(?!\d)"), "$", ()),
+        (re.compile(r"(?<=\S)\s*&\s.*\\\\\s*$", re.M), "&", ("table", "formula")),
     ),
     "markdown": (
-        re.compile(r"^ {0,3}#{1,6}[ \t]+\S", re.M), re.compile(r"^ {0,3}(?:`{3,}|~{3,})", re.M), re.compile(r"(?<!`)(`+)(?!`)[^\n]+?(?<!`)\1(?!`)"), re.compile(r"^:{3,}(?:[ \t]*\{|[ \t]*\w|[ \t]*$)", re.M), re.compile(r"^ {0,3}>", re.M), re.compile(r"\{#[\w-]+[^{}\n]*\}[ \t]*$", re.M),
-        re.compile(r"^[ \t]*\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+(?:[ \t]*:?-{3,}:?)?[ \t]*$", re.M), re.compile(r"^ {0,3}(?:\*[ \t]*){3,}$|^ {0,3}(?:-[ \t]*){3,}$|^ {0,3}(?:_[ \t]*){3,}$", re.M),
-        re.compile(r"^[ \t]*[-+*][ \t]+(?=\S)(?!\d+\s*$)", re.M), re.compile(r"^[ \t]*\d{1,3}[.)][ \t]+\S", re.M), re.compile(r"!\[[^\]\n]*\]\("), re.compile(r"(?<!!)\[[^\[\]\n]*\]\([^()\s]*(?:\s+\"[^\"]*\")?\)"), re.compile(r"\[\^[^\]\s]+\]"), re.compile(r"^ {0,3}\[[^\]\n]+\]:\s+\S", re.M),
-        re.compile(r"(?<![*\\])\*\*(?![\s*])[^\n]+?(?<![\s*])\*\*(?!\*)"), re.compile(r"(?<![_\w\\])__(?![\s_])[^\n]+?(?<![\s_])__(?![_\w])"), re.compile(r"(?<![~\\])~~(?![\s~])(?:[^~\n]|~(?!~))+(?<!\s)~~"),
-        re.compile(r"(?<![*\\\d])\*(?![\s*])[^*\n]+?(?<![\s*])\*(?![*\d])"), re.compile(r"(?<![_\w\\])_(?![\s_])[^_\n]+?(?<![\s_])_(?![_\w])"), re.compile(r"<(?:https?|mailto):[^\s<>]+>"),
+        (re.compile(r"^ {0,3}#{1,6}[ \t]+\S", re.M), "#", ("heading",)),
+        (re.compile(r"^ {0,3}(?:`{3,}|~{3,})", re.M), "", ()),
+        (re.compile(r"(?<!`)(`+)(?!`)[^\n]+?(?<!`)\1(?!`)"), "`", ()),
+        (re.compile(r"^:{3,}(?:[ \t]*\{|[ \t]*\w|[ \t]*$)", re.M), ":::", ()),
+        (re.compile(r"^ {0,3}>", re.M), ">", ("quote",)),
+        (re.compile(r"\{#[\w-]+[^{}\n]*\}[ \t]*$", re.M), "{#", ()),
+        (re.compile(r"^[ \t]*\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+(?:[ \t]*:?-{3,}:?)?[ \t]*$", re.M), "---", ("table",)),
+        (re.compile(r"^ {0,3}(?:\*[ \t]*){3,}$|^ {0,3}(?:-[ \t]*){3,}$|^ {0,3}(?:_[ \t]*){3,}$", re.M), "", ("furniture",)),
+        (re.compile(r"^[ \t]*[-+*][ \t]+(?=\S)(?!\d+\s*$)", re.M), "", ("list",)),
+        (re.compile(r"^[ \t]*\d{1,3}[.)][ \t]+\S", re.M), "", ("list",)),
+        (re.compile(r"!\[[^\]\n]*\]\("), "![", ()),
+        (re.compile(r"(?<!!)\[[^\[\]\n]*\]\([^()\s]*(?:\s+\"[^\"]*\")?\)"), "](", ()),
+        (re.compile(r"\[\^[^\]\s]+\]"), "[^", ()),
+        (re.compile(r"^ {0,3}\[[^\]\n]+\]:\s+\S", re.M), "]:", ()),
+        (re.compile(r"(?<![*\\])\*\*(?![\s*])[^\n]+?(?<![\s*])\*\*(?!\*)"), "**", ()),
+        (re.compile(r"(?<![_\w\\])__(?![\s_])[^\n]+?(?<![\s_])__(?![_\w])"), "__", ()),
+        (re.compile(r"(?<![~\\])~~(?![\s~])(?:[^~\n]|~(?!~))+(?<!\s)~~"), "~~", ()),
+        (re.compile(r"(?<![*\\\d])\*(?![\s*])[^*\n]+?(?<![\s*])\*(?![*\d])"), "*", ()),
+        (re.compile(r"(?<![_\w\\])_(?![\s_])[^_\n]+?(?<![\s_])_(?![_\w])"), "_", ()),
+        (re.compile(r"<(?:https?|mailto):[^\s<>]+>"), "<", ()),
     ),
     "wiki": (
-        re.compile(r"^[ \t]*(={1,6})(?!=)[ \t]*[^\n]*?\S[ \t]*\1[ \t]*$", re.M), re.compile(r"\[\[(?=[^\[\]\n]*(?:\]\]|\|)|[A-Za-z]+:)(?!\s*-?\d)[^\[\]\n]"), re.compile(r"\{\{\s*[A-Za-z一-鿿#][^{}|\n':]*(?:\||\}\})"), re.compile(r"(?<!')'{2,5}(?![\s'])(?:[^'\n]|'(?!'))+(?<!\s)'{2,5}(?!')"),
-        re.compile(r"^[ \t]*(?:\{\||\|\}|\|-[^|]*$|\|\+)", re.M), re.compile(r"\[https?://[^\s\]]+[^\]\n]*\](?!\()"), re.compile(r"__(?:TOC|NOTOC|FORCETOC)__"),
+        (re.compile(r"^[ \t]*(={1,6})(?!=)[ \t]*[^\n]*?\S[ \t]*\1[ \t]*$", re.M), "=", ("heading",)),
+        (re.compile(r"\[\[(?=[^\[\]\n]*(?:\]\]|\|)|[A-Za-z]+:)(?!\s*-?\d)[^\[\]\n]"), "[[", ()),
+        (re.compile(r"\{\{\s*[A-Za-z一-鿿#][^{}|\n':]*(?:\||\}\})"), "{{", ()),
+        (re.compile(r"(?<!')'{2,5}(?![\s'])(?:[^'\n]|'(?!'))+(?<!\s)'{2,5}(?!')"), "''", ()),
+        (re.compile(r"^[ \t]*(?:\{\||\|\}|\|-[^|]*$|\|\+)", re.M), "|", ("table",)),
+        (re.compile(r"\[https?://[^\s\]]+[^\]\n]*\](?!\()"), "[http", ()),
+        (re.compile(r"__(?:TOC|NOTOC|FORCETOC)__"), "__", ()),
     ),
 }
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
@@ -97,10 +127,6 @@ class Leaf:
     def __init__(self, text: str, above: tuple[str, ...], start: int, level: int = 0):
         self.text, self.above, self.start, self.level = text, above, start, level
 
-    @property
-    def in_code(self) -> bool:
-        return any(a in ("fence", "pre") or a in CODE_ENVIRONMENTS for a in self.above)
-
 
 def _shield(line: str) -> str:
     """The line with inline code blanked, at equal length."""
@@ -221,6 +247,13 @@ _RUNS = (
     ("command", re.compile(r"\\[a-zA-Z]+")), ("mathsign", re.compile(r"[\^_]\{|\\(?:frac|sqrt|sum|alpha|beta|leq)")), ("sentence", re.compile(r"[。！？!?.…”\"»]\s*$")), ("section", re.compile(r"^\s*§")), ("image", re.compile(r"^\s*!\[")), ("template", re.compile(r"^\s*\{\{")), ("category", re.compile(r"^\s*\[\[(?:Category|File|Image):")),
     ("assign", re.compile(r"\w\s*(?:=|==|\+=)\s*\S")), ("call", re.compile(r"\w\([^)]*\)")), ("keyword", re.compile(r"^\s*(?:if|for|while|def|class|return|import|from|print|cat|var|let|const|function|#include)\b")), ("comma", re.compile(r"[,，；;]")), ("digits", re.compile(r"^\s*\d+\s*$")), ("low", re.compile(r"^ {0,3}>\s?\[low-confidence\]")),
 )
+#: A sign without which each of these cannot occur; the others are tried on every line.
+_NEEDS = {
+    "atx": "#", "wikihead": "=", "texhead": "\\", "item": "\\item", "gt": ">", "pipe": "|", "bang": "!", "delim": "---", "amp": "&", "dollars": "$$", "bracket": "\\", "command": "\\", "section": "§", "image": "![",
+    "template": "{{", "category": "[[", "assign": "=", "call": "(", "low": "[low",
+}
+_TESTS = tuple((i, _NEEDS.get(name, ""), p.search) for i, (name, p) in enumerate(_RUNS))
+_ODD = re.compile(r"[={}()\[\]<>*/\\|;\"']")
 #: Feature numbers: one for each (ancestor kind, place), text pattern, neighbour's pattern, length.
 _ANCESTORS = ("fence", "pre", "code-env", "math-env", "table-env", "list-env", "quote-env", "div", "wikitable", "heading", "li", "blockquote", "table", "td", "hidden", "p", "other", "none")
 FEATURES = 1 + 2 * len(_ANCESTORS) + 3 * len(_RUNS) + 12
@@ -263,9 +296,8 @@ def features(leaves: list[Leaf]) -> list[list[int]]:
     n = len(_RUNS)
     own = []
     for x in leaves:
-        line = x.text[:400]  # patterns look at the line's start, its end, and signs in between
-        tail = x.text[-80:]
-        own.append([i for i, (name, p) in enumerate(_RUNS) if p.search(tail if name == "sentence" else line)])
+        line = x.text
+        own.append([i for i, sign, search in _TESTS if sign in line and search(line)])
     out = []
     for k, x in enumerate(leaves):
         f = [0, *_above(x.above), *(base + i for i in own[k])]
@@ -277,7 +309,7 @@ def features(leaves: list[Leaf]) -> list[list[int]]:
         f.append(base + 3 * n + min(5, size.bit_length() // 2))
         blank = x.text.count(" ") / max(1, size)
         f.append(base + 3 * n + 6 + min(2, int(blank * 10)))
-        odd = sum(x.text[:200].count(c) for c in "={}()[]<>*/\\|;\"'") / max(1, min(size, 200))
+        odd = len(_ODD.findall(x.text)) / max(1, size)
         f.append(base + 3 * n + 9 + min(2, int(odd * 12)))
         out.append(f)
     return out
@@ -297,20 +329,36 @@ class Field:
         return np.add.reduceat(self.emit[flat], np.concatenate(([0], ends[:-1])), axis=0)
 
     def viterbi(self, feats: list[list[int]]) -> list[int]:
-        if not feats:
-            return []
-        s = self.scores(feats)
-        v, back = s[0], []
-        move = self.move
-        for t in range(1, len(s)):
-            all_ = v[:, None] + move
-            best = all_.argmax(axis=0)
-            back.append(best)
-            v = all_[best, np.arange(len(best))] + s[t]
-        path = [int(v.argmax())]
-        for best in reversed(back):
-            path.append(int(best[path[-1]]))
-        return path[::-1]
+        return self.viterbi_all([feats])[0]
+
+    def viterbi_all(self, pages: list[list[list[int]]]) -> list[list[int]]:
+        """The best labels of several pages, decoded side by side: longest first, so that at each step the pages not yet ended stand in front."""
+        order = sorted((k for k, feats in enumerate(pages) if feats), key=lambda k: -len(pages[k]))
+        out: list[list[int]] = [[] for _ in pages]
+        if not order:
+            return out
+        sizes = np.array([len(pages[k]) for k in order])
+        scores = [self.scores(pages[k]) for k in order]
+        flat, first = np.concatenate(scores), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        v = flat[first]
+        back = np.zeros((len(flat), len(LABELS)), dtype=np.int8)
+        for t in range(1, int(sizes[0])):
+            n = int(np.searchsorted(-sizes, -t, side="left"))  # pages longer than t
+            all_ = v[:n, :, None] + self.move[None]
+            best = all_.argmax(axis=1)
+            at = first[:n] + t
+            back[at] = best
+            v[:n] = np.take_along_axis(all_, best[:, None], axis=1)[:, 0] + flat[at]
+        state = v.argmax(axis=1)
+        labels = np.zeros(len(flat), dtype=np.int64)
+        labels[first + sizes - 1] = state
+        for t in range(int(sizes[0]) - 1, 0, -1):
+            n = int(np.searchsorted(-sizes, -t, side="left"))
+            at = first[:n] + t
+            labels[at - 1] = back[at, labels[at]]
+        for i, k in enumerate(order):
+            out[k] = labels[first[i] : first[i] + sizes[i]].tolist()
+        return out
 
     def gradient(self, feats: list[list[int]], gold: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
         """Log-likelihood of the gold labels and its gradient, by forward-backward."""
@@ -417,7 +465,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
             env = rng.choice(["itemize", "enumerate"])
             put((f"\\begin{{{env}}}\n", ""), *[x for _ in range(n) for x in ((f"\\item {words(2)}", "list"), ("\n", ""))], (f"\\end{{{env}}}", ""))
         elif kind == 16:
-            put(*[x for _ in range(1 + n // 3) for x in ((rng.choice(["> ", ">[low-confidence] "]) + sentence(), "quote"), ("\n", ""))])
+            put(*[x for _ in range(1 + n // 3) for x in ((rng.choice(["> ", ">[low-confidence] ", ">"]) + rng.choice([sentence(), sentence(), words(rng.randrange(1, 4))]), "quote"), ("\n", ""))])
         elif kind == 17:
             put(("<blockquote>", ""), (para, "quote"), ("</blockquote>", ""))
         elif kind == 18:
@@ -480,18 +528,23 @@ def trained(pages: int = 400, seed: int = 11) -> Field:
     return field
 
 
-def constructs(text: str) -> set[str]:
-    """Languages with a construct in one leaf's text; inline code counts as Markdown and hides what it holds."""
+_BY_LABEL = {label: tuple((language, tuple((p.search, sign) for p, sign, where in patterns if not where or label in where)) for language, patterns in CONSTRUCTS.items()) for label in LABELS}
+
+
+def constructs(text: str, label: str, known: set[str] = frozenset()) -> set[str]:
+    """Languages, but those known, with a construct in a line of this label; inline code counts as Markdown and hides what it holds."""
     found: set[str] = set()
+    if label == "code":
+        return found
     if "`" in text and _CODE_SPAN.search(text):
         found.add("markdown")
         text = _shield(text).replace("`", " ")
     if "\\" in text:
         text = _PATH.sub(lambda m: " " * len(m.group(0)), text)
-    for language, patterns in CONSTRUCTS.items():
-        if language not in found and any(p.search(text) for p in patterns):
+    for language, patterns in _BY_LABEL[label]:
+        if language not in found and language not in known and any(sign in text and search(text) for search, sign in patterns):
             found.add(language)
-    if "html" not in found and "&" in text and any(m.group(1)[0] == "#" or m.group(1) + ";" in html5 for m in _ENTITY.finditer(text)):
+    if "html" not in found and "html" not in known and "&" in text and any(m.group(1)[0] == "#" or m.group(1) + ";" in html5 for m in _ENTITY.finditer(text)):
         found.add("html")
     return found
 
@@ -588,14 +641,17 @@ def render(leaves: list[Leaf], labels: list[int]) -> str:
     return "\n\n".join(out)
 
 
-def analyse(text: str, field: Field) -> tuple[list[Leaf], list[int], set[str]]:
-    """Leaves, their labels, and the languages with a construct outside code."""
-    leaves, found = read(text)
-    labels = field.viterbi(features(leaves))
-    for x, label in zip(leaves, labels):
-        if label != CODE and not x.in_code and not any(a in HIDDEN_NAMES for a in x.above) and len(found) < len(CONSTRUCTS):
-            found |= constructs(x.text)
-    return leaves, labels, found
+def analyse(texts: list[str], field: Field) -> Iterator[tuple[list[Leaf], list[int], set[str]]]:
+    """Of each text its leaves, their labels, and the languages it has constructs of."""
+    trees = [read(text) for text in texts]
+    decoded = field.viterbi_all([features(leaves) for leaves, _ in trees])
+    for (leaves, found), labels in zip(trees, decoded):
+        for x, k in zip(leaves, labels):
+            if len(found) == len(CONSTRUCTS):
+                break
+            if not HIDDEN_NAMES.intersection(x.above):
+                found |= constructs(x.text, LABELS[k], found)
+        yield leaves, labels, found
 
 
 CLEAN_SCHEMA = "row_id bigint, clean_text string, markup array<string>, blocks map<string,int>"
@@ -611,11 +667,13 @@ def clean(df: DataFrame, id_col: str, text_col: str, field: Field | None = None,
         model = Field(emit, move)
         for batch in batches:
             rows = []
-            for i, text in zip(*(c.to_pylist() for c in batch.columns)):
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            analysed = analyse([t for t in texts if t is not None], model)
+            for i, text in zip(ids, texts):
                 if text is None:
                     rows.append((i, None, [], []))
                     continue
-                leaves, labels, found = analyse(text, model)
+                leaves, labels, found = next(analysed)
                 counts = np.bincount(labels, minlength=len(LABELS)) if labels else np.zeros(len(LABELS), int)
                 rows.append((i, render(leaves, labels) if text_out else None, sorted(found), [(name, int(c)) for name, c in zip(LABELS, counts) if c]))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, schema)], schema=schema)

@@ -13,7 +13,7 @@ def field():
 
 
 def found(text, field):
-    return M.analyse(text, field)[2]
+    return next(M.analyse([text], field))[2]
 
 
 @pytest.mark.parametrize(
@@ -43,6 +43,31 @@ def test_held_out_labels(field):
     assert right / total > 0.97
 
 
+def test_field_decides(field):
+    """Without the field - every line labelled paragraph - other constructs are found on held-out pages."""
+
+    class Blind(M.Field):
+        def viterbi_all(self, pages):
+            return [[M.LABELS.index("paragraph")] * len(p) for p in pages]
+
+    rng = random.Random(5)
+    texts = [M.labelled_page(rng)[0] for _ in range(60)] + ["~~~\n# count the lines\nx = [[a]]\n~~~", "# Head", "- one\n- two", "| a & b \\\\"]
+    seen, blind = ([x[2] for x in M.analyse(texts, f)] for f in (field, Blind(field.emit, field.move)))
+    assert sum(a != b for a, b in zip(seen, blind)) >= 4 and seen[-4] == {"markdown"} and blind[-4] == {"markdown", "wiki"} and seen[-3] == {"markdown"} and blind[-3] == set()
+
+
+def test_pages_side_by_side(field):
+    rng = random.Random(6)
+    pages = [M.features(M.read(M.labelled_page(rng)[0])[0]) for _ in range(20)] + [[]]
+    assert field.viterbi_all(pages) == [field.viterbi(p) for p in pages] and field.viterbi_all([]) == []
+
+
+def test_whole_leaves_count(field):
+    long = "word " * 2000
+    assert M.features(M.read(long + "x & y \\\\")[0]) != M.features(M.read(long + "x and y")[0])
+    assert found(long + "[[a|b]]", field) == {"wiki"} and found("```\n" + long + "[[a|b]]\n```", field) == {"markdown"}
+
+
 def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(1)
     f = M.Field(rng.normal(size=(M.FEATURES, len(M.LABELS))), rng.normal(size=(len(M.LABELS),) * 2))
@@ -69,7 +94,7 @@ def test_gradient_equals_differences():
 
 def test_clean_text_keeps_structure(field):
     text = "<h2>Title</h2>\n\n<p>one <b>two</b> &amp; three</p>\n\n<ul>\n<li>a\n<li>b</li>\n</ul>\n\n{| class=wikitable\n! h\n|-\n| 1 || 2\n|}\n\n\\begin{equation}\nx^2\n\\end{equation}\n\n```\ncode <b>\n```\n\n> quote *x*\n\n![cap](images/p.png)"
-    leaves, labels, _ = M.analyse(text, field)
+    leaves, labels, _ = next(M.analyse([text], field))
     out = M.render(leaves, labels)
     for part in ("## Title", "one two & three", "- a\n- b", "| h\n| 1 | 2", "$$\nx^2\n$$", "```\ncode <b>\n```", "> quote x"):
         assert part in out, out
