@@ -35,6 +35,8 @@ from quire.llm.tokens import FOLDER, VOCABULARY, token_count
 SHARD = 20_000
 GROUPS = 24
 LARGE = 1 / 8
+#: Most tasks that pack, for each core of the cluster.
+TASKS = 16
 
 PLACED_SCHEMA = "capacity bigint, container string, doc_id bigint, piece int, start_token bigint, tokens bigint"
 
@@ -179,7 +181,9 @@ def place(documents: DataFrame, capacities: list[int], id_col: str = "doc_id", t
         out["capacity"], out["container"] = capacity, f"{part}-" + out["n"].astype(str)
         return out[["capacity", "container", "doc_id", "piece", "start_token", "tokens"]]
 
-    return rows.groupBy("capacity", "shard").applyInPandas(run, PLACED_SCHEMA)
+    # The rows are small and the work on them is not: with an explicit number adaptive execution does not put many shards into one task.
+    tasks = min(shards * len(set(capacities)), TASKS * documents.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(max(1, tasks), "capacity", "shard").groupBy("capacity", "shard").applyInPandas(run, PLACED_SCHEMA)
 
 
 def containers(placed: DataFrame) -> DataFrame:

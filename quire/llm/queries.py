@@ -66,12 +66,18 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.place(_t(spark, d, "documents"), _capacities(spark, d)))
 
 
+def _listed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sizes of the documents whose source is listed - no other can be selected - and the targets."""
+    targets = _t(spark, d, "mix_targets")
+    return mixing.sizes(_t(spark, d, "documents").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")), targets
+
+
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(mixing.sizes(_t(spark, d, "documents")), _t(spark, d, "mix_targets"))
+    return mixing.mix(*_listed(spark, d))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(mixing.sizes(_t(spark, d, "documents")), _t(spark, d, "mix_targets"))
+    return mixing.shares(*_listed(spark, d))
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
