@@ -289,19 +289,22 @@ def count_noise(elements: DataFrame) -> DataFrame:
 def skip_gram(pairs: np.ndarray, length: int = LENGTH, rounds: int = 100, negatives: float = NEGATIVES, rate: float = 2.0, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Skip-gram vectors with negative sampling, on summed counts: gradient steps on the whole expected objective."""
     v = len(pairs)
-    c = pairs + pairs.T
-    row = c.sum(1)
-    total = max(1.0, c.sum())
-    expected = negatives * np.outer(row, row) / total
+    c = (pairs + pairs.T).astype(np.float32)
+    row = c.sum(1, dtype=float)
+    expected = (np.outer(row, row) * (negatives / max(1.0, row.sum()))).astype(np.float32)
     rng = np.random.default_rng(seed)
-    a, b = rng.standard_normal((v, length)) * 0.1, rng.standard_normal((v, length)) * 0.1
-    scale = 1 / np.maximum(1, row + expected.sum(1))[:, None]
+    a, b = ((rng.standard_normal((v, length)) * 0.1).astype(np.float32) for _ in "ab")
+    scale = (1 / np.maximum(1, row + expected.sum(1)))[:, None].astype(np.float32)
+    both = c + expected
     for _ in range(rounds):
         for x, y in ((a, b), (b, a)):
-            p = 1 / (1 + np.exp(-np.clip(x @ y.T, -30, 30)))
-            grad = (c * (1 - p) - expected * p) @ y
-            np.clip(x + rate * grad * scale, -2.0, 2.0, out=x)
-    return a.astype(np.float32), b.astype(np.float32)
+            p = x @ y.T
+            np.clip(p, -30, 30, out=p)
+            np.exp(np.negative(p, out=p), out=p)
+            p += 1
+            np.divide(both, p, out=p)  # the gradient is c - (c + expected) p
+            np.clip(x + rate * ((c - p) @ y) * scale, -2.0, 2.0, out=x)
+    return a, b
 
 
 def contexts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +324,7 @@ def contexts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     m = np.zeros((VECTORS, VECTORS), dtype=np.int64)
     for r in _merge(counts.where("places is not null").mapInPandas(by_place, _COUNT_SCHEMA)).collect():
         _unpack(r["places"], r["times"], m[int(r["word"])])
-    return skip_gram(m.astype(float))[1], m.sum(0).astype(float)
+    return skip_gram(m)[1], m.sum(0).astype(float)
 
 
 def solve(around: np.ndarray, b: np.ndarray, often: np.ndarray, rounds: int = 8) -> np.ndarray:
@@ -655,16 +658,15 @@ def corrections(events: DataFrame, linked: DataFrame, model: tuple[np.ndarray, n
     out = "elem_id bigint, wrong string, true string, score double"
     words = events.where("event = 'word'").select("elem_id", "word", F.concat_ws(" ", "left", "right").alias("near")).distinct()
     met = words.join(linked, words.word == linked.wrong).select("elem_id", "wrong", "true", "near", "vector")
-    best = F.max_by("true", F.struct("score", "true")).alias("true")
-    latin = met.mapInPandas(score, out).groupBy("elem_id", "wrong").agg(best)
+    scored = met.mapInPandas(score, out)
     han = events.where("event = 'han'").select("elem_id", F.col("word").alias("l"), F.col("left").alias("r"), F.col("right").alias("near")).distinct()
     one = linked.select(F.col("wrong").alias("l"), F.col("true").alias("true_l"), "vector")
     two = linked.select(F.col("wrong").alias("r"), F.col("true").alias("true_r"))
     both = han.join(one, "l").join(two, "r").where(F.substring("true_l", 3, 1) == F.substring("true_r", 2, 1))
     both = both.select("elem_id", F.concat("l", F.substring("r", 3, 1)).alias("wrong"), F.concat("true_l", F.substring("true_r", 3, 1)).alias("true"), "near", "vector")
-    found = latin.unionByName(both.mapInPandas(score, out).groupBy("elem_id", "wrong").agg(best))
-    signs = events.where("event = 'sign'").select("elem_id", F.col("word").alias("wrong")).distinct().join(found.select("elem_id", "wrong"), ["elem_id", "wrong"], "left_anti")
-    return found.unionByName(signs.withColumn("true", F.lit(None).cast("string")))
+    signs = events.where("event = 'sign'").select("elem_id", F.col("word").alias("wrong"), F.lit(None).cast("string").alias("true"), F.lit(float("-inf")).alias("score"))
+    found = scored.unionByName(both.mapInPandas(score, out)).unionByName(signs)
+    return found.groupBy("elem_id", "wrong").agg(F.max_by("true", F.struct("score", "true")).alias("true"))
 
 
 def decided(candidates: DataFrame, good: DataFrame) -> DataFrame:
@@ -699,7 +701,7 @@ def divided(events: DataFrame, good: DataFrame) -> DataFrame:
     opens = events.where("event = 'open'").select(F.col("elem_id").alias("next_id"), F.col("book_id").alias("b"), F.col("page_index").alias("p"), F.col("list_pos").alias("l"), F.col("word").alias("rest")).distinct()
     reach = ends.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("at", F.col("page_index") + F.col("step"))
     met = reach.join(opens, (F.col("book_id") == F.col("b")) & (F.col("at") == F.col("p")) & ((F.col("step") > 0) | (F.col("l") > F.col("list_pos"))))
-    met = met.select("elem_id", "next_id", "step", "l", "half", "mark", "rest", "newline")
+    met = cut(met.select("elem_id", "next_id", "step", "l", "half", "mark", "rest", "newline"))
     far = ends.join(met.select("elem_id").distinct(), "elem_id", "left_anti").join(opens, (F.col("book_id") == F.col("b")) & (F.col("p") > F.col("page_index")))
     far = far.groupBy("elem_id", "half", "mark", "newline").agg(F.min(F.struct((F.col("p") - F.col("page_index")).alias("step"), "l", "next_id", "rest")).alias("x"))
     met = met.unionByName(far.select("elem_id", "x.next_id", "x.step", "x.l", "half", "mark", "x.rest", "newline"))
@@ -832,9 +834,12 @@ class Noise:
         self.events = cut(scan(self.rows, told(self.good)))
         self.edge, heads = edge_heads(self.events)
         self.inner = cut(inner_heads(self.rows, heads))
+        self._corrections: DataFrame | None = None
 
     def corrections(self) -> DataFrame:
-        return corrections(self.events, self.linked, self.model)
+        if self._corrections is None:
+            self._corrections = cut(corrections(self.events, self.linked, self.model))
+        return self._corrections
 
     def found(self) -> DataFrame:
         """(elem_id, kind) of every noise found."""
