@@ -131,6 +131,14 @@ def repeated(hashes: DataFrame, distance: int = HASH_DISTANCE, least: int = REPE
     return hashes.join(found, ["book_id", "phash"], "left_semi").select("book_id", "path").distinct()
 
 
+def decorations(repeated_paths: DataFrame, separators: DataFrame, functional: DataFrame) -> DataFrame:
+    """(doc, path) of images that only decorate: repeated ones and separator bars, but none that is functional at any place.
+
+    All three are (doc, path); the result goes to ``review.remove_images``.
+    """
+    return repeated_paths.select("doc", "path").union(separators.select("doc", "path")).distinct().join(functional.select("doc", "path"), ["doc", "path"], "left_anti")
+
+
 def near_keyword(lines: DataFrame) -> DataFrame:
     """Image lines with a functional word within two lines, the line itself left out: (doc, line_no)."""
     from pyspark.sql import Window as W

@@ -157,6 +157,18 @@ def check_correction(original: Column, corrected: Column) -> Column:
     )
 
 
+def first_mismatches(mismatches: DataFrame, most: int = KEPT) -> DataFrame:
+    """The first ``most`` mismatches of each book by place, each with the book's whole number of them."""
+    rank = F.row_number().over(W.partitionBy("book_id").orderBy("pos", "title"))
+    totals = mismatches.groupBy("book_id").agg(F.count("*").alias("total"))
+    return mismatches.withColumn("rank", rank).where(F.col("rank") <= most).join(totals, "book_id")
+
+
+def by_issue(corrections: DataFrame, issues: DataFrame) -> DataFrame:
+    """Corrections (doc, id, new_line) with the line of their issue; those of unknown ids are dropped."""
+    return corrections.join(issues.select("doc", "id", "line_no"), ["doc", "id"]).select("doc", "id", "line_no", "new_line")
+
+
 def apply_fixes(lines: DataFrame, fixes: DataFrame) -> DataFrame:
     """Lines with fixes applied: (doc, line_no, new_line, priority); of several for a line the highest priority, null deletes it."""
     best = fixes.groupBy("doc", "line_no").agg(F.max_by(F.struct("new_line"), F.struct("priority", "new_line")).alias("fix"))

@@ -564,3 +564,106 @@ def review_images(s, d):
     low = review.low_confidence_issues(lines.drop("page_index")).join(pages, ["doc", "line_no"])
     titles = review.title_issues(lines.drop("page_index")).join(pages, ["doc", "line_no"])
     return review.review_images(low, titles, 5)
+
+
+@query(f"WITH mm AS ({SQL['toc_mismatches']}) SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY pos, title)::INT AS rank, count(*) OVER (PARTITION BY book_id) AS total FROM mm QUALIFY rank <= {review.KEPT}")
+def first_mismatches(s, d):
+    """A report of the first five of each book."""
+    return review.first_mismatches(toc_mismatches(s, d)).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query(f"WITH {L}, {HEADS}, {TI} SELECT {IDENT}, upper(title) AS new_line FROM ti WHERE issue <> 'normal'")
+def corrections_by_issue(s, d):
+    """Corrections given by issue id; beside each a second one of an id that no issue has."""
+    issues = review.title_issues(_lines(s, d))
+    given = issues.where("issue <> 'normal'").select("doc", F.explode(F.array("id", F.concat("id", F.lit("-x")))).alias("id"), F.upper("title").alias("new_line"))
+    return review.by_issue(given, issues).withColumn("line_no", F.col("line_no").cast("int"))
+
+
+@query(f"WITH {B}, {C}, o AS (SELECT t.entry_id, t.title AS x, b.title AS y FROM (SELECT DISTINCT entry_id, book_id, title FROM toc_entries WHERE title IS NOT NULL) t JOIN b USING (book_id) WHERE b.title IS NOT NULL) "
+       f"SELECT entry_id, CASE WHEN contains(y, '[UNCLEAR]') THEN 'unclear' WHEN {trim('y')} = '' THEN 'empty' WHEN length(y) > length(x) + 1 THEN 'too_long' WHEN len(list_filter(list_distinct(string_split(x, '')), lambda k: k <> '' AND NOT contains('{T.WILDCARDS}', k) AND NOT regexp_matches(k, '[{T.SPACE}]') "
+       "AND length(x) - length(replace(x, k, '')) > length(y) - length(replace(y, k, '')))) > 0 THEN 'lost_chars' WHEN len(list_filter(range(1), lambda k: levenshtein(x, y) > greatest(2, length(x) // 3))) > 0 THEN 'too_many_edits' ELSE 'ok' END AS verdict FROM o")
+def corrections_checked(s, d):
+    """Each contents title held against its book's title as if that were its correction."""
+    titles = table(s, d, "toc_entries").select("entry_id", "book_id", "title").distinct().where("title is not null")
+    met = titles.join(_books(s, d).where("title is not null").select("book_id", F.col("title").alias("new")), "book_id")
+    return met.select("entry_id", review.check_correction(F.col("title"), F.col("new")).alias("verdict"))
+
+
+@query(f"WITH {L}, {IR}, k AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{'|'.join(images.KEYWORDS)}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) - CASE WHEN regexp_matches(line, '{'|'.join(images.KEYWORDS)}') THEN 1 ELSE 0 END AS near FROM l), "
+       f"f AS (SELECT DISTINCT ir.doc, ir.path FROM ir JOIN k ON k.doc = ir.doc AND k.line_no = ir.line_no WHERE near > 0) SELECT DISTINCT ir.doc, ir.path FROM ir WHERE refs >= {images.REPEATS} AND NOT EXISTS (SELECT 1 FROM f WHERE f.doc = ir.doc AND f.path = ir.path)")
+def decorative_images(s, d):
+    """Repeated images but functional ones. The tables hold no image files, so equal paths stand for equal hashes and there are no bars."""
+    lines = _lines(s, d)
+    refs = review.image_refs(lines)
+    functional = refs.join(images.near_keyword(lines), ["doc", "line_no"], "left_semi")
+    return images.decorations(refs.where(F.col("refs") >= images.REPEATS), refs.limit(0), functional)
+
+
+@query(f"WITH {B}, {C}, n AS (SELECT stem, max(loaded_at) AS t FROM c WHERE stem IS NOT NULL GROUP BY stem) SELECT b.book_id, coalesce(strftime(t, '%Y-%m-%d %H:%M:%S'), '') AS loaded FROM b LEFT JOIN n ON n.stem = b.stem")
+def library_times(s, d):
+    """Each book with the time of its newest text by stem, or the empty text."""
+    newest = _texts(s, d).where("stem is not null").groupBy("stem").agg(F.max("loaded_at").alias("t"))
+    return _books(s, d).join(newest, "stem", "left").select("book_id", F.coalesce(F.date_format("t", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("loaded"))
+
+
+@query(f"WITH {C} SELECT content_id, CASE WHEN length(book_md) < 1024 THEN length(book_md) || ' B' WHEN length(book_md) < 1048576 THEN printf('%.1f KB', length(book_md) / 1024.0) ELSE printf('%.1f MB', length(book_md) / 1048576.0) END AS size FROM c WHERE book_md IS NOT NULL")
+def text_sizes(s, d):
+    return _texts(s, d).where("book_md is not null").select("content_id", T.human_size(F.length("book_md")).alias("size"))
+
+
+@query(f"WITH {B} SELECT book_id, CASE WHEN length(pdf_hash) <> length(sha1(stem)) THEN 999 ELSE len(list_filter(range(1, length(pdf_hash) + 1), lambda i: pdf_hash[i] <> sha1(stem)[i])) END::INT AS distance FROM b WHERE pdf_hash IS NOT NULL AND stem IS NOT NULL")
+def hash_distances(s, d):
+    """How many places of a book's file hash differ from the hash of its stem."""
+    return _books(s, d).where("pdf_hash is not null and stem is not null").select("book_id", T.hamming(F.col("pdf_hash"), F.sha1("stem")).cast("int").alias("distance"))
+
+
+@query("""SELECT cfg_hash, dpi, sha1('{"cfg_hash":"' || cfg_hash || '","dpi":' || dpi || '}') AS key FROM page_cache WHERE cfg_hash IS NOT NULL AND dpi IS NOT NULL GROUP BY ALL""")
+def config_keys(s, d):
+    return table(s, d, "page_cache").where("cfg_hash is not null and dpi is not null").select("dpi", "cfg_hash").distinct().select("cfg_hash", "dpi", store.config_key("dpi", "cfg_hash").alias("key"))
+
+
+@query(f"WITH {B} SELECT book_id, 'data:image/jpeg;base64,' || to_base64(encode(title)) AS url FROM b WHERE title IS NOT NULL")
+def data_urls(s, d):
+    """Data URLs of bytes; the tables hold no image files, so the titles' bytes stand for them."""
+    return _books(s, d).where("title is not null").select("book_id", T.data_url(F.encode("title", "UTF-8"), F.lit("p.JPG")).alias("url"))
+
+
+@query("WITH k AS (SELECT pdf_hash, page_index, dpi, cfg_hash, cache_id, created_at FROM page_cache GROUP BY ALL) SELECT pdf_hash, page_index, dpi, cfg_hash, arg_max(cache_id, (created_at, cache_id)) AS cache_id FROM k GROUP BY ALL")
+def cache_upserted(s, d):
+    """The log written into an empty store in two steps: each key's first row, then each key's last row in its place."""
+    log = table(s, d, "page_cache").select(*store.KEY, "cache_id", "created_at").distinct()
+    first = log.groupBy(*store.KEY).agg(F.min_by("cache_id", F.struct("created_at", "cache_id")).alias("cache_id"))
+    return store.upsert(first, store.newest(log).select(*store.KEY, "cache_id"))
+
+
+# SQL that is built on other queries' SQL.
+SQL["chapter_contexts"] = rf"""WITH {L}, m AS (SELECT *, regexp_matches(line, '^\s*(?:# |:::)') AS stop FROM l), i AS (SELECT *, sum(CASE WHEN stop THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no) AS island FROM m),
+b AS (SELECT doc, island, line_no AS n, {trim('line')} AS t FROM i WHERE {trim('line')} <> '' AND NOT regexp_matches(line, '^\s*!\[') AND NOT stop)
+SELECT h.doc, h.line_no::INT AS line_no, left(coalesce(string_agg(t, chr(10) ORDER BY n), ''), 200) AS context FROM i h LEFT JOIN b ON b.doc = h.doc AND b.island = h.island WHERE regexp_matches(h.line, '^# \S') GROUP BY h.doc, h.line_no"""
+SQL["flagged_lines"] = f"""WITH {L}, f AS (SELECT doc, line_no, 'title' AS kind FROM ({SQL['title_issues']}) UNION SELECT doc, line_no, 'low_confidence' FROM ({SQL['low_confidence_issues']}) UNION SELECT doc, start_line, 'paragraph' FROM ({SQL['short_line_clusters']})),
+g AS (SELECT doc, line_no, list_sort(list(kind)) AS issues FROM f GROUP BY ALL) SELECT l.doc, l.line_no::INT AS line_no, l.line, coalesce(g.issues, []::VARCHAR[]) AS issues FROM l LEFT JOIN g ON g.doc = l.doc AND g.line_no = l.line_no"""
+SQL["review_images"] = f"""WITH pg AS ({SQL['page_of_lines']}), x AS (SELECT doc, line_no, 0 AS rank FROM ({SQL['low_confidence_issues']}) UNION ALL SELECT doc, line_no, 1 FROM ({SQL['title_issues']}) WHERE issue <> 'normal'),
+y AS (SELECT x.doc, page_index, min((rank, x.line_no)) AS place FROM x JOIN pg ON pg.doc = x.doc AND pg.line_no = x.line_no WHERE page_index IS NOT NULL GROUP BY ALL)
+SELECT doc, page_index, row_number() OVER (PARTITION BY doc ORDER BY place, page_index)::INT AS n FROM y QUALIFY n <= 5"""
+SQL["toc_sections"] = rf"""WITH {L}, m AS (SELECT *, regexp_matches(line, '^### .*(?:CONTENTS|目录)') AS opens, regexp_matches(line, '^# ') OR starts_with(line, '::: {{.chapter}}') AS closes FROM l),
+st AS (SELECT *, last_value(CASE WHEN opens THEN true WHEN closes THEN false END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS inside FROM m)
+SELECT doc, line_no::INT AS line_no, {trim(r"regexp_replace(line, '(?:[…\.·]{{2,}}|[/／])\s*\d.*$', '')".replace('{{', '{').replace('}}', '}'))} AS entry FROM st WHERE inside AND NOT opens AND {trim('line')} <> '' AND NOT ({" OR ".join(f"starts_with({trim('line')}, '{x}')" for x in review.NON_BODY)})"""
+
+#: Modules: depth of open divs at each line, the line that closes each, and the blocks between marks.
+_MD = rf"""{C}, l0 AS (SELECT content_id AS doc, string_split(book_md, chr(10)) AS a FROM c WHERE book_md IS NOT NULL), l AS (SELECT doc, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS line_no FROM l0), m AS (SELECT *, regexp_matches(line, '^:::\s*\{{[^}}]+\}}') AS o, regexp_matches(line, '^:::\s*$') AS c, regexp_matches(line, '^\s*$') AS blank FROM l),
+s AS (SELECT *, sum(CASE WHEN o THEN 1 WHEN c THEN -1 ELSE 0 END) OVER w AS run, sum(CASE WHEN o OR c OR blank THEN 1 ELSE 0 END) OVER w AS marks FROM m WINDOW w AS (PARTITION BY doc ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+d AS (SELECT *, run - least(0, min(run) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS depth FROM s),
+od AS (SELECT a.doc, a.line_no, a.depth, any_value(list_transform(list_filter(regexp_split_to_array(regexp_extract(a.line, '^:::\s*\{{([^}}]+)\}}', 1), '\s+'), lambda k: starts_with(k, '.')), lambda k: regexp_replace(k, '^[.]+', ''))) AS classes, min(b.line_no) AS closed FROM d a LEFT JOIN d b ON b.doc = a.doc AND b.line_no > a.line_no AND b.depth < a.depth WHERE a.o GROUP BY a.doc, a.line_no, a.depth),
+bl AS (SELECT doc, marks, min(line_no) AS n, string_agg(line, chr(10) ORDER BY line_no) AS content, min_by(line, line_no) AS first FROM d WHERE NOT (o OR c OR blank) GROUP BY doc, marks),
+cl AS (SELECT bl.doc, bl.n, flatten(list(classes ORDER BY depth)) AS classes FROM bl JOIN od ON od.doc = bl.doc AND od.line_no < bl.n AND (closed IS NULL OR closed > bl.n) WHERE NOT list_contains(classes, 'chapter') GROUP BY bl.doc, bl.n),
+h AS (SELECT bl.doc, row_number() OVER (PARTITION BY bl.doc ORDER BY bl.n) - 1 AS position, content, first, coalesce(classes, []::VARCHAR[]) AS layout_classes, regexp_extract(first, '^(#{{1,4}})\s+(.+?)(?:\s*\{{#([^}}]+)\}})?\s*$', 1) AS hash, regexp_extract(first, '^(#{{1,4}})\s+(.+?)(?:\s*\{{#([^}}]+)\}})?\s*$', 2) AS title, nullif(regexp_extract(first, '^(#{{1,4}})\s+(.+?)(?:\s*\{{#([^}}]+)\}})?\s*$', 3), '') AS heading_id,
+regexp_extract(first, '^!\[.*?\]\((.+?)\)', 1) AS image FROM bl LEFT JOIN cl ON cl.doc = bl.doc AND cl.n = bl.n),
+k AS (SELECT *, CASE WHEN hash <> '' THEN 'chapter' WHEN image <> '' THEN CASE WHEN contains(image, 'pages/') OR starts_with(image, 'pages') THEN 'cover' ELSE 'image' END WHEN regexp_matches(first, '^---+\s*$') THEN 'divider' WHEN starts_with(first, '>') THEN 'quote' WHEN list_contains(layout_classes, 'toc-list') THEN 'toc' WHEN list_contains(layout_classes, 'dialogue') THEN 'dialogue' ELSE 'paragraph' END AS type FROM h),
+mods AS (SELECT doc, position::INT AS position, type, content, layout_classes, CASE WHEN type IN ('chapter', 'quote', 'dialogue', 'paragraph') THEN length(regexp_replace(CASE WHEN type = 'chapter' THEN title ELSE content END, '[#>*\-\[\]!()' || chr(123) || chr(125) || '=|`~{T.SPACE}]', '', 'g')) ELSE 0 END::INT AS word_count, nullif(length(hash), 0)::INT AS heading_level, heading_id FROM k)"""
+SQL["editor_modules"] = f"WITH {_MD} SELECT * FROM mods"
+SQL["module_words"] = f"WITH {_MD} SELECT doc, sum(word_count)::BIGINT AS words, count(*) AS modules FROM mods GROUP BY doc"
+SQL["modules_written"] = rf"""WITH {_MD}, q AS (SELECT *, coalesce(heading_level = 1, false) AS h1, list_filter(layout_classes, lambda x, i: x <> 'chapter' AND list_position(layout_classes, x) = i) AS cs FROM mods),
+r AS (SELECT *, coalesce(max(h1) OVER (PARTITION BY doc ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS open FROM q),
+t AS (SELECT doc, position, h1, CASE WHEN h1 AND open THEN ':::' || chr(10) || chr(10) ELSE '' END || CASE WHEN h1 THEN '::: {{.chapter}}' || chr(10) || chr(10) ELSE '' END || CASE WHEN h1 OR len(cs) = 0 THEN trim(content) ELSE '::: {{' || array_to_string(list_transform(cs, lambda x: '.' || x), ' ') || '}}' || chr(10) || chr(10) || trim(content) || chr(10) || chr(10) || ':::' END || chr(10) || chr(10) AS piece FROM r)
+SELECT doc, trim(regexp_replace(regexp_replace(string_agg(piece, '' ORDER BY position) || CASE WHEN max(h1) THEN ':::' ELSE '' END, '\n{{3,}}', chr(10) || chr(10), 'g'), '\s+$', '')) || chr(10) AS book_md FROM t GROUP BY doc"""
