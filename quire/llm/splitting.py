@@ -10,8 +10,10 @@ of the piece before, which count towards its length.
 Lengths are code points. Joining the pieces without their overlaps gives the
 text back. Defined results: a null text gives no piece; the empty text and any
 text within the limit one piece; a language without limit (or null) is not
-split; a text without any boundary is cut at the limit, but never between CR
-and LF or before a combining mark if another position is near; an overlap of
+split; a text without any boundary is cut at multiples of an eighth of the
+limit, but never between CR and LF or before a combining mark if another
+position is near; clause and word ends are candidates where stronger boundaries
+lie more than an eighth of the limit apart; an overlap of
 half the limit or more is an error. Equal rows give equal rows.
 """
 
