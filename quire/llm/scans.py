@@ -862,7 +862,7 @@ class Noise:
         """
         e = self.elements.where("text is not null").where(F.col("type").isin(*TEXT_TYPES)).dropDuplicates(["elem_id"]).select("elem_id", "book_id", "page_index", "list_pos", "type", "text")
         plain = lambda c: F.when(F.col("wrong").rlike("^L.{3}$") & F.col("true").rlike("^L"), F.substring(c, 2, 3)).otherwise(F.col(c))
-        fixes = self.corrections().where("true is not null").select("elem_id", plain("wrong").alias("wrong"), plain("true").alias("true"))
+        fixes = self.corrections().where(F.col("true").isNotNull()).select("elem_id", plain("wrong").alias("wrong"), plain("true").alias("true"))
         fixes = fixes.groupBy("elem_id", "wrong").agg(F.max("true").alias("true")).groupBy("elem_id").agg(F.map_from_entries(F.collect_list(F.struct("wrong", "true"))).alias("fixes"))
         cut_words = cuts(self.events, self.good).groupBy("elem_id").agg(F.collect_set(F.struct("half", "rest")).alias("cut_words"))
         heads = self.inner.groupBy("elem_id").agg(F.max("end").alias("end"))

@@ -54,6 +54,19 @@ def test_kinds(spark):
     assert text[90_006] == "The weaver carried the bridge across." and text[90_007] == "The weaver carried the bridge." and text[90_009] == "the quiet gardens remembered the stone." and 90_010 not in text
 
 
+def test_signs_without_original_stay(spark):
+    """A word with a sign and no link is reported; its text stays as it is."""
+
+    def x(i, text):
+        return (90_000 + i, "b0", 1, 900 + i, "text", (100.0, 600.0, 900.0, 650.0), text, None, "clash")
+
+    noise = S.Noise(make(spark, [x(1, "鼎■鼐是旧物"), x(2, "the archivc carried the lantern across the Zyq□vxk")], books=6))
+    found = {(r.elem_id, r.kind) for r in noise.found().collect()}
+    assert {(90_001, "misread"), (90_002, "misread")} <= found
+    text = {r.elem_id: r.paragraph for r in noise.paragraphs().collect()}
+    assert text[90_001] == "鼎■鼐是旧物" and text[90_002] == "the archive carried the lantern across the Zyq□vxk"
+
+
 def test_empty_table(spark):
     noise = S.Noise(make(spark, [], books=0).limit(0))
     assert noise.found().count() == 0 and noise.paragraphs().count() == 0
