@@ -441,9 +441,16 @@ def head_key(line: str) -> str:
     return _NOT_KEY.sub("", line.lower()).translate(_KEY)
 
 
-def damage(key: str) -> int:
-    """How many signs of a head may differ."""
-    return max(1, min(3, len(key) // 6)) if len(key) >= 4 else 0
+def damage(size: int) -> int:
+    """How many signs of a head of so many may differ."""
+    return max(1, min(3, size // 6)) if size >= 4 else 0
+
+
+def pieces_of(size: int) -> list[tuple[int, int]]:
+    """Where the pieces of a head of so many signs begin and end: one more than signs may differ, so that one is whole."""
+    n = damage(size) + 1
+    ends = [size * i // n for i in range(n + 1)]
+    return list(zip(ends, ends[1:]))
 
 
 def _near(a: str, b: str, most: int) -> bool:
@@ -461,41 +468,73 @@ def _near(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
-class Heads:
-    """The heads of one book, found at the beginning of texts.
+class Shapes:
+    """Where pieces of one book's heads can stand at the beginning of a text, from the heads' lengths.
 
     Of a head with at most d damaged signs one of d + 1 pieces is whole and stands
     at most d signs from its place; texts without such a piece are done at once.
     """
 
+    def __init__(self, sizes: set[int]):
+        self.sizes = sizes
+        self.by_size = {n: {(lo, hi, lo + shift) for lo, hi in pieces_of(n) for shift in range(-damage(n), damage(n) + 1) if lo + shift >= 0} for n in sizes}
+        self.shapes = {(at, hi - lo) for places in self.by_size.values() for lo, hi, at in places}
+        self.start = re.compile(rf"(?:[^\w{RUBBISH}]*[\w{RUBBISH}]){{0,{max(sizes, default=0) + 20}}}\S*\s*")
+
+    def ends(self, text: str, begin: str) -> Iterator[tuple[str, int]]:
+        """What stands before each white space that a new sentence follows, as a key, and where that white space ends."""
+        for m in re.finditer(r"\s+", begin):
+            rest = text[m.end() : m.end() + 1]
+            if rest and not (rest.islower() and "\n" not in m.group(0)):
+                yield head_key(begin[: m.start()]), m.end()
+
+    def asked(self, text: str, book: str, known: bytes) -> set[tuple[int, int, str, str, int]]:
+        """(size, lo, piece, own, end): beginnings of the text with a piece that a head of the book may have there, as the filter knows."""
+        begin, seed, mask = self.start.match(text).group(0), zlib.crc32(book.encode()), len(known) * 8 - 1
+
+        def has(piece: str) -> bool:
+            x, y = _bits(piece, seed, mask)
+            return bool(known[x >> 3] >> (x & 7) & 1 and known[y >> 3] >> (y & 7) & 1)
+
+        whole = head_key(begin)
+        if not any(has(whole[at : at + size]) for at, size in self.shapes if at + size <= len(whole)):
+            return set()
+        out = set()
+        for own, end in self.ends(text, begin):
+            for n in range(max(0, len(own) - 3), len(own) + 4):  # damage() is 3 at most
+                if n in self.sizes and abs(n - len(own)) <= damage(n):
+                    out.update((n, lo, own[at : at + hi - lo], own, end) for lo, hi, at in self.by_size[n] if at + hi - lo <= len(own) and has(own[at : at + hi - lo]))
+        return out
+
+
+def _bits(piece: str, seed: int, mask: int) -> tuple[int, int]:
+    """The two bits of a piece of a head in the filter."""
+    h = zlib.crc32(piece.encode(), seed)
+    return h & mask, (h * 0x9E3779B1 >> 32) & mask
+
+
+class Heads(Shapes):
+    """The heads of one book, found at the beginning of texts."""
+
     def __init__(self, keys: list[str]):
+        super().__init__({len(key) for key in keys})
         self.pieces: dict[str, set[tuple[int, str]]] = {}
-        self.shapes: set[tuple[int, int]] = set()
-        self.longest = max(map(len, keys), default=0)
         for key in keys:
-            d = damage(key)
-            ends = [len(key) * i // (d + 1) for i in range(d + 2)]
-            for lo, hi in zip(ends, ends[1:]):
+            for lo, hi in pieces_of(len(key)):
                 self.pieces.setdefault(key[lo:hi], set()).add((lo, key))
-                self.shapes |= {(lo + shift, hi - lo) for shift in range(-d, d + 1) if lo + shift >= 0}
-        self.start = re.compile(rf"(?:[^\w{RUBBISH}]*[\w{RUBBISH}]){{0,{self.longest + 20}}}\S*\s*")
 
     def find(self, text: str) -> tuple[str, int] | None:
         """The longest head the text begins with, and where it ends: at white space before a new sentence, small damage allowed."""
         begin = self.start.match(text).group(0)
         whole = head_key(begin)
-        near = {key for lo, size in self.shapes for at, key in self.pieces.get(whole[lo : lo + size], ()) if abs(at - lo) <= damage(key)}
+        near = {key for lo, size in self.shapes for at, key in self.pieces.get(whole[lo : lo + size], ()) if abs(at - lo) <= damage(len(key))}
         if not near:
             return None
         best: tuple[str, int] | None = None
-        for m in re.finditer(r"\s+", begin):
-            rest = text[m.end() : m.end() + 1]
-            if not rest or (rest.islower() and "\n" not in m.group(0)):
-                continue
-            own = head_key(begin[: m.start()])
+        for own, end in self.ends(text, begin):
             for key in near:
-                if (best is None or len(key) > len(best[0])) and (own == key or _near(own, key, damage(key))):
-                    best = key, m.end()
+                if (best is None or len(key) > len(best[0])) and (own == key or _near(own, key, damage(len(key)))):
+                    best = key, end
         return best
 
 
@@ -690,6 +729,21 @@ def cuts(events: DataFrame, good: DataFrame) -> DataFrame:
     return decided(found, good).select("elem_id", "half", "rest").distinct()
 
 
+def next_open(ends: DataFrame, opens: DataFrame) -> DataFrame:
+    """(elem_id, half, mark, newline, x): each end with the first of its book's openings on a later page.
+
+    All pages after one lie in at most 32 aligned blocks of 1, 2, 4 ... pages,
+    each the right half of a larger one; ends meet the first opening of each
+    block by an equi-join, never all openings of the book.
+    """
+    blocks = "explode(filter(transform(sequence(0, 31), k -> struct(k as k, shiftright({0} + 2147483648L, k) + {1} as at)), s -> s.at % 2 = 1)) as s"
+    first = opens.where("p is not null").groupBy("b", "p").agg(F.min(F.struct("l", "next_id", "rest")).alias("x")).selectExpr("b", "struct(p, x.l, x.next_id, x.rest) as x", blocks.format("p", 0))
+    first = first.groupBy("b", "s.k", "s.at").agg(F.min("x").alias("x"))
+    asked = ends.selectExpr("elem_id", "half", "mark", "newline", "book_id as b", "page_index", blocks.format("page_index", 1)).select("*", "s.k", "s.at")
+    met = asked.join(first, ["b", "k", "at"])
+    return met.groupBy("elem_id", "half", "mark", "newline").agg(F.min(F.struct((F.col("x.p").cast("bigint") - F.col("page_index")).alias("step"), "x.l", "x.next_id", "x.rest")).alias("x"))
+
+
 def divided(events: DataFrame, good: DataFrame) -> DataFrame:
     """(elem_id, next_id, word): words cut at an element's end and the element that begins with the rest.
 
@@ -702,8 +756,7 @@ def divided(events: DataFrame, good: DataFrame) -> DataFrame:
     reach = ends.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("at", F.col("page_index") + F.col("step"))
     met = reach.join(opens, (F.col("book_id") == F.col("b")) & (F.col("at") == F.col("p")) & ((F.col("step") > 0) | (F.col("l") > F.col("list_pos"))))
     met = cut(met.select("elem_id", "next_id", "step", "l", "half", "mark", "rest", "newline"))
-    far = ends.join(met.select("elem_id").distinct(), "elem_id", "left_anti").join(opens, (F.col("book_id") == F.col("b")) & (F.col("p") > F.col("page_index")))
-    far = far.groupBy("elem_id", "half", "mark", "newline").agg(F.min(F.struct((F.col("p") - F.col("page_index")).alias("step"), "l", "next_id", "rest")).alias("x"))
+    far = next_open(ends.join(met.select("elem_id").distinct(), "elem_id", "left_anti"), opens)
     met = met.unionByName(far.select("elem_id", "x.next_id", "x.step", "x.l", "half", "mark", "x.rest", "newline"))
     return decided(met, good).groupBy("elem_id").agg(F.min_by(F.struct("next_id", "half", "rest"), F.struct("step", "l", "next_id")).alias("x")).select("elem_id", "x.next_id", F.concat("x.half", "x.rest").alias("word"))
 
@@ -736,24 +789,61 @@ def edge_heads(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 #: Most characters of heads that are broadcast; more are joined by a shuffle.
 BROADCAST_HEADS = 16_000_000
+#: Most characters of one book's heads that go with its texts; of a book with more, the beginnings that may be heads go to the heads.
+CARRIED = 2000
+#: Most bits of the filter over pieces of such books' heads (it only saves rows of the join that decides).
+FILTER_BITS = 1 << 27
+
+
+def head_filter(large: DataFrame, n: int) -> tuple[DataFrame, bytes]:
+    """Pieces (book_id, size, lo, piece, key) of the ``n`` heads, and the filter of (book_id, piece)."""
+    bits = min(FILTER_BITS, 1 << max(15, (256 * n).bit_length()))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for book, key in zip(frame["book_id"], frame["key"]):
+                seed = zlib.crc32(book.encode())
+                out.extend((book, len(key), lo, key[lo:hi], key, list(_bits(key[lo:hi], seed, bits - 1))) for lo, hi in pieces_of(len(key)))
+            yield pd.DataFrame(out, columns=["book_id", "size", "lo", "piece", "key", "at"])
+
+    pieces = cut(large.mapInPandas(run, "book_id string, size int, lo int, piece string, key string, at array<bigint>"))
+    parts = pieces.select(F.explode("at").alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits"))
+    known = bytearray(bits // 8)
+    for r in parts.collect():
+        known[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
+    return pieces.drop("at"), bytes(known)
 
 
 def inner_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """(elem_id, end): texts away from the page edge that begin with one of their book's heads, and where that ends.
 
     ``rows`` as :func:`placed` gives them. The texts stay where they are read;
-    the heads of each book come to them.
+    the heads of each book come to them. The heads of a book grow with it, and
+    texts times heads with its square; so to the texts of a book with many
+    heads come only their lengths and a filter of their pieces, and the few
+    beginnings that pass it meet the heads by an equi-join.
     """
-    by_book = cut(heads.groupBy("book_id").agg(F.sort_array(F.collect_set("key")).alias("keys")))
-    size = by_book.agg(F.sum(F.aggregate("keys", F.lit(0), lambda n, k: n + F.length(k)))).first()[0] or 0
-    if size <= BROADCAST_HEADS:
+    large = cut(heads.groupBy("book_id").agg(F.count("*").alias("n"), F.sum(F.length("key")).alias("signs"), F.collect_set(F.length("key")).alias("sizes")))
+    many = F.col("signs") > CARRIED
+    size, n = large.agg(F.sum(F.when(many, 8 * F.size("sizes")).otherwise(F.col("signs"))), F.sum(F.when(many, F.col("n")))).first()
+    few = heads.join(large.where(~many).select("book_id"), "book_id", "left_semi").groupBy("book_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    by_book = few.withColumn("sizes", F.lit(None).cast("array<int>"))
+    known = b""
+    if n:
+        by_book = by_book.unionByName(large.where(many).select("book_id", F.lit(None).cast("array<string>").alias("keys"), "sizes"))
+        pieces, known = head_filter(heads.join(large.where(many).select("book_id"), "book_id", "left_semi").select("book_id", "key"), n)
+    by_book = cut(by_book)
+    if (size or 0) <= BROADCAST_HEADS:
         by_book = F.broadcast(by_book)
     body = rows.where(~F.coalesce(F.col("type"), F.lit("")).isin("table", "formula", "image", "paragraph_title", "doc_title") & F.col("text").rlike(r"\s"))
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+    names = ["elem_id", "end", "book_id", "size", "lo", "piece", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books: dict[str, Heads] = {}
+        books: dict[str, Shapes] = {}
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             book_ids = batch.column(1).to_pylist()
             for i, (elem, book, text, top, bottom) in enumerate(zip(batch.column(0).to_pylist(), book_ids, *(batch.column(k).to_pylist() for k in (2, 3, 4)))):
                 if edge_of(top, bottom):
@@ -761,16 +851,32 @@ def inner_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
                 if book not in books:
                     if len(books) > 2000:
                         books.clear()
-                    books[book] = Heads(batch.column(5)[i].as_py())
+                    keys = batch.column(5)[i].as_py()
+                    books[book] = Heads(keys) if keys is not None else Shapes(set(batch.column(6)[i].as_py()))
                 at = len(text) - len(text.lstrip())
                 first, newline, _ = text[at:].partition("\n")
                 if newline and _WHOLE_NUMBER.fullmatch(consistent(first.rstrip("\r")) or ""):
                     at += len(first) + 1
-                if found := books[book].find(text[at:]):
-                    out.append((elem, at + found[1]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int32())], names=["elem_id", "end"])
+                if not isinstance(here := books[book], Heads):
+                    out.extend((elem, at + end, book, n, lo, piece, own) for n, lo, piece, own, end in here.asked(text[at:], book, known))
+                elif found := here.find(text[at:]):
+                    out.append((elem, at + found[1], None, None, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(list(zip(*out)) or [()] * len(kinds), kinds)], names=names)
+
+    seen = body.join(by_book, "book_id").select("elem_id", "book_id", "text", "top", "bottom", "keys", "sizes")
+    seen = seen.mapInArrow(run, "elem_id bigint, end int, book_id string, size int, lo int, piece string, own string")
+    if not n:
+        return seen.select("elem_id", "end")
+    seen = cut(seen)
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keep = [own == key or _near(own, key, damage(len(key))) for own, key in zip(frame["own"], frame["key"])]
+            yield frame.loc[keep, ["elem_id", "size", "end"]]
 
-    return body.join(by_book, "book_id").select("elem_id", "book_id", "text", "top", "bottom", "keys").mapInArrow(run, "elem_id bigint, end int")
+    met = seen.where(F.col("piece").isNotNull()).join(pieces, ["book_id", "size", "lo", "piece"]).select("elem_id", "size", "end", "own", "key")
+    longest = met.mapInPandas(check, "elem_id bigint, size int, end int").groupBy("elem_id").agg(F.max_by("end", F.struct("size", -F.col("end"))).alias("end"))
+    return seen.where(F.col("piece").isNull()).select("elem_id", "end").unionByName(longest)
 
 
 def page_numbers(events: DataFrame) -> DataFrame:

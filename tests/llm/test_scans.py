@@ -143,6 +143,44 @@ def test_damaged_heads_inside_texts(spark):
         assert (found[1] if found else None) == end, text
 
 
+def test_texts_of_a_book_with_many_heads_do_not_carry_them(spark, monkeypatch):
+    """The same rows whether heads go with the texts or the texts to the heads, and few characters beside any text."""
+    rng = random.Random(3)
+    nouns = "沧浪县志长编药铺竹林方志金色白塔渡口斑驳城门高大盐田书院厚重学徒"
+    names = [f"第{i}章{''.join(rng.sample(nouns, rng.randint(2, 9)))}" for i in range(400)]
+    names += [f"Chapter {i} The {rng.choice(WORDS).title()} of the {rng.choice(WORDS).title()}" for i in range(200)] + ["水车"]
+    heads = spark.createDataFrame([("b0", k) for k in sorted({S.head_key(x) for x in names})] + [("b1", S.head_key("A Long History"))], "book_id string, key string")
+    texts = []
+    for i in range(600):
+        name = list(rng.choice(names))
+        for _ in range(rng.choice((0, 1, 1, 2, 4))):
+            name[rng.randrange(len(name))] = rng.choice("□c甲")
+        texts.append((i, "b0", "text", rng.choice(("", "\u3000\u3000", "12\n")) + "".join(name) + rng.choice(("\n", " ", "  7\n", "")) + rng.choice(("正文开始 了。", "The weaver carried.", "the weaver")), None, None))
+    texts += [(1000, "b1", "text", "A Long History\nThe weaver", None, None), (1001, "b2", "text", "A Long History\nThe weaver", None, None), (None, None, "text", "水车\n正文", None, None), (1002, "b0", "text", "水车\n正文", 0.01, 0.02)]
+    rows = spark.createDataFrame(texts, "elem_id bigint, book_id string, type string, text string, top double, bottom double").repartition(4)
+    frames, real = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, *a, **k: frames.append(self) or real(self, *a, **k))
+    got = {(r.elem_id, r.end) for r in S.inner_heads(rows, heads).collect()}
+    carried = [f.selectExpr("max(aggregate(keys, 0, (n, k) -> n + length(k))) as n").first()[0] for f in frames if "keys" in f.columns]
+    assert carried and max(carried) <= S.CARRIED
+    monkeypatch.setattr(S, "CARRIED", 10**9)
+    assert len(got) > 300 and (1000, 15) in got and got == {(r.elem_id, r.end) for r in S.inner_heads(rows, heads).collect()}
+
+
+def test_next_open_in_blocks(spark):
+    rng = random.Random(2)
+    opens = [(i, rng.choice("ab"), p, rng.choice((None, 1, 2)), "rest") for i, p in enumerate([*rng.sample(range(5000), 60), -7, 2**31 - 1, None])]
+    ends = [(1000 + i, rng.choice("abc"), p, 0, "half", "-", 1) for i, p in enumerate([*rng.sample(range(-20, 5200), 80), 2**31 - 2, 2**31 - 1, -(2**31), None])]
+    got = S.next_open(
+        spark.createDataFrame(ends, "elem_id bigint, book_id string, page_index int, list_pos int, half string, mark string, newline bigint"), spark.createDataFrame(opens, "next_id bigint, b string, p int, l int, rest string")
+    )
+    want = {}
+    for e, book, page, *_ in ends:
+        if later := [(p - page, -1 if pos is None else pos, i) for i, b, p, pos, _ in opens if b == book and None not in (p, page) and p > page]:
+            want[e] = min(later)
+    assert {r.elem_id: (r.x.step, -1 if r.x.l is None else r.x.l, r.x.next_id) for r in got.collect()} == want
+
+
 def test_far_rest_and_long_lines(spark):
     def x(i, text, p, kind="text"):
         return (90_000 + i, "b0", p, 900 + i, kind, (100.0, 600.0, 900.0, 650.0), text, None, "clash")
