@@ -960,37 +960,53 @@ class Noise:
             out = part if out is None else out.unionByName(part)
         return out.distinct()
 
+    def notes(self) -> DataFrame:
+        """(elem_id, fixes, cut_words, end, number, gone): what the repair does with each element that has noise."""
+        plain = lambda c: F.when(F.col("wrong").rlike("^L.{3}$") & F.col("true").rlike("^L"), F.substring(c, 2, 3)).otherwise(F.col(c))
+        fixes = self.corrections().where(F.col("true").isNotNull()).select("elem_id", plain("wrong").alias("wrong"), plain("true").alias("true"))
+        parts = [
+            fixes.groupBy("elem_id", "wrong").agg(F.max("true").alias("true")).select("elem_id", F.struct("wrong", "true").alias("fix")),
+            cut(cuts(self.events, self.good)).select("elem_id", F.struct("half", "rest").alias("cut_word")),
+            self.inner.select("elem_id", "end"), cut(page_numbers(self.events)).withColumn("number", F.lit(True)),
+            self.events.where("event = 'number' and word = 'edge'").select("elem_id", F.lit(True).alias("whole")), self.edge.withColumn("edge", F.lit(True)),
+        ]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part, allowMissingColumns=True)
+        some = lambda c: F.coalesce(F.max(c), F.lit(False))
+        gone = (some("edge") | (some("number") & some("whole"))).alias("gone")
+        return cut(out.groupBy("elem_id").agg(F.sort_array(F.collect_set("fix")).alias("fixes"), F.collect_set("cut_word").alias("cut_words"), F.max("end").alias("end"), some("number").alias("number"), gone))
+
     def paragraphs(self) -> DataFrame:
         """Rows of :data:`PARAGRAPH_SCHEMA`: repaired text per book in reading order, furniture left out.
 
         A word divided between two elements joins them into one paragraph, at
         the place of the first. Repeated rows of one elem_id give one paragraph.
+        All small tables are written before, so that the texts are moved and
+        repaired once.
         """
-        e = self.elements.where("text is not null").where(F.col("type").isin(*TEXT_TYPES)).dropDuplicates(["elem_id"]).select("elem_id", "book_id", "page_index", "list_pos", "type", "text")
-        plain = lambda c: F.when(F.col("wrong").rlike("^L.{3}$") & F.col("true").rlike("^L"), F.substring(c, 2, 3)).otherwise(F.col(c))
-        fixes = self.corrections().where(F.col("true").isNotNull()).select("elem_id", plain("wrong").alias("wrong"), plain("true").alias("true"))
-        fixes = fixes.groupBy("elem_id", "wrong").agg(F.max("true").alias("true")).groupBy("elem_id").agg(F.map_from_entries(F.collect_list(F.struct("wrong", "true"))).alias("fixes"))
-        cut_words = cuts(self.events, self.good).groupBy("elem_id").agg(F.collect_set(F.struct("half", "rest")).alias("cut_words"))
-        heads = self.inner.groupBy("elem_id").agg(F.max("end").alias("end"))
-        numbers = page_numbers(self.events).withColumn("number", F.lit(True))
-        whole = self.events.where("event = 'number' and word = 'edge'").select("elem_id").distinct()
-        rows = e.join(self.edge.unionByName(numbers.select("elem_id").join(whole, "elem_id", "left_semi")), "elem_id", "left_anti")
-        rows = rows.join(heads, "elem_id", "left").join(numbers, "elem_id", "left").join(fixes, "elem_id", "left").join(cut_words, "elem_id", "left")
-        rows = rows.select("elem_id", "book_id", "page_index", "list_pos", "type", "text", F.coalesce("end", F.lit(0)).alias("end"), F.coalesce("number", F.lit(False)).alias("number"), "fixes", "cut_words")
+        e = self.elements.where("text is not null").where(F.col("type").isin(*TEXT_TYPES)).select("elem_id", "book_id", "page_index", "list_pos", "type", "text")
+        notes = self.notes()
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 frame["paragraph"] = [
-                    repair(t, dict(f) if f is not None else {}, int(h), n, {(x["half"], x["rest"]) for x in c} if c is not None else set())
+                    repair(t, {x["wrong"]: x["true"] for x in f} if f is not None else {}, int(h), n, {(x["half"], x["rest"]) for x in c} if c is not None else set())
                     for t, h, n, f, c in zip(frame["text"], frame["end"], frame["number"], frame["fixes"], frame["cut_words"])
                 ]
-                yield frame[["book_id", "page_index", "list_pos", "elem_id", "type", "paragraph"]]
-
-        fixed = rows.mapInPandas(run, PARAGRAPH_SCHEMA).where("paragraph <> ''")
-        pairs = divided(self.events, self.good).select("elem_id", "next_id")
-        pairs = pairs.groupBy("next_id").agg(F.min("elem_id").alias("elem_id"))
-        roots = pairs.join(pairs.select(F.col("next_id").alias("elem_id")), "elem_id", "left_anti")
-        rest = fixed.select(F.col("elem_id").alias("next_id"), F.col("paragraph").alias("rest")).join(roots, "next_id")
-        joined = fixed.join(rest.select("elem_id", "rest"), "elem_id", "left").join(rest.select(F.col("next_id").alias("elem_id")), "elem_id", "left_anti")
+                yield frame[["book_id", "page_index", "list_pos", "elem_id", "type", "paragraph", "rest"]]
+
+        def repaired(rows: DataFrame, rests: DataFrame) -> DataFrame:
+            noted = rows.dropDuplicates(["elem_id"]).join(notes, "elem_id", "left").where(~F.coalesce("gone", F.lit(False))).join(rests, "elem_id", "left")
+            noted = noted.where(~F.coalesce("joined", F.lit(False))).withColumns({"end": F.coalesce("end", F.lit(0)), "number": F.coalesce("number", F.lit(False))})
+            return noted.select("elem_id", "book_id", "page_index", "list_pos", "type", "text", "end", "number", "fixes", "cut_words", "rest").mapInPandas(run, PARAGRAPH_SCHEMA + ", rest string").where("paragraph <> ''")
+
+        pairs = cut(divided(self.events, self.good).groupBy("next_id").agg(F.min("elem_id").alias("elem_id")))
+        roots = cut(pairs.join(pairs.select(F.col("next_id").alias("elem_id")), "elem_id", "left_anti"))
+        ends = roots.select("elem_id").union(roots.select("next_id")).distinct()
+        none = e.sparkSession.createDataFrame([], "elem_id bigint, rest string, joined boolean")
+        texts = cut(repaired(e.join(ends, "elem_id", "left_semi"), none).select("elem_id", "paragraph"))
+        met = roots.join(texts.select("elem_id"), "elem_id", "left_semi").join(texts.select(F.col("elem_id").alias("next_id"), F.col("paragraph").alias("rest")), "next_id")  # both are there
+        rests = cut(met.select("elem_id", "rest", F.lit(False).alias("joined")).unionByName(met.select(F.col("next_id").alias("elem_id"), F.lit(None).cast("string").alias("rest"), F.lit(True).alias("joined"))))
         text = F.when(F.col("rest").isNull(), F.col("paragraph")).otherwise(F.concat(F.regexp_replace("paragraph", f"[{MARKS}]\\s*$", ""), F.col("rest")))
-        return joined.select("book_id", "page_index", "list_pos", "elem_id", "type", text.alias("paragraph"))
+        return repaired(e, rests).select("book_id", "page_index", "list_pos", "elem_id", "type", text.alias("paragraph"))
