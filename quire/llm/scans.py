@@ -892,11 +892,17 @@ def page_numbers(events: DataFrame) -> DataFrame:
     return joined.where((F.col("place") == "edge") | F.col("fits")).select("elem_id").distinct()
 
 
-def _correct_han(text: str, wrong: str, true: str) -> str:
-    """A misread ideograph between its two neighbours corrected; ``#`` stands for figures, ``^`` and ``$`` for the ends."""
+@lru_cache(maxsize=20_000)
+def _han_pattern(wrong: str) -> re.Pattern[str]:
+    """A misread ideograph between its two neighbours; ``#`` stands for figures, ``^`` and ``$`` for the ends."""
     ends = {"#": r"\d", "^": r"^", "$": r"$"}
     before, after = (ends.get(c) or f"[{re.escape(c + HAN_EDITS.get(c, ''))}]" for c in (wrong[0], wrong[2]))
-    return re.sub(rf"({before}\s*){re.escape(wrong[1])}(?=\s*{after})", lambda m: m.group(1) + true[1], text)
+    return re.compile(rf"({before}\s*){re.escape(wrong[1])}(?=\s*{after})")
+
+
+@lru_cache(maxsize=20_000)
+def _word_pattern(wrong: str) -> re.Pattern[str]:
+    return re.compile(rf"(?<![{_LETTERS}]){re.escape(wrong)}(?![{_LETTERS}])", re.I)
 
 
 def repair(text: str, fixes: dict[str, str], head: int, number: bool, cut_words: set[tuple[str, str]]) -> str:
@@ -910,15 +916,18 @@ def repair(text: str, fixes: dict[str, str], head: int, number: bool, cut_words:
             elif len(lines) > 1 and _WHOLE_NUMBER.fullmatch(consistent(lines[0]) or ""):
                 text = "\n".join(lines[1:])
         text = _LAST_NUMBER.sub("", _SPACE_NUMBER.sub("", _FIRST_NUMBER.sub("", text, count=1)))
-    text = _CUT.sub(lambda m: m.group(1) + m.group(3) if (consistent(m.group(1)), consistent(m.group(3))) in cut_words else m.group(0).replace("\n", ""), text)
+    if _MARK.search(text):
+        text = _CUT.sub(lambda m: m.group(1) + m.group(3) if (consistent(m.group(1)), consistent(m.group(3))) in cut_words else m.group(0).replace("\n", ""), text)
     text = consistent(text) or ""
     for wrong, true in fixes.items():
         if len(wrong) == 3 and _HAN.search(wrong):
-            text = _correct_han(text, wrong, true)
+            text = _han_pattern(wrong).sub(lambda m: m.group(1) + true[1], text)
         else:
-            text = re.sub(rf"(?<![{_LETTERS}]){re.escape(wrong)}(?![{_LETTERS}])", lambda m: true.capitalize() if m.group(0)[0].isupper() else true, text, flags=re.I)
-    text = re.sub(r"(?<=[一-鿿，。；：！？、“”])[ \t]*\r?\n[ \t]*(?=[一-鿿，。；：！？、“”])", "", text)
-    return re.sub(r"\s*\r?\n\s*", " ", text).strip(" \u3000")
+            text = _word_pattern(wrong).sub(lambda m: true.capitalize() if m.group(0)[0].isupper() else true, text)
+    if "\n" in text:
+        text = re.sub(r"(?<=[一-鿿，。；：！？、“”])[ \t]*\r?\n[ \t]*(?=[一-鿿，。；：！？、“”])", "", text)
+        text = re.sub(r"\s*\r?\n\s*", " ", text)
+    return text.strip(" \u3000")
 
 
 PARAGRAPH_SCHEMA = "book_id string, page_index int, list_pos int, elem_id bigint, type string, paragraph string"
