@@ -67,6 +67,14 @@ def test_signs_without_original_stay(spark):
     assert text[90_001] == "鼎■鼐是旧物" and text[90_002] == "the archive carried the lantern across the Zyq□vxk"
 
 
+def test_rest_stays_where_its_beginning_is_left_out(spark):
+    """The first half of a divided word stands in a running head: the text with the second half is not lost."""
+    heads = [(90_000 + p, "b0", p, 900, "text", (100.0, 70.0, 900.0, 110.0), "the quiet gar-", None, "clash") for p in (5, 6, 7)]
+    noise = S.Noise(make(spark, [*heads, (90_010, "b0", 7, 901, "text", (100.0, 600.0, 900.0, 650.0), "dens remembered the stone.", None, "clash")], books=6))
+    text = {r.elem_id: r.paragraph for r in noise.paragraphs().collect()}
+    assert not {90_005, 90_006, 90_007} & set(text) and text[90_010] == "dens remembered the stone."
+
+
 def test_empty_table(spark):
     noise = S.Noise(make(spark, [], books=0).limit(0))
     assert noise.found().count() == 0 and noise.paragraphs().count() == 0
