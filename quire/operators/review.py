@@ -10,12 +10,15 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from quire.functions.text import GARBLED, LINE_ENDS, WILDCARDS, char_overlap, preserved_counts, trim_all
+from quire.runtime import cut
 
 #: Prefixes that are no body text, marks of a continued title, limits.
 LOW = ">[low-confidence] "
 NON_BODY = ("#", "!", ":::", "$$", "<table", "<!--", LOW)
 DASHES = ("——", "—", "--", "～")
 SHORT, CLUSTER, CONTEXT, WINDOW, BATCH, LEAST_OVERLAP, KEPT = 30, 3, 3, 3, 5, 0.5, 5
+#: Contents entries and titles of a book that meet in one block.
+ENTRY_BLOCK, NAME_BLOCK = 1024, 2048
 
 
 def lines_of(books: DataFrame, key: str = "content_id", text: str = "book_md") -> DataFrame:
@@ -108,11 +111,55 @@ def toc_mismatches(entries: DataFrame, titles: DataFrame) -> DataFrame:
     """Entries whose best title of the same book shares less than half of its characters.
 
     ``entries`` are (book_id, pos, title), ``titles`` (book_id, place, name).
-    The best of several equal ones is the first by place.
+    The best of several equal ones is the first by place. An entry that is a
+    title, and so has a good one, is left out by an equi-join; the others meet
+    all titles of their book in blocks, so that a long book is many rows.
     """
-    met = entries.join(titles, "book_id").withColumn("overlap", char_overlap(F.col("title"), F.col("name")))
-    best = met.groupBy("book_id", "pos", "title").agg(F.max_by(F.struct("name", "overlap"), F.struct("overlap", -F.col("place"))).alias("b"))
-    return best.select("book_id", "pos", "title", F.col("b.name").alias("best_title"), F.col("b.overlap").alias("overlap")).where(F.col("overlap") < LEAST_OVERLAP)
+    e = cut(entries.where("title is not null").select("book_id", "pos", "title").distinct())
+    names = cut(titles.where("name is not null").groupBy("book_id", "name").agg(F.min("place").cast("bigint").alias("place")))
+    same = names.where(char_overlap(F.col("name"), F.col("name")) >= LEAST_OVERLAP).select("book_id", F.col("name").alias("title"))
+    wanted = _blocks(e.select("book_id", "title").distinct().join(same, ["book_id", "title"], "left_anti"), "title", ENTRY_BLOCK)
+    known = _blocks(names, "name", NAME_BLOCK)
+    wanted = wanted.groupBy("book_id", "block").agg(F.collect_list("title").alias("titles"))
+    wanted = wanted.join(known.select("book_id", "blocks").distinct(), "book_id").select("book_id", "titles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    known = known.groupBy("book_id", "block").agg(F.collect_list(F.struct("name", "place")).alias("n")).select("book_id", "block", F.col("n.name").alias("names"), F.col("n.place").alias("places"))
+    met = wanted.join(known, ["book_id", "block"]).select("book_id", "titles", "names", "places").mapInArrow(_best_names, "book_id string, title string, name string, place bigint, overlap double")
+    best = met.groupBy("book_id", "title").agg(F.max_by(F.struct("name", "overlap"), F.struct("overlap", -F.col("place"))).alias("b")).where(F.col("b.overlap") < LEAST_OVERLAP)
+    return e.join(best, ["book_id", "title"]).select("book_id", "pos", "title", F.col("b.name").alias("best_title"), F.col("b.overlap").alias("overlap"))
+
+
+def _blocks(rows: DataFrame, text: str, size: int) -> DataFrame:
+    """``block`` of about ``size`` rows of a book, and the book's number of ``blocks``."""
+    counts = rows.groupBy("book_id").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    return rows.join(counts, "book_id").withColumn("block", F.pmod(F.xxhash64(text), F.col("blocks")).cast("int"))
+
+
+def _best_names(batches):
+    """For each title the name with the highest :func:`char_overlap`, the first by place of several; whole blocks as one product of matrices."""
+    import numpy as np
+    import pyarrow as pa
+
+    kinds = {"book_id": pa.string(), "title": pa.string(), "name": pa.string(), "place": pa.int64(), "overlap": pa.float64()}
+    chars = lambda x: set(x) or {""}
+
+    def held(texts, index):
+        out = np.zeros((len(texts), len(index)), dtype="float32")
+        for k, t in enumerate(texts):
+            out[k, [index[c] for c in chars(t) if c in index]] = 1
+        return out
+
+    for batch in batches:
+        for book, titles, names, places in zip(*(batch.column(c).to_pylist() for c in ("book_id", "titles", "names", "places"))):
+            order = np.argsort(np.array(places), kind="stable")
+            index = {c: k for k, c in enumerate(dict.fromkeys(c for t in titles for c in chars(t)))}
+            known, sizes = held([names[k] for k in order], index).T, np.array([len(names[k]) for k in order])
+            got = []
+            for start in range(0, len(titles), 128):
+                part = titles[start : start + 128]
+                overlap = (held(part, index) @ known).astype("float64") / np.maximum(np.maximum.outer([len(t) for t in part], sizes), 1)
+                first = overlap.argmax(axis=1)
+                got += [(book, t, names[order[k]], places[order[k]], float(o[k])) for t, k, o in zip(part, first, overlap)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*got), kinds.values())], names=list(kinds))
 
 
 def image_refs(lines: DataFrame) -> DataFrame:
@@ -159,9 +206,8 @@ def check_correction(original: Column, corrected: Column) -> Column:
 
 def first_mismatches(mismatches: DataFrame, most: int = KEPT) -> DataFrame:
     """The first ``most`` mismatches of each book by place, each with the book's whole number of them."""
-    rank = F.row_number().over(W.partitionBy("book_id").orderBy("pos", "title"))
-    totals = mismatches.groupBy("book_id").agg(F.count("*").alias("total"))
-    return mismatches.withColumn("rank", rank).where(F.col("rank") <= most).join(totals, "book_id")
+    book = W.partitionBy("book_id")
+    return mismatches.withColumns({"rank": F.row_number().over(book.orderBy("pos", "title")), "total": F.count("*").over(book)}).where(F.col("rank") <= most)
 
 
 def by_issue(corrections: DataFrame, issues: DataFrame) -> DataFrame:

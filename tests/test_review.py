@@ -163,3 +163,19 @@ def test_contained_equals_all_pairs(spark):
     want = {(k, s, t) for k, s in a for m, t in b if k == m and s in t}
     make = lambda rows: spark.createDataFrame(rows, "key string, text string")
     assert {tuple(r) for r in toc.contained(make(a), make(b)).collect()} == want
+
+
+def test_mismatches_of_a_long_book_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(review, "ENTRY_BLOCK", 7)
+    monkeypatch.setattr(review, "NAME_BLOCK", 5)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh 𠀀") for _ in range(rng.randrange(1, n)))
+    entries = [(rng.choice("xyz"), k, word(9)) for k in range(150)] + [("x", 900, "aaaa"), ("x", 901, None), ("y", 902, "")]
+    titles = [(rng.choice("xy"), k, word(9)) for k in range(120)] + [("x", 500, "aaaa"), ("x", 501, None)]
+    want = set()
+    for b, pos, t in entries:
+        met = [(-len((set(t) or {""}) & (set(n) or {""})) / max(len(t), len(n), 1), place, n) for c, place, n in titles if c == b and n is not None and t is not None]
+        if met and min(met)[0] > -0.5:
+            want.add((b, pos, t, min(met)[2], -min(met)[0]))
+    got = review.toc_mismatches(spark.createDataFrame(entries, "book_id string, pos int, title string"), spark.createDataFrame(titles, "book_id string, place int, name string"))
+    assert want and {tuple(r) for r in got.collect()} == want
