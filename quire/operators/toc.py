@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import is_toc_noise, split_volumes, trim_all
+from quire.runtime import cut
 
 #: Labels that are no entries.
 CATEGORIES = ("山经", "海经")
@@ -26,25 +27,27 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 GRAM = 4
 
 
-def _grams(text, size: int = GRAM):
-    """The different substrings of a text of one to ``size`` characters; longer texts by those of ``size`` alone are found too."""
-    def of(k: int):
-        return F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substr(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+def _grams(text, sizes):
+    """The different substrings of a text of the lengths in the array ``sizes``."""
+    def of(k):
+        return F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substr(text, i, k))).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of(k) for k in range(1, size + 1)]))
+    return F.array_distinct(F.flatten(F.transform(sizes, of)))
 
 
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """(key, a, b): pairs of one key where text ``a`` of ``inner`` stands inside text ``b`` of ``outer``.
 
     A text meets only the texts that hold its rarest group of characters in the
-    key, not all of the key. Both have columns (key, text), without empty texts.
+    key, not all of the key. Groups are made only of the lengths that texts of
+    ``inner`` in the key are found by. Both have columns (key, text), without
+    empty texts.
     """
-    held = outer.select("key", F.col("text").alias("b")).distinct().withColumn("gram", F.explode(_grams(F.col("b"))))
+    own = inner.select("key", F.col("text").alias("a")).distinct().withColumn("size", F.least(F.length("a"), F.lit(GRAM)))
+    sizes = own.groupBy("key").agg(F.collect_set("size").alias("sizes"))
+    held = outer.select("key", F.col("text").alias("b")).distinct().join(sizes, "key").select("key", "b", F.explode(_grams(F.col("b"), F.col("sizes"))).alias("gram"))
     counts = held.groupBy("key", "gram").agg(F.count("*").alias("n"))
-    own = inner.select("key", F.col("text").alias("a")).distinct()
-    size = F.least(F.length("a"), F.lit(GRAM))
-    parts = own.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("a") - size + 1), lambda i: F.substr(F.col("a"), i, size)))))
+    parts = own.select("key", "a", F.explode(_grams(F.col("a"), F.array("size"))).alias("gram"))
     rarest = parts.join(counts, ["key", "gram"]).groupBy("key", "a").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     return rarest.join(held, ["key", "gram"]).where(F.col("b").contains(F.col("a"))).select("key", "a", "b")
 
@@ -54,26 +57,25 @@ def link(entries: DataFrame, anchors: DataFrame) -> DataFrame:
 
     Ranks: equal; equal without spaces; one inside the other; same first four
     characters. Within a rank the first anchor by place wins. All ranks are
-    equi-joins: containment by :func:`contained`. ``anchors`` are (book_id,
-    place, name, anchor).
+    equi-joins with one row for each key: containment, by :func:`contained`, is
+    looked for only where no name is equal. Titles and names are written first,
+    as all ranks read them. ``anchors`` are (book_id, place, name, anchor).
     """
-    e = entries.where("title is not null and title <> ''").select("book_id", "pos", "title").distinct()
-    a = anchors.where("name <> ''").groupBy("book_id", "name").agg(F.min(F.struct("place", "anchor")).alias("x")).select(F.col("book_id").alias("b"), "name", "x.place", "x.anchor")
-    spaceless = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    titles, names = e.select(F.col("book_id").alias("key"), F.col("title").alias("text")), a.select(F.col("b").alias("key"), F.col("name").alias("text"))
-    inside = contained(titles, names).select(F.col("key").alias("k"), F.col("a").alias("t"), F.col("b").alias("n")).unionByName(contained(names, titles).select(F.col("key").alias("k"), F.col("b").alias("t"), F.col("a").alias("n"))).distinct()
-    ranked = lambda df, rank: df.where("book_id = b").select("book_id", "pos", "title", F.lit(rank).alias("rank"), "place", "anchor")
-    ranks = [
-        ranked(e.join(a, (e.book_id == a.b) & (e.title == a.name)), 1),
-        ranked(e.withColumn("k", spaceless("title")).join(a.withColumn("k", spaceless("name")), "k"), 2),
-        ranked(e.join(inside, (F.col("book_id") == F.col("k")) & (F.col("title") == F.col("t"))).join(a, (F.col("k") == F.col("b")) & (F.col("n") == F.col("name"))), 3),
-        ranked(e.where(F.length("title") >= 4).withColumn("k", F.left("title", F.lit(4))).join(a.withColumn("k", F.left("name", F.lit(4))), "k"), 4),
-    ]
-    all_ = ranks[0]
-    for r in ranks[1:]:
-        all_ = all_.unionByName(r)
-    best = all_.groupBy("book_id", "pos", "title").agg(F.min_by(F.struct("rank", "anchor"), F.struct("rank", "place")).alias("m")).select("book_id", "pos", "title", "m.rank", "m.anchor")
-    return e.join(best, ["book_id", "pos", "title"], "left")
+    e = cut(entries.where("title is not null and title <> ''").select("book_id", "pos", "title").distinct())
+    first = F.min(F.struct("place", "anchor"))
+    a = cut(anchors.where("name <> ''").groupBy("book_id", "name").agg(first.alias("x")).select("book_id", "name", "x.place", "x.anchor"))
+    titles, spaceless, head = e.select("book_id", "title").distinct(), lambda c: F.replace(F.col(c), F.lit(" "), F.lit("")), lambda c: F.left(F.col(c), F.lit(4))
+    equal = a.select("book_id", F.col("name").alias("title"), F.struct("place", "anchor").alias("m1"))
+    loose = a.groupBy("book_id", spaceless("name").alias("k2")).agg(first.alias("m2"))
+    alike = a.groupBy("book_id", head("name").alias("k4")).agg(first.alias("m4"))
+    met = titles.withColumns({"k2": spaceless("title"), "k4": F.when(F.length("title") >= 4, head("title"))}).join(equal, ["book_id", "title"], "left").join(loose, ["book_id", "k2"], "left").join(alike, ["book_id", "k4"], "left")
+    met = cut(met.select("book_id", "title", "m1", "m2", "m4"))
+    open_, names = met.where("m1 is null and m2 is null").select(F.col("book_id").alias("key"), F.col("title").alias("text")), a.select(F.col("book_id").alias("key"), F.col("name").alias("text"))
+    inside = contained(open_, names).select(F.col("key").alias("book_id"), F.col("a").alias("title"), F.col("b").alias("name")).unionByName(contained(names, open_).select(F.col("key").alias("book_id"), F.col("b").alias("title"), F.col("a").alias("name")))
+    part = inside.join(a, ["book_id", "name"]).groupBy("book_id", "title").agg(first.alias("m3"))
+    ranks = F.coalesce(*[F.when(F.col(f"m{k}").isNotNull(), F.struct(F.lit(k).alias("rank"), F.col(f"m{k}.anchor").alias("anchor"))) for k in (1, 2, 3, 4)])
+    best = met.join(part, ["book_id", "title"], "left").select("book_id", "title", ranks.alias("m"))
+    return e.join(best, ["book_id", "title"], "left").select("book_id", "pos", "title", "m.rank", "m.anchor")
 
 
 def render(linked: DataFrame) -> DataFrame:

@@ -179,3 +179,25 @@ def test_mismatches_of_a_long_book_meet_in_blocks(spark, monkeypatch):
             want.add((b, pos, t, min(met)[2], -min(met)[0]))
     got = review.toc_mismatches(spark.createDataFrame(entries, "book_id string, pos int, title string"), spark.createDataFrame(titles, "book_id string, place int, name string"))
     assert want and {tuple(r) for r in got.collect()} == want
+
+
+def test_ranks_equal_all_pairs(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab ") for _ in range(rng.randrange(0, n)))
+    entries = [(rng.choice("xyz"), k, word(9)) for k in range(120)] + [("x", 900, None), ("x", 901, "qrst1")]
+    anchors = [(rng.choice("xy"), k, word(12).strip(), f"#{k}") for k in range(60)] + [("x", 90, "qrst2", "#90"), ("x", 91, "qrst3", "#91")]
+
+    def rank(t, n):
+        return 1 if t == n else 2 if t.replace(" ", "") == n.replace(" ", "") else 3 if t in n or n in t else 4 if len(t) >= 4 and t[:4] == n[:4] else None
+
+    want = set()
+    for b, pos, t in entries:
+        met = [(rank(t, n), place, a) for c, place, n, a in anchors if t and n and c == b and rank(t, n)]
+        want |= {(b, pos, t, *((min(met)[0], min(met)[2]) if met else (None, None)))} if t else set()
+    linked = toc.link(spark.createDataFrame(entries, "book_id string, pos int, title string"), spark.createDataFrame(anchors, "book_id string, place int, name string, anchor string"))
+    assert {r[3] for r in want} == {1, 2, 3, 4, None} and {tuple(r) for r in linked.collect()} == want
+
+
+def test_groups_of_the_lengths_asked_for(spark):
+    row = spark.range(1).select(toc._grams(F.lit("abcab"), F.array(F.lit(2), F.lit(4))), toc._grams(F.lit("ab"), F.array(F.lit(4)))).first()
+    assert sorted(row[0]) == ["ab", "abca", "bc", "bcab", "ca"] and row[1] == []
