@@ -10,6 +10,7 @@ from quire.operators.classify import DECORATIVE, IMAGES
 from quire.operators.flags import TITLES
 from quire.operators.ordered import previous, running_sum
 from quire.operators.outline import live
+from quire.runtime import cut
 
 #: The cataloguing block's header and main line, and the number of the book.
 CIP_HEADER = r"图书在版编目\s*[（(]CIP[)）]\s*数据"
@@ -28,23 +29,44 @@ def merge_paragraphs(elements: DataFrame) -> DataFrame:
 
     A piece runs on from the one before it in reading order if it stands on
     another page, neither is of low confidence, the first does not end closed
-    and the second does not open a block. Such runs are found by the previous
-    piece alone. A run whose accumulated text ends in, or holds, contents lines
-    is divided further, in Python, run by run; all others are aggregated.
+    and the second does not open a block. A run whose accumulated text ends in,
+    or holds, contents lines is divided further, in Python, run by run; all
+    others are aggregated.
     """
-    rows = elements.where(live() & (F.col("type") == "text") & F.col("text").isNotNull()).select("book_id", "page_index", F.coalesce("order_index", F.lit(0)).alias("order_index"), "list_pos", "elem_id", "text", F.coalesce("low_confidence", F.lit(False)).alias("weak"))
-    rows = rows.withColumns({"closed": ends_closed(F.col("text")), "opens": starts_block(F.col("text"))})
+    members = run_members(elements)
+    alone = elements.where(_body_text()).join(members.select("elem_id"), "elem_id", "left_anti")
+    return alone.select("book_id", "elem_id", F.lit(1).alias("pieces"), "text").unionByName(merged_runs(elements, members))
+
+
+def _body_text() -> Column:
+    return live() & (F.col("type") == "text") & F.col("text").isNotNull()
+
+
+def run_members(elements: DataFrame) -> DataFrame:
+    """(book_id, island, elem_id, toc_like) of the texts in runs of two pieces or more, written.
+
+    Runs are found by the previous piece alone, over rows without their texts,
+    which are written first, as ordering reads them several times.
+    """
+    weak, t = F.coalesce("low_confidence", F.lit(False)).alias("weak"), F.col("text")
+    toc_like = t.rlike(r"(?m)[/／]\s*\d+\s*$") | t.rlike(r"^\s*\d+\s*$")
+    rows = cut(elements.where(_body_text()).select("book_id", "page_index", F.coalesce("order_index", F.lit(0)).alias("order_index"), "list_pos", "elem_id", weak, ends_closed(t).alias("closed"), starts_block(t).alias("opens"), toc_like.alias("toc_like")))
     rows = previous(rows, ("page_index", "weak", "closed"), "p_", order=READING)
     runs_on = (F.col("p_page_index") != F.col("page_index")) & ~F.col("p_weak") & ~F.col("weak") & ~F.col("p_closed") & ~F.col("opens")
     rows = running_sum(rows.withColumn("head", ~F.coalesce(runs_on, F.lit(False))), F.col("head"), "island", order=READING)
-    toc_like = F.col("text").rlike(r"(?m)[/／]\s*\d+\s*$") | F.col("text").rlike(r"^\s*\d+\s*$")
+    runs = rows.groupBy("book_id", "island").agg(F.collect_list("elem_id").alias("ids"), F.bool_or("toc_like").alias("toc_like")).where(F.size("ids") > 1)
+    return cut(runs.select("book_id", "island", F.explode("ids").alias("elem_id"), "toc_like"))
+
+
+def merged_runs(elements: DataFrame, members: DataFrame) -> DataFrame:
+    """(book_id, elem_id, pieces, text) of the paragraphs that the runs of :func:`run_members` give."""
+    texts = elements.where(_body_text()).select("elem_id", "page_index", F.coalesce("order_index", F.lit(0)).alias("order_index"), "list_pos", "text")
     pieces = F.sort_array(F.collect_list(F.struct(*READING, F.col("text").alias("text"))))
-    joined = rows.groupBy("book_id", "island").agg(pieces.alias("p"), F.bool_or(toc_like).alias("toc_like"))
-    simple = (F.size("p") == 1) | ~F.col("toc_like")
+    joined = texts.join(members, "elem_id").groupBy("book_id", "island").agg(pieces.alias("p"), F.bool_or("toc_like").alias("toc_like"))
     seam = lambda acc, x: F.when(F.right(acc, F.lit(1)).rlike(f"[{CJK}]") & F.left(trim_all(x["text"]), F.lit(1)).rlike(f"[{CJK}]"), F.concat(acc, trim_all(x["text"]))).otherwise(F.concat_ws(" ", acc, trim_all(x["text"])))
-    text = F.when(F.size("p") == 1, F.col("p")[0]["text"]).otherwise(F.aggregate(F.slice("p", 2, F.size("p")), trim_all(F.col("p")[0]["text"]), seam))
-    plain = joined.where(simple).select("book_id", F.col("p")[0]["elem_id"].alias("elem_id"), F.size("p").alias("pieces"), text.alias("text"))
-    listed = joined.where(~simple).select("book_id", F.transform("p", lambda x: F.struct(x["elem_id"].alias("elem_id"), x["text"].alias("text"))).alias("p"))
+    text = F.aggregate(F.slice("p", 2, F.size("p")), trim_all(F.col("p")[0]["text"]), seam)
+    plain = joined.where(~F.col("toc_like")).select("book_id", F.col("p")[0]["elem_id"].alias("elem_id"), F.size("p").alias("pieces"), text.alias("text"))
+    listed = joined.where("toc_like").select("book_id", F.transform("p", lambda x: F.struct(x["elem_id"].alias("elem_id"), x["text"].alias("text"))).alias("p"))
     return plain.unionByName(listed.mapInPandas(_divide_runs, "book_id string, elem_id bigint, pieces int, text string"))
 
 
@@ -152,6 +174,8 @@ def process(elements: DataFrame, pages: DataFrame, settings=None) -> DataFrame:
     """The post-processing chain in its order: marks, confidence, furniture, merging, captions; each step by its setting.
 
     Merged pieces are kept with ``dropped`` set; their text stands in the first piece.
+    What is furniture and what runs on is found over narrow rows that are
+    written, so that no step repeats the ones before it for each of its joins.
     """
     from quire.functions.text import normalise_punctuation
     from quire.operators import flags
@@ -164,14 +188,15 @@ def process(elements: DataFrame, pages: DataFrame, settings=None) -> DataFrame:
     if s.min_confidence > 0:
         e = flags.confidence_tiers(e, s.noise_confidence, s.low_confidence, s.min_confidence, s.confidence_types)
     if s.remove_headers:
-        e = flags.remove_furniture(e, pages).drop("page_height")
+        gone = flags.furniture_ids(e, pages).withColumn("gone", F.lit(True))
+        e = e.join(gone, "elem_id", "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)) | F.coalesce(F.col("type").isin(*flags.FURNITURE), F.lit(False)) | F.coalesce("gone", F.lit(False))).drop("gone")
     elif s.remove_numbers:
         e = flags.drop_furniture(flags.with_heights(e, pages), by_label=False).drop("page_height")
     if s.merge:
-        merged = merge_paragraphs(e).select("elem_id", F.col("text").alias("merged_text"))
+        members = run_members(e)
+        merged = members.select("elem_id", F.lit(True).alias("in_run")).join(merged_runs(e, members).select("elem_id", F.col("text").alias("merged_text")), "elem_id", "left")
         e = e.join(merged, "elem_id", "left")
-        part = live() & (F.col("type") == "text") & F.col("text").isNotNull()
-        e = e.withColumns({"dropped": F.coalesce("dropped", F.lit(False)) | (part & F.col("merged_text").isNull()), "text": F.when(part & F.col("merged_text").isNotNull(), F.col("merged_text")).otherwise(F.col("text"))}).drop("merged_text")
+        e = e.withColumns({"dropped": F.coalesce("dropped", F.lit(False)) | (F.coalesce("in_run", F.lit(False)) & F.col("merged_text").isNull()), "text": F.coalesce("merged_text", "text")}).drop("merged_text", "in_run")
     return captions(e)
 
 

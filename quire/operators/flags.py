@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import lengths_close, ratcliff, trim_all
+from quire.runtime import cut
 
 #: Labels dropped outright, labels that may hold a page number, labels the confidence filter looks at.
 FURNITURE = ("header", "footer", "header_image", "footer_image", "number", "footnote", "aside_text")
@@ -120,6 +121,14 @@ def remove_furniture(elements: DataFrame, pages: DataFrame) -> DataFrame:
     return flagged.join(heads, "elem_id", "left").withColumn("dropped", F.col("dropped") | F.coalesce("is_head", F.lit(False))).drop("is_head")
 
 
+def furniture_ids(elements: DataFrame, pages: DataFrame) -> DataFrame:
+    """(elem_id) of the page numbers and running heads that :func:`remove_furniture` drops, written; only texts no longer than a head are looked at."""
+    short = elements.where(~F.coalesce("dropped", F.lit(False)) & F.col("type").isin("text", *TITLES) & F.length(trim_all(F.col("text"))).between(1, HEAD_CHARS))
+    flagged = cut(drop_furniture(with_heights(short.select("elem_id", "book_id", "page_index", "list_pos", "type", "dropped", "bbox", "text"), pages)))
+    heads = running_heads(margin_candidates(flagged)).select("elem_id")
+    return cut(flagged.where("dropped").select("elem_id").unionByName(heads).distinct())
+
+
 def page_range(pages: DataFrame, totals: DataFrame, first: int = 0, last: int = 0) -> DataFrame:
     """Pages that are recognised: without the first and last ones that are only rendered."""
     return pages.join(totals.select("book_id", "total_pages"), "book_id").where((F.col("page_index") >= first) & (F.col("page_index") < F.col("total_pages") - last))

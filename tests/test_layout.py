@@ -149,3 +149,10 @@ def test_derived_queries_know_short_contents_pages(spark, make_elements, tmp_pat
     assert {r.page_index: r.page_type for r in q["page_types"]} == {3: "toc", 5: "body", 9: "body"}
     assert {r.page_type: r.pages for r in q["page_type_histogram"]} == {"toc": 1, "body": 2} and q["book_structure"][0].found == "toc body"
     assert 3 in {r.page_index for r in q["page_types_by_rule"] if r.page_type != "toc"}
+
+
+def test_processing_stays_a_short_plan(spark, make_elements):
+    rows = [dict(page_index=p, list_pos=k, text=t, bbox=box(y)) for p in range(4) for k, (t, y) in enumerate([("The Long Road", 40.0), (f"page {p} goes on", 900.0), (str(p), 1950.0)])]
+    out = assemble.process(make_elements(rows), pages(spark))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 8
+    assert sorted((r.page_index, r.list_pos, r.text) for r in out.where("not dropped").collect()) == [(0, 1, "page 0 goes on page 1 goes on page 2 goes on page 3 goes on")]
