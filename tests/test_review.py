@@ -201,3 +201,9 @@ def test_ranks_equal_all_pairs(spark):
 def test_groups_of_the_lengths_asked_for(spark):
     row = spark.range(1).select(toc._grams(F.lit("abcab"), F.array(F.lit(2), F.lit(4))), toc._grams(F.lit("ab"), F.array(F.lit(4)))).first()
     assert sorted(row[0]) == ["ab", "abca", "bc", "bcab", "ca"] and row[1] == []
+
+
+def test_links_do_not_read_the_anchors_again(spark):
+    entries = spark.createDataFrame([("b", 1, "One")], "book_id string, pos int, title string")
+    anchors = spark.range(3).select(F.lit("b").alias("book_id"), F.col("id").alias("place"), F.concat(F.lit("One "), "id").alias("name"), F.lit("#1").alias("anchor"))
+    assert "Range" not in toc.link(entries, anchors)._jdf.queryExecution().optimizedPlan().toString()
